@@ -24,7 +24,7 @@ ASOF = "2024-01-30 12:00:00"
 NOW = "2024-06-01 12:00:00"
 SIX_HOURS = 6 * 3600
 ADVERTISER = "NATION_3"
-CAMPAIGN_ID, ADVERTISER_ID, USER_ID = 3, 3, 41
+CAMPAIGN_ID, ADVERTISER_ID, USER_ID = 3, 3, 8
 PRODUCT_ID, CUSTOMER_ID = "17", "41"
 FIRST_MONTH, LAST_MONTH = "1996-03", "1999-10"
 
