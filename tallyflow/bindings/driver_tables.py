@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyflow.plans.star import Star, load_star
+from tallyflow.plans.star import Star
 
 SCHEMAS = {
     "nation": "n_nationkey int, n_name string, n_regionkey int",
@@ -109,7 +109,7 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).selectExpr(
-        "lpad(hex(l_orderkey * 8 + l_linenumber), 32, '0') AS digits",
+        "concat('{00000000-0000-0000-0000-', lpad(hex(l_orderkey * 8 + l_linenumber), 12, '0'), '}') AS EventID",
         "concat('Supplier#', lpad(l_suppkey, 9, '0')) AS CampaignName",
         "CAST(o_custkey AS INT) AS UserID",
         "CASE l_linenumber % 3 WHEN 0 THEN 'mobile' WHEN 1 THEN 'desktop' ELSE 'tablet' END AS Device",
@@ -121,18 +121,9 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN l_linenumber = 7 THEN 'never' ELSE date_format(l_shipdate, 'yyyy-MM-dd HH:mm:ss') END "
         "AS ClickTimestamp",
         "CAST(l_quantity AS FLOAT) AS AdRevenue",
-    ).selectExpr(
-        "concat_ws('-', substr(digits, 1, 8), substr(digits, 9, 4), substr(digits, 13, 4), "
-        "substr(digits, 17, 4), substr(digits, 21, 12)) AS EventID",
-        "* EXCEPT (digits)",
     )
 
 
-def loaded_star(spark: SparkSession, sf_dir: str) -> Star:
-    """The star tables loaded from the raw frames above."""
-    return load_star(raw_users(spark, sf_dir), raw_campaigns(spark, sf_dir), raw_events(spark, sf_dir))
-
-
 # --- reviews -----------------------------------------------------------------------------------
 
 

@@ -21,5 +21,6 @@ def per_thousand(part: Column, whole: Column) -> Column:
 
 def lenient_int(text: Column) -> Column:
     """Whole number at the head of a decimal text ("4.7" gives 4); NULL when it is no number."""
-    whole = F.regexp_extract(F.trim(text), r"^([+-]?[0-9]+)(\.[0-9]*)?$", 1)
-    return whole.try_cast("int")
+    # the pattern is only tried where the plain cast fails
+    whole = F.regexp_extract(F.trim(text), r"^([+-]?[0-9]+)\.[0-9]*$", 1)
+    return F.coalesce(text.try_cast("int"), whole.try_cast("int"))

@@ -19,6 +19,11 @@ COMPACT_PATTERNS = ("yyyyMMdd", "yyyyMMdd'T'HHmm", "yyyyMMdd'T'HHmmss", "yyyyMMd
 LOOSE_PATTERNS = ("yyyy-M-d H:m:s", "yyyy-M-d")
 
 
+def strict_date(text: Column) -> Column:
+    """Date of a ``yyyy-MM-dd`` text; NULL for any other text."""
+    return F.when(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), text.try_cast("date"))
+
+
 def utc(text: str | None) -> Column:
     """Literal UTC timestamp, or the current time when no text is given."""
     return F.current_timestamp() if text is None else F.lit(text).cast("timestamp")

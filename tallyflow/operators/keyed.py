@@ -47,7 +47,9 @@ def insert_ignore(
     by ``order`` stays. ``parents`` lists (parent table, foreign key column,
     parent key column).
     """
-    rows = incoming.dropna(subset=list(key))
+    rows = incoming
+    for column in key:
+        rows = rows.filter(F.col(column).isNotNull())
     for parent, column, parent_key in parents:
         ids = parent.select(F.col(parent_key).alias(column))
         rows = rows.join(ids, column, "left_semi").select(*incoming.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.functions.numbers import lenient_int
-from tallyflow.functions.times import month_label
+from tallyflow.functions.times import month_label, strict_date
 from tallyflow.operators.keyed import last_per_key
 from tallyflow.operators.profile import require_filled
 
@@ -30,13 +30,10 @@ REVIEW_COLUMNS = [
     "review_headline", "review_body", "marketplace", "product_title",
 ]
 
-DATE_PATTERN = "yyyy-MM-dd"
-
-
 def _typed(raw: DataFrame) -> DataFrame:
     return raw.withColumns({
         "star_rating": lenient_int(F.col("star_rating")),
-        "review_date": F.try_to_date("review_date", DATE_PATTERN),
+        "review_date": strict_date(F.col("review_date")),
     })
 
 
@@ -50,7 +47,9 @@ def clean_strict(raw: DataFrame) -> DataFrame:
 
     ``verified_purchase`` becomes a flag (NULL stays NULL) and ``year_month`` is added.
     """
-    typed = _typed(require_filled(raw, CRITICAL_STRICT))
+    # a blank rating or date has no valid value, so the typed columns tell
+    ids = [c for c in CRITICAL_STRICT if c not in ("star_rating", "review_date")]
+    typed = _typed(require_filled(raw, ids))
     return (
         typed.filter(F.col("star_rating").between(1, 5) & F.col("review_date").isNotNull())
         .withColumn("verified_purchase", F.col("verified_purchase").isin(VERIFIED))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -88,14 +89,24 @@ def load_clicks(events_raw: DataFrame, impressions: DataFrame, existing: DataFra
 
 
 def load_star(
-    users_raw: DataFrame, campaigns_raw: DataFrame, events_raw: DataFrame, ci: bool = False
+    users_raw: DataFrame,
+    campaigns_raw: DataFrame,
+    events_raw: DataFrame,
+    ci: bool = False,
+    store: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
 ) -> Star:
-    """All five tables as lazy frames; ``streaming``-free batch load."""
-    users = load_users(users_raw)
-    advertisers = load_advertisers(campaigns_raw)
-    campaigns = load_campaigns(campaigns_raw, advertisers, ci)
-    impressions = load_impressions(events_raw, campaigns, users, ci)
-    return Star(advertisers, users, campaigns, impressions, load_clicks(events_raw, impressions))
+    """All five tables, parents first.
+
+    ``store(table, name)`` may write a finished table and return it as read
+    back. Children then look up stored parents, whose known size lets Spark
+    choose between a broadcast and a shuffle before it moves any event.
+    """
+    users = store(load_users(users_raw), "users")
+    advertisers = store(load_advertisers(campaigns_raw), "advertisers")
+    campaigns = store(load_campaigns(campaigns_raw, advertisers, ci), "campaigns")
+    impressions = store(load_impressions(events_raw, campaigns, users, ci), "impressions")
+    clicks = store(load_clicks(events_raw, impressions), "clicks")
+    return Star(advertisers, users, campaigns, impressions, clicks)
 
 
 def _staged_events(events_raw: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.operators.keyed import newest_version
 from tallyflow.plans import reviews as rv
-from tallyflow.plans.star import Star, load_advertisers, load_campaigns, load_clicks, load_impressions, load_users
+from tallyflow.plans.star import Star, load_star
 
 
 def overwrite(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), **options: str) -> None:
@@ -23,6 +23,12 @@ def overwrite(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequ
     df.write.mode("overwrite").format(fmt).options(**options).partitionBy(*partition_by).save(path)
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Write a table and return it as read back: its lineage ends here and its size is known."""
+    overwrite(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_sorted(df: DataFrame, path: str, order: Sequence[str], descending: Sequence[str] = (),
                  partition_by: Sequence[str] = ()) -> None:
     """Replace a table laid out by its key.
@@ -53,18 +59,7 @@ def compact(spark: SparkSession, path: str, key: Sequence[str], target: str) ->
 
 def write_star(users_raw: DataFrame, campaigns_raw: DataFrame, events_raw: DataFrame, root: str, ci: bool = False) -> Star:
     """Load the five star tables, parents first; children check their keys against the written parents."""
-    spark = users_raw.sparkSession
-
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        overwrite(df, f"{root}/{name}")
-        return spark.read.parquet(f"{root}/{name}")
-
-    users = stored(load_users(users_raw), "users")
-    advertisers = stored(load_advertisers(campaigns_raw), "advertisers")
-    campaigns = stored(load_campaigns(campaigns_raw, advertisers, ci), "campaigns")
-    impressions = stored(load_impressions(events_raw, campaigns, users, ci), "impressions")
-    clicks = stored(load_clicks(events_raw, impressions), "clicks")
-    return Star(advertisers, users, campaigns, impressions, clicks)
+    return load_star(users_raw, campaigns_raw, events_raw, ci, lambda df, name: stored(df, f"{root}/{name}"))
 
 
 def write_review_results(clean: DataFrame, root: str, fmt: str = "parquet") -> None:
