@@ -28,9 +28,18 @@ def load_users(users_raw: DataFrame) -> DataFrame:
     return insert_ignore(users_raw, ["user_id"])
 
 
-def load_advertisers(campaigns_raw: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Distinct advertiser names with a generated id; only new names when ``existing`` is given."""
+def load_advertisers(
+    campaigns_raw: DataFrame, existing: DataFrame | None = None, ci: bool = False
+) -> DataFrame:
+    """Distinct advertiser names with a generated id; only new names when ``existing`` is given.
+
+    With ``ci`` names that differ in case or accents only are one name.
+    """
     names = campaigns_raw.select(F.col("AdvertiserName").alias("name"))
+    if ci:
+        names = first_per_key(names.withColumn("_name", _name_key("name", ci)), ["_name"])
+        if existing is not None:
+            names = names.join(existing.select(_name_key("name", ci).alias("_name")), "_name", "left_anti")
     return surrogate_ids(names, "name", "advertiser_id", existing)
 
 
@@ -102,7 +111,7 @@ def load_star(
     choose between a broadcast and a shuffle before it moves any event.
     """
     users = store(load_users(users_raw), "users")
-    advertisers = store(load_advertisers(campaigns_raw), "advertisers")
+    advertisers = store(load_advertisers(campaigns_raw, ci=ci), "advertisers")
     campaigns = store(load_campaigns(campaigns_raw, advertisers, ci), "campaigns")
     impressions = store(load_impressions(events_raw, campaigns, users, ci), "impressions")
     clicks = store(load_clicks(events_raw, impressions), "clicks")
@@ -114,9 +123,7 @@ def _staged_events(events_raw: DataFrame) -> DataFrame:
 
 
 def _name_key(column: str, ci: bool):
-    name = F.col(column)
-    # the collation key is an ordinary string, so the join stays a hash join
-    return F.collation_key(F.collate(name, "UNICODE_CI_AI")) if ci else name
+    return F.collate(F.col(column), "UNICODE_CI_AI") if ci else F.col(column)
 
 
 def _first_by_name(dimension: DataFrame, id_name: str, ci: bool) -> DataFrame:
