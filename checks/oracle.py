@@ -332,13 +332,13 @@ ORACLE: dict[str, str] = {
         (SELECT campaign_id FROM campaigns WHERE advertiser_id = 3)""",
     "advertiser_total_spend_each": AD + f"""SELECT advertiser_id, {dbl('sum(cost_paid)')} AS total_ad_spend
         FROM impressions JOIN campaigns USING (campaign_id) GROUP BY advertiser_id""",
-    "load_star_users": LOADED + "SELECT * FROM users_raw",
-    "load_star_advertisers": LOADED + "SELECT * FROM advertisers",
-    "load_star_campaigns": LOADED + "SELECT * FROM campaigns",
-    "load_star_impressions": LOADED + f"""SELECT impression_id, campaign_id, user_id, device, location,
+    "load_star_schema_users": LOADED + "SELECT * FROM users_raw",
+    "load_star_schema_advertisers": LOADED + "SELECT * FROM advertisers",
+    "load_star_schema_campaigns": LOADED + "SELECT * FROM campaigns",
+    "load_star_schema_impressions": LOADED + f"""SELECT impression_id, campaign_id, user_id, device, location,
         {iso('ts')} AS "timestamp", {dbl('bid_amount')} AS bid_amount, {dbl('cost_paid')} AS cost_paid
         FROM impressions""",
-    "load_star_clicks": LOADED + f"""SELECT impression_id AS click_id, impression_id,
+    "load_star_schema_clicks": LOADED + f"""SELECT impression_id AS click_id, impression_id,
         {iso('click_timestamp')} AS click_timestamp, {dbl('revenue_generated')} AS revenue_generated FROM clicks""",
     "user_sessions": sessions(1800) + SUMMARY,
     "user_sessions_6h": sessions(SIX_HOURS) + SUMMARY,
@@ -412,6 +412,7 @@ ORACLE: dict[str, str] = {
         count(*) FILTER (verified_purchase) AS verified, count(*) FILTER (star_rating IN (1, 2)) AS haters,
         count(*) FILTER (star_rating IN (4, 5)) AS backers FROM strict GROUP BY year_month, customer_id""",
     "top_products": top("product_months"),
+    "top_products_of_month_table": top("product_months"),
     "top_customers": top("verified_months"),
     "top_haters": top("hater_months"),
     "top_backers": top("backer_months"),

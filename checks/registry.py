@@ -137,11 +137,11 @@ REGISTRY: dict[str, Query] = {
         lambda s: reports.advertiser_total_spend(s.impressions, s.campaigns, ADVERTISER_ID)),
     "advertiser_total_spend_each": _star(lambda s: reports.advertiser_total_spend(s.impressions, s.campaigns)),
     # star tables out of raw rows
-    "load_star_users": _loaded("users"),
-    "load_star_advertisers": _loaded("advertisers"),
-    "load_star_campaigns": _loaded("campaigns"),
-    "load_star_impressions": _loaded("impressions"),
-    "load_star_clicks": _loaded("clicks"),
+    "load_star_schema_users": _loaded("users"),
+    "load_star_schema_advertisers": _loaded("advertisers"),
+    "load_star_schema_campaigns": _loaded("campaigns"),
+    "load_star_schema_impressions": _loaded("impressions"),
+    "load_star_schema_clicks": _loaded("clicks"),
     # sessions, documents and engagement
     "user_sessions": _star(lambda s: engagement.user_sessions(s.impressions, s.clicks)),
     "user_sessions_6h": _star(lambda s: engagement.user_sessions(s.impressions, s.clicks, SIX_HOURS)),
@@ -207,6 +207,8 @@ REGISTRY: dict[str, Query] = {
     "top_customers": _strict(lambda c: reviews.top_customers(c, FIRST_MONTH, LAST_MONTH)),
     "top_haters": _strict(lambda c: reviews.top_haters(c, FIRST_MONTH, LAST_MONTH)),
     "top_backers": _strict(lambda c: reviews.top_backers(c, FIRST_MONTH, LAST_MONTH)),
+    "top_products_of_month_table": _strict(lambda c: reviews.top_of_months(
+        reviews.product_reviews_by_month(c), "product_id", FIRST_MONTH, LAST_MONTH)),
     # events
     "build_tweets": lambda spark, sf: tweets.build_tweets(data.document_reviews(spark, sf), NOW),
     "tweet_rows": lambda spark, sf: tweets.tweet_rows(data.tweet_messages(spark, sf), NOW).drop("created_ts"),

@@ -31,6 +31,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with their order.
+
+    The test table is one file with one row group, which one task would read
+    and work off alone; such a table is spread by its join key first. A table
+    of many files is read as it is.
+    """
+    lines = table(spark, sf_dir, "lineitem")
+    cores = spark.sparkContext.defaultParallelism
+    if len(lines.inputFiles()) < cores:
+        lines = lines.repartition(cores, "l_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    return lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+
+
 # --- advertising -------------------------------------------------------------------------------
 
 
@@ -106,9 +121,7 @@ def raw_campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event file rows: order lines, whose (order, line) numbers repeat, as events with a UUID."""
-    lines = table(spark, sf_dir, "lineitem")
-    orders = table(spark, sf_dir, "orders")
-    return lines.join(orders, lines.l_orderkey == orders.o_orderkey).selectExpr(
+    return order_lines(spark, sf_dir).selectExpr(
         "concat('{00000000-0000-0000-0000-', lpad(hex(l_orderkey * 8 + l_linenumber), 12, '0'), '}') AS EventID",
         "concat('Supplier#', lpad(l_suppkey, 9, '0')) AS CampaignName",
         "CAST(o_custkey AS INT) AS UserID",
@@ -129,9 +142,7 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Review file rows, all text: order lines as reviews of parts by customers."""
-    lines = table(spark, sf_dir, "lineitem")
-    orders = table(spark, sf_dir, "orders")
-    return lines.join(orders, lines.l_orderkey == orders.o_orderkey).selectExpr(
+    return order_lines(spark, sf_dir).selectExpr(
         "o_orderpriority AS marketplace",
         "CASE WHEN l_orderkey % 109 <> 0 THEN CAST(o_custkey AS STRING) END AS customer_id",
         "concat(l_orderkey, '-', l_linenumber) AS review_id",
@@ -148,7 +159,7 @@ def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         "WHEN l_returnflag = 'R' THEN '1' ELSE 'N' END AS verified_purchase",
         "concat(l_returnflag, ' ', l_linestatus) AS review_headline",
         "concat('Ordered ', CAST(l_quantity AS INT), ' pieces') AS review_body",
-        "CASE WHEN l_orderkey % 107 = 0 THEN 'soon' ELSE date_format(l_shipdate, 'yyyy-MM-dd') END AS review_date",
+        "CASE WHEN l_orderkey % 107 = 0 THEN 'soon' ELSE CAST(CAST(l_shipdate AS DATE) AS STRING) END AS review_date",
     )
 
 

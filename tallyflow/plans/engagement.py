@@ -188,8 +188,8 @@ def active_subject(star: Star, timeout: int = DEFAULT_TIMEOUT) -> DataFrame:
     clicked = star.impressions.join(
         star.clicks.filter("click_timestamp IS NOT NULL").select("impression_id"), "impression_id", "left_semi"
     )
-    subject = clicked.agg(F.min("user_id").alias("user_id"))
-    shown = star.impressions.join(subject, "user_id", "left_semi")
+    lowest = clicked.select(F.min("user_id")).scalar()
+    shown = star.impressions.filter(F.col("user_id") == lowest)
     labels = session_labels(shown, timeout).filter("session_seq = 1")
     first = (
         assign_sessions(shown, labels, timeout)

@@ -140,8 +140,19 @@ def reviews_by_customer(table: DataFrame, customer_id: str) -> DataFrame:
 # --- month roll-ups and top lists --------------------------------------------------------------
 
 
+def _rated(clean: DataFrame, stars: list[int]) -> DataFrame:
+    return clean.filter(F.col("star_rating").isin(stars))
+
+
+def _by_month(rows: DataFrame, id_name: str, **counts: Column) -> DataFrame:
+    # grouped by the month's first day; only the groups get the month's text
+    grouped = rows.groupBy(F.trunc("review_date", "month").alias("_month"), id_name)
+    totals = grouped.agg(*[count.cast("int").alias(name) for name, count in counts.items()])
+    return totals.select(month_label(F.col("_month")).alias("year_month"), id_name, *counts)
+
+
 def _month_counts(rows: DataFrame, id_name: str) -> DataFrame:
-    return rows.groupBy("year_month", id_name).agg(F.count("review_id").cast("int").alias("review_count"))
+    return _by_month(rows, id_name, review_count=F.count("review_id"))
 
 
 def product_reviews_by_month(clean: DataFrame) -> DataFrame:
@@ -153,22 +164,20 @@ def customer_verified_by_month(clean: DataFrame) -> DataFrame:
 
 
 def customer_haters_by_month(clean: DataFrame) -> DataFrame:
-    return _month_counts(clean.filter(F.col("star_rating").isin(HATER_STARS)), "customer_id")
+    return _month_counts(_rated(clean, HATER_STARS), "customer_id")
 
 
 def customer_backers_by_month(clean: DataFrame) -> DataFrame:
-    return _month_counts(clean.filter(F.col("star_rating").isin(BACKER_STARS)), "customer_id")
+    return _month_counts(_rated(clean, BACKER_STARS), "customer_id")
 
 
 def customer_classes_by_month(clean: DataFrame) -> DataFrame:
     """The three customer counts of a month side by side, in one pass over the reviews."""
-    def counted(condition: Column) -> Column:
-        return F.count_if(condition & F.col("review_id").isNotNull()).cast("int")
-
-    return clean.groupBy("year_month", "customer_id").agg(
-        counted(F.col("verified_purchase")).alias("verified"),
-        counted(F.col("star_rating").isin(HATER_STARS)).alias("haters"),
-        counted(F.col("star_rating").isin(BACKER_STARS)).alias("backers"),
+    return _by_month(
+        clean, "customer_id",
+        verified=F.count_if("verified_purchase"),
+        haters=F.count_if(F.col("star_rating").isin(HATER_STARS)),
+        backers=F.count_if(F.col("star_rating").isin(BACKER_STARS)),
     )
 
 
@@ -181,35 +190,49 @@ def _month(text: str) -> str:
     return f"{int(text[:4]):04d}-{int(text[5:]):02d}"
 
 
+def _largest(totals: DataFrame, n: int) -> DataFrame:
+    """The ``n`` largest counts; ties go to the id ``seen`` in the earlier month, then to the smaller id."""
+    if n not in range(1, 101):
+        raise ValueError("n must be 1 to 100")
+    return totals.orderBy(F.desc("review_count"), "seen", "id").limit(n).select("id", "review_count")
+
+
 def top_of_months(month_table: DataFrame, id_name: str, start: str, end: str, n: int = 10) -> DataFrame:
-    """The ``n`` ids with most reviews in the months ``start`` to ``end``, both included.
+    """The ``n`` ids with most reviews in the months ``start`` to ``end``, out of a month table.
 
-    Ties go to the id seen in the earlier month, then to the smaller id. A
-    start after the end gives no rows.
+    Both months are included; a start after the end gives no rows.
     """
-    if n not in range(1, 101):
-        raise ValueError("n must be 1 to 100")
-    return (
+    totals = (
         month_table.filter(F.col("year_month").between(_month(start), _month(end)))
         .groupBy(F.col(id_name).alias("id"))
-        .agg(F.sum("review_count").alias("review_count"), F.min("year_month").alias("_seen"))
-        .orderBy(F.desc("review_count"), "_seen", "id")
-        .limit(n)
-        .drop("_seen")
+        .agg(F.sum("review_count").alias("review_count"), F.min("year_month").alias("seen"))
+    )
+    return _largest(totals, n)
+
+
+def _top_of_reviews(rows: DataFrame, id_name: str, start: str, end: str, n: int) -> DataFrame:
+    """The same straight from reviews: one grouping, over the dates of the months."""
+    first = F.lit(f"{_month(start)}-01").cast("date")
+    last = F.last_day(F.lit(f"{_month(end)}-01").cast("date"))
+    totals = (
+        rows.filter(F.col("review_date").between(first, last))
+        .groupBy(F.col(id_name).alias("id"))
+        .agg(F.count("review_id").alias("review_count"), F.trunc(F.min("review_date"), "month").alias("seen"))
     )
+    return _largest(totals, n)
 
 
 def top_products(clean: DataFrame, start: str, end: str, n: int = 10) -> DataFrame:
-    return top_of_months(product_reviews_by_month(clean), "product_id", start, end, n)
+    return _top_of_reviews(clean, "product_id", start, end, n)
 
 
 def top_customers(clean: DataFrame, start: str, end: str, n: int = 10) -> DataFrame:
-    return top_of_months(customer_verified_by_month(clean), "customer_id", start, end, n)
+    return _top_of_reviews(clean.filter("verified_purchase"), "customer_id", start, end, n)
 
 
 def top_haters(clean: DataFrame, start: str, end: str, n: int = 10) -> DataFrame:
-    return top_of_months(customer_haters_by_month(clean), "customer_id", start, end, n)
+    return _top_of_reviews(_rated(clean, HATER_STARS), "customer_id", start, end, n)
 
 
 def top_backers(clean: DataFrame, start: str, end: str, n: int = 10) -> DataFrame:
-    return top_of_months(customer_backers_by_month(clean), "customer_id", start, end, n)
+    return _top_of_reviews(_rated(clean, BACKER_STARS), "customer_id", start, end, n)

@@ -110,6 +110,10 @@ def test_top_lists(spark):
 
     assert top(rv.top_products, "2015-01", "2015-12") == [("p1", 4), ("p2", 2)]
     assert top(rv.top_haters, "2015-1", "2015-12", 1) == [("c1", 1)]
+    for build, id_name, table in ((rv.top_haters, "customer_id", rv.customer_haters_by_month),
+                                  (rv.top_products, "product_id", rv.product_reviews_by_month)):
+        of_table = rv.top_of_months(table(clean), id_name, "2015-02", "2015-12")
+        assert top(build, "2015-02", "2015-12") == [tuple(r) for r in of_table.collect()]
     assert top(rv.top_haters, "2015-05", "2015-12") == [("c2", 1)]
     assert top(rv.top_customers, "2015-05", "2015-01") == []
     for n in (0, 101):
