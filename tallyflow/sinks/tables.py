@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.operators.keyed import newest_version
 from tallyflow.plans import reviews as rv
+from tallyflow.plans.documents import user_documents
 from tallyflow.plans.star import Star, load_star
 
 
@@ -52,9 +53,29 @@ def read_newest(spark: SparkSession, path: str, key: Sequence[str]) -> DataFrame
     return newest_version(spark.read.parquet(path), key).drop("version")
 
 
-def compact(spark: SparkSession, path: str, key: Sequence[str], target: str) -> None:
-    """Write the current rows to a new table as its version 0."""
-    write_version(read_newest(spark, path, key), target, 0)
+def compact(
+    spark: SparkSession, path: str, key: Sequence[str], target: str, descending: Sequence[str] = ()
+) -> None:
+    """Write the current rows to a new table as its version 0, laid out by key."""
+    write_sorted(read_newest(spark, path, key), f"{target}/version=0", key, descending)
+
+
+def write_documents(star: Star, path: str, version: int, drop_existing: bool = False, **options: int) -> None:
+    """Load user documents; a user's new document (all its parts) replaces the older one.
+
+    ``drop_existing`` empties the collection first. ``options`` are those of
+    ``user_documents``.
+    """
+    documents = user_documents(star, **options)
+    if drop_existing:
+        documents.withColumn("version", F.lit(version)).write.mode("overwrite").partitionBy("version").parquet(path)
+    else:
+        write_version(documents, path, version)
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The current user documents."""
+    return read_newest(spark, path, ["user_id"])
 
 
 def write_star(users_raw: DataFrame, campaigns_raw: DataFrame, events_raw: DataFrame, root: str, ci: bool = False) -> Star:

@@ -11,7 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
-from tallyflow.plans.page_events import ALLOWED_DOMAINS, page_create_filter, page_creations, page_rows
+from tallyflow.plans.page_events import (
+    ALLOWED_DOMAINS,
+    page_create_filter,
+    page_creations,
+    page_rows,
+    sse_payloads,
+)
 from tallyflow.plans.tweets import as_messages, build_tweets, tweet_rows
 from tallyflow.sinks.minutes import stream_minutes
 from tallyflow.sinks.tables import write_version
@@ -23,6 +29,11 @@ def tweet_messages(reviews: DataFrame, now: str | None = None) -> DataFrame:
     return as_messages(build_tweets(reviews, now))
 
 
+def raw_messages(chunks: DataFrame) -> DataFrame:
+    """Captured server-sent-event text as raw page events, unchanged."""
+    return sse_payloads(chunks)
+
+
 def page_messages(events: DataFrame, domains: Sequence[str] = tuple(ALLOWED_DOMAINS)) -> DataFrame:
     """Raw page events as processed messages."""
     return as_messages(page_create_filter(events, domains))

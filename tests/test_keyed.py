@@ -64,7 +64,7 @@ def test_versions_replace_and_compact(spark, rows, folder):
     load([(1, 0, "d")], 1)
     load([(1, 0, "e")], 1)
     assert rows(read_newest(spark, f"{folder}/t", ["k"])) == [(1, 0, "e"), (2, 0, "c")]
-    compact(spark, f"{folder}/t", ["k"], f"{folder}/u")
+    compact(spark, f"{folder}/t", ["k"], f"{folder}/u", descending=["k"])
     assert rows(spark.read.parquet(f"{folder}/u").drop("version")) == [(1, 0, "e"), (2, 0, "c")]
     assert newest_version(spark.read.parquet(f"{folder}/t"), ["k"]).count() == 2
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from tallyflow.operators.sessions import assign_sessions, last_labels, session_labels, session_summary
 from tallyflow.plans import documents, engagement
+from tallyflow.plans.bundles import campaign_reports, engagement_reports
+from tallyflow.sinks.reports import write_reports
+from tallyflow.sinks.tables import read_documents, write_documents
 from tests.sample import T0, click, hand_sample, impression, make_star
 
 EPOCH = datetime(1970, 1, 1)
@@ -125,6 +128,31 @@ def test_busy_users_continue_in_further_documents(spark, rows):
     assert split.groupBy("user_id", "part").count().filter("count > 1").count() == 0
 
 
+def test_documents_are_replaced_as_a_whole(spark, rows, folder):
+    before, after = busy_star(spark), hand_sample(spark)
+    write_documents(before, folder, 0, drop_existing=True, per_document=20)
+    write_documents(after, folder, 1)
+    current = read_documents(spark, folder)
+    assert current.filter("user_id = 1000").count() == 1
+    assert rows(documents.flatten(current.filter("user_id = 1000"))) == rows(documents.flatten(documents.user_documents(after)))
+    old = documents.flatten(documents.user_documents(before, per_document=20))
+    assert rows(documents.flatten(current.filter("user_id = 1001"))) == rows(old.filter("user_id = 1001"))
+    write_documents(after, folder, 5, drop_existing=True)
+    assert read_documents(spark, folder).count() == 1
+
+
+def test_report_bundles(spark, rows, folder):
+    s = hand_sample(spark)
+    campaign = campaign_reports(s)
+    assert len(campaign) == 7 and campaign["device_performance"].count() == 1
+    bundle = engagement_reports(s, "2024-10-06 00:00:00")
+    assert rows(bundle["real_time_targeting"]) == [("Tech", 1)]
+    assert bundle["hourly_performance"].count() == 1
+    write_reports(bundle, folder)
+    assert spark.read.json(f"{folder}/user_interaction_history").first().user_id == 1000
+    assert engagement_reports(make_star(spark, [impression(1)]), "2024-10-06 00:00:00") == {}
+
+
 def test_document_reads(spark, rows):
     s = busy_star(spark)
     docs = documents.user_documents(s)
