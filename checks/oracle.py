@@ -37,13 +37,13 @@ def squeeze(text: str) -> str:
 AD = f"""
 WITH advertisers AS (SELECT n_nationkey AS advertiser_id, n_name AS name FROM nation),
 campaigns AS (
-  SELECT s_suppkey AS campaign_id, s_nationkey AS advertiser_id, s_name AS name,
+  SELECT CAST(s_suppkey AS INTEGER) AS campaign_id, s_nationkey AS advertiser_id, s_name AS name,
          CASE WHEN s_suppkey % 11 <> 0 THEN 'cat_' || (s_suppkey % 7) END AS targeting_criteria,
          CAST(CASE WHEN s_suppkey % 10 = 0 THEN 0 ELSE 10000 END AS DECIMAL(15,2)) AS budget,
          CAST(s_acctbal AS DECIMAL(15,2)) AS remaining_budget
   FROM supplier),
 users AS (
-  SELECT c_custkey AS user_id, 18 + c_custkey % 60 AS age,
+  SELECT CAST(c_custkey AS INTEGER) AS user_id, CAST(18 + c_custkey % 60 AS INTEGER) AS age,
          CASE WHEN c_custkey % 2 = 0 THEN 'Female' ELSE 'Male' END AS gender,
          'NATION_' || c_nationkey AS location,
          CASE WHEN c_custkey % 13 <> 0 THEN c_mktsegment || ' , ,' || lower(c_mktsegment) END AS interests,
@@ -51,7 +51,8 @@ users AS (
   FROM customer),
 facts AS (
   SELECT lower(lpad(to_hex(event_id), 32, '0')) AS impression_id,
-         CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS campaign_id, user_id,
+         CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS campaign_id,
+         CAST(user_id AS INTEGER) AS user_id,
          CASE event_id % 3 WHEN 0 THEN 'mobile' WHEN 1 THEN 'desktop' ELSE 'tablet' END AS device,
          'NATION_' || (user_id % 25) AS location, ts, CAST(value AS DECIMAL(10,4)) AS cost_paid,
          CAST(CAST(value AS DECIMAL(10,4)) + 0.25 AS DECIMAL(10,4)) AS bid_amount, event_id, event_type
@@ -101,24 +102,25 @@ SIX_HOURS = 21600
 
 LOADED = """
 WITH users_raw AS (
-  SELECT c_custkey AS user_id, 18 + c_custkey % 60 AS age,
+  SELECT CAST(c_custkey AS INTEGER) AS user_id, CAST(18 + c_custkey % 60 AS INTEGER) AS age,
          CASE WHEN c_custkey % 2 = 0 THEN 'Female' ELSE 'Male' END AS gender,
          'NATION_' || c_nationkey AS location,
          CASE WHEN c_custkey % 13 <> 0 THEN c_mktsegment || ' , ,' || lower(c_mktsegment) END AS interests,
          strftime(DATE '2023-01-01' + CAST(c_custkey % 365 AS INTEGER), '%Y-%m-%d') AS signup_date
   FROM customer),
 advertisers AS (
-  SELECT row_number() OVER (ORDER BY md5(name), name) AS advertiser_id, name
+  SELECT CAST(row_number() OVER (ORDER BY md5(name), name) AS INTEGER) AS advertiser_id, name
   FROM (SELECT DISTINCT n_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey)),
 campaigns AS (
-  SELECT s_suppkey AS campaign_id, a.advertiser_id, s_name AS name, '2024-01-01' AS start_date,
+  SELECT CAST(s_suppkey AS INTEGER) AS campaign_id, a.advertiser_id, s_name AS name, '2024-01-01' AS start_date,
          '2024-12-31' AS end_date, 'cat_' || (s_suppkey % 7) AS targeting_criteria,
          'slot_' || (s_suppkey % 3) AS ad_slot_size, CAST(10000 AS DOUBLE) AS budget,
          s_acctbal AS remaining_budget
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN advertisers a ON a.name = n_name),
 events_raw AS (
   SELECT lower(lpad(to_hex(l_orderkey * 8 + l_linenumber), 32, '0')) AS impression_id,
-         'Supplier#' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0') AS campaign_name, o_custkey AS user_id,
+         'Supplier#' || lpad(CAST(l_suppkey AS VARCHAR), 9, '0') AS campaign_name,
+         CAST(o_custkey AS INTEGER) AS user_id,
          CASE l_linenumber % 3 WHEN 0 THEN 'mobile' WHEN 1 THEN 'desktop' ELSE 'tablet' END AS device,
          o_orderpriority AS location, l_shipdate AS ts,
          CAST(CAST(CAST(l_discount AS FLOAT) AS DOUBLE) AS DECIMAL(10,4)) AS bid_amount,
@@ -170,13 +172,13 @@ typed AS (
 strict AS (
   SELECT *, strftime(review_date, '%Y-%m') AS year_month FROM typed
   WHERE star_rating BETWEEN 1 AND 5 AND review_date IS NOT NULL),
-product_months AS (SELECT year_month, product_id AS id, count(*) AS n FROM strict GROUP BY ALL),
+product_months AS (SELECT year_month, product_id AS id, CAST(count(*) AS INTEGER) AS n FROM strict GROUP BY ALL),
 verified_months AS (
-  SELECT year_month, customer_id AS id, count(*) AS n FROM strict WHERE verified_purchase GROUP BY ALL),
+  SELECT year_month, customer_id AS id, CAST(count(*) AS INTEGER) AS n FROM strict WHERE verified_purchase GROUP BY ALL),
 hater_months AS (
-  SELECT year_month, customer_id AS id, count(*) AS n FROM strict WHERE star_rating IN (1, 2) GROUP BY ALL),
+  SELECT year_month, customer_id AS id, CAST(count(*) AS INTEGER) AS n FROM strict WHERE star_rating IN (1, 2) GROUP BY ALL),
 backer_months AS (
-  SELECT year_month, customer_id AS id, count(*) AS n FROM strict WHERE star_rating IN (4, 5) GROUP BY ALL)
+  SELECT year_month, customer_id AS id, CAST(count(*) AS INTEGER) AS n FROM strict WHERE star_rating IN (4, 5) GROUP BY ALL)
 """
 
 REVIEW_COLUMNS = [
@@ -221,7 +223,7 @@ RAW_COLUMNS = [
     "product_category", "star_rating", "helpful_votes", "total_votes", "vine", "verified_purchase",
     "review_headline", "review_body", "review_date",
 ]
-MONTHLY = """SELECT product_id, year(review_date) AS year, month(review_date) AS month,
+MONTHLY = """SELECT product_id, CAST(year(review_date) AS INTEGER) AS year, CAST(month(review_date) AS INTEGER) AS month,
 count(review_id) AS review_count FROM basic GROUP BY ALL"""
 
 # --- events ------------------------------------------------------------------------------------
@@ -281,7 +283,7 @@ AND ts < TIMESTAMP '2024-01-30 12:00:00' GROUP BY ALL"""
 
 
 def hourly_clicks(where: str, keys: str) -> str:
-    return AD + f"""SELECT {keys} campaign_id, campaign_name, hour(click_timestamp) AS hour,
+    return AD + f"""SELECT {keys} campaign_id, campaign_name, CAST(hour(click_timestamp) AS INTEGER) AS hour,
 strftime(click_timestamp, '%Y-%m-%d') AS date, count(*) AS total_clicks,
 {dbl('coalesce(sum(timed_revenue), 0)')} AS total_revenue
 FROM shown WHERE {where} click_timestamp IS NOT NULL GROUP BY ALL"""
@@ -342,17 +344,17 @@ ORACLE: dict[str, str] = {
         {iso('click_timestamp')} AS click_timestamp, {dbl('revenue_generated')} AS revenue_generated FROM clicks""",
     "user_sessions": sessions(1800) + SUMMARY,
     "user_sessions_6h": sessions(SIX_HOURS) + SUMMARY,
-    "user_documents_flat": sessions(SIX_HOURS) + f"SELECT 0 AS part, {VISIT} FROM visits",
+    "user_documents_flat": sessions(SIX_HOURS) + f"SELECT CAST(0 AS BIGINT) AS part, {VISIT} FROM visits",
     "user_documents_heads": sessions(SIX_HOURS) + f"""SELECT u.user_id, u.age, u.gender, u.location,
         CASE WHEN u.interests IS NULL THEN '' ELSE replace(u.interests, ' , ,', '|') END AS interests,
         {iso('CAST(u.signup_date AS TIMESTAMP)')} AS signup_date, coalesce(max(v.session_seq), 0) AS n_sessions
         FROM users u LEFT JOIN visits v ON u.user_id = v.user_id
         GROUP BY u.user_id, u.age, u.gender, u.location, u.interests, u.signup_date""",
-    "user_history_flat": sessions(1800) + f"SELECT 0 AS part, {VISIT} FROM visits WHERE {USER}",
+    "user_history_flat": sessions(1800) + f"SELECT CAST(0 AS BIGINT) AS part, {VISIT} FROM visits WHERE {USER}",
     "last_sessions": sessions(1800) + f"SELECT {VISIT} FROM visits WHERE {USER} AND session_seq > n_sessions - 5",
     "last_sessions_each": sessions(SIX_HOURS) + f"SELECT {VISIT} FROM visits WHERE session_seq > n_sessions - 5",
     "last_sessions_of_documents":
-        sessions(SIX_HOURS) + f"SELECT 0 AS part, {VISIT} FROM visits WHERE session_seq > n_sessions - 5",
+        sessions(SIX_HOURS) + f"SELECT CAST(0 AS BIGINT) AS part, {VISIT} FROM visits WHERE session_seq > n_sessions - 5",
     "hourly_performance": hourly("advertiser_name = 'NATION_3' AND", "", 24),
     "hourly_performance_each": hourly("", "advertiser_name,", 24 * 31),
     "hourly_click_performance": hourly_clicks("advertiser_name = 'NATION_3' AND", ""),
@@ -364,14 +366,14 @@ ORACLE: dict[str, str] = {
         WHERE {USER} AND click_timestamp IS NOT NULL GROUP BY category
         ORDER BY click_count DESC, category NULLS FIRST LIMIT 3""",
     "targeting_categories_each": AD + """SELECT user_id, category, count(*) AS click_count,
-        row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, category NULLS FIRST) AS place
+        CAST(row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, category NULLS FIRST) AS INTEGER) AS place
         FROM shown WHERE click_timestamp IS NOT NULL GROUP BY user_id, category QUALIFY place <= 3""",
     "active_subject": AD + """SELECT user_id, advertiser_name FROM shown
         WHERE user_id = (SELECT min(user_id) FROM shown WHERE click_timestamp IS NOT NULL)
         ORDER BY ts NULLS FIRST, impression_id LIMIT 1""",
     "user_engagements": sessions(1800) + f"{ENGAGEMENT} WHERE {USER}",
     "user_engagements_each": sessions(1800) + ENGAGEMENT,
-    "engaged_documents": AD + "SELECT DISTINCT user_id, 0 AS part FROM shown WHERE click_timestamp IS NOT NULL",
+    "engaged_documents": AD + "SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS part FROM shown WHERE click_timestamp IS NOT NULL",
     "validation_summary": AD + """SELECT 'impressions' AS metric, count(*) AS value FROM impressions
         UNION ALL SELECT 'clicks', count(*) FROM clicks UNION ALL SELECT 'user_documents', count(*) FROM users
         UNION ALL SELECT 'engaged_users', count(DISTINCT user_id) FROM shown WHERE click_timestamp IS NOT NULL""",
@@ -409,8 +411,9 @@ ORACLE: dict[str, str] = {
     "customer_haters_by_month": month_table("hater_months", "customer_id"),
     "customer_backers_by_month": month_table("backer_months", "customer_id"),
     "customer_classes_by_month": REVIEWS + """SELECT year_month, customer_id,
-        count(*) FILTER (verified_purchase) AS verified, count(*) FILTER (star_rating IN (1, 2)) AS haters,
-        count(*) FILTER (star_rating IN (4, 5)) AS backers FROM strict GROUP BY year_month, customer_id""",
+        CAST(count(*) FILTER (verified_purchase) AS INTEGER) AS verified,
+        CAST(count(*) FILTER (star_rating IN (1, 2)) AS INTEGER) AS haters,
+        CAST(count(*) FILTER (star_rating IN (4, 5)) AS INTEGER) AS backers FROM strict GROUP BY year_month, customer_id""",
     "top_products": top("product_months"),
     "top_products_of_month_table": top("product_months"),
     "top_customers": top("verified_months"),

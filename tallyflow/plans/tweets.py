@@ -13,6 +13,11 @@ SOURCE = "amazon_reviews"
 TEXT_LIMIT = 280
 MINUTE_FILE = "tweets_{minute}.csv"
 
+# fixed values: message fields, each list in the order it is tried
+AUTHOR_FIELDS = ["author_id", "user_id", "customer_id"]
+TEXT_FALLBACKS = ["review_body", "review_headline"]
+MESSAGE_FIELDS = ["created_at", "text", *AUTHOR_FIELDS, *TEXT_FALLBACKS]
+
 
 def build_tweets(reviews: DataFrame, now: str | None = None, sequence: Column | None = None) -> DataFrame:
     """One record per review: squeezed text of at most 280 characters, created now.
@@ -24,10 +29,11 @@ def build_tweets(reviews: DataFrame, now: str | None = None, sequence: Column |
     number = F.xxhash64(*reviews.columns) if sequence is None else sequence
     created = iso_utc(utc(now))
     body = squeeze(first_filled(F.col("review_body"), F.col("review_headline"), F.lit("")))
-    return reviews.select(
+    # a column of its own, so that the text is squeezed once
+    return reviews.withColumn("_body", F.coalesce(body, F.lit(""))).select(
         first_filled(F.col("review_id"), F.concat(F.lit("generated-"), number.cast("string"))).alias("tweet_id"),
         first_filled(F.col("customer_id"), F.lit("unknown")).alias("user_id"),
-        F.coalesce(ellipsize(body, TEXT_LIMIT), F.lit("")).alias("text"),
+        ellipsize(F.col("_body"), TEXT_LIMIT).alias("text"),
         created.alias("created_at"),
         created.alias("review_date"),
         F.col("review_date").alias("original_review_date"),
@@ -52,10 +58,6 @@ def parsed_objects(messages: DataFrame) -> DataFrame:
     return payload.filter(kind.startswith("OBJECT<") & (kind != "OBJECT<>"))
 
 
-def _field(name: str) -> Column:
-    return F.try_variant_get("payload", f"$.{name}", "variant")
-
-
 def _shown(value: Column) -> Column:
     """Text of a JSON scalar; a true flag reads ``True``."""
     text = F.try_variant_get(value, "$", "string")
@@ -79,12 +81,14 @@ def tweet_rows(messages: DataFrame, now: str | None = None) -> DataFrame:
 
     ``created_at`` is the ISO text, ``created_ts`` the timestamp behind it.
     """
-    author = F.coalesce(*[_truthy(_field(f)) for f in ("author_id", "user_id", "customer_id")], F.lit(""))
-    text = F.coalesce(_shown(_field("text")), _truthy(_field("review_body")),
-                      _truthy(_field("review_headline")), F.lit(""))
-    rows = parsed_objects(messages).select(
+    fields = parsed_objects(messages).select(
+        *[F.try_variant_get("payload", f"$.{name}", "variant").alias(name) for name in MESSAGE_FIELDS]
+    )
+    author = F.coalesce(*[_truthy(F.col(f)) for f in AUTHOR_FIELDS], F.lit(""))
+    text = F.coalesce(_shown(F.col("text")), *[_truthy(F.col(f)) for f in TEXT_FALLBACKS], F.lit(""))
+    rows = fields.select(
         author.alias("author_id"),
-        from_json_scalar(_field("created_at"), utc(now)).alias("created_ts"),
+        from_json_scalar(F.col("created_at"), utc(now)).alias("created_ts"),
         squeeze(text).alias("text"),
     )
     return rows.withColumn("created_at", iso_utc(F.col("created_ts")))
