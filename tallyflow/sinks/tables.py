@@ -30,17 +30,20 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_sorted(df: DataFrame, path: str, order: Sequence[str], descending: Sequence[str] = (),
-                 partition_by: Sequence[str] = ()) -> None:
-    """Replace a table laid out by its key.
+def by_range(df: DataFrame, order: Sequence[str], descending: Sequence[str] = ()) -> DataFrame:
+    """Rows range-partitioned and sorted on a whole key.
 
-    Rows are range-partitioned on the whole key, so one hot leading value
-    spreads over many files, and each file covers a narrow key range that
-    lookups can prune.
+    One hot leading value spreads over many partitions, and each covers a
+    narrow key range that lookups can prune.
     """
     columns = [F.desc(c) if c in descending else F.asc(c) for c in order]
-    laid_out = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
-    overwrite(laid_out, path, partition_by=partition_by)
+    return df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+
+
+def write_sorted(df: DataFrame, path: str, order: Sequence[str], descending: Sequence[str] = (),
+                 partition_by: Sequence[str] = ()) -> None:
+    """Replace a table laid out by its key."""
+    overwrite(by_range(df, order, descending), path, partition_by=partition_by)
 
 
 def write_version(df: DataFrame, path: str, version: int) -> None:
@@ -79,8 +82,32 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_star(users_raw: DataFrame, campaigns_raw: DataFrame, events_raw: DataFrame, root: str, ci: bool = False) -> Star:
-    """Load the five star tables, parents first; children check their keys against the written parents."""
-    return load_star(users_raw, campaigns_raw, events_raw, ci, lambda df, name: stored(df, f"{root}/{name}"))
+    """Load the five star tables, parents first; children check their keys against the written parents.
+
+    Impressions are laid out by time, so that reports over a range skip the rest.
+    """
+    def store(df: DataFrame, name: str) -> DataFrame:
+        if name == "impressions":
+            df = by_range(df, ["timestamp", "impression_id"])
+        return stored(df, f"{root}/{name}")
+
+    return load_star(users_raw, campaigns_raw, events_raw, ci, store)
+
+
+def save_star(star: Star, database: str, root: str, buckets: int) -> None:
+    """Save the star as catalog tables with both fact tables bucketed by impression.
+
+    Reports join the two on every run; equal buckets make that join free of
+    shuffles. Ids are unique, so buckets are even.
+    """
+    for name in ("advertisers", "users", "campaigns", "impressions", "clicks"):
+        df = getattr(star, name)
+        if name in ("impressions", "clicks"):
+            df = df.repartition(buckets, "impression_id")
+            writer = df.write.bucketBy(buckets, "impression_id").sortBy("impression_id")
+        else:
+            writer = df.write
+        writer.mode("overwrite").option("path", f"{root}/{name}").saveAsTable(f"{database}.{name}")
 
 
 def write_review_results(clean: DataFrame, root: str, fmt: str = "parquet") -> None:

@@ -53,8 +53,9 @@ def read_campaigns(spark: SparkSession, path: str) -> DataFrame:
 
 def read_events(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Events CSV; columns count by header name. ``limit`` loads that many rows only."""
-    # without a schema the reader takes names from the header and keeps text
-    raw = spark.read.options(**QUOTING).csv(path)
+    # without a schema the reader takes names from the header and keeps text; a file
+    # whose header differs from the first one's fails instead of mixing columns up
+    raw = spark.read.options(**QUOTING, enforceSchema="false").csv(path)
     return _typed(raw if limit is None else raw.limit(limit), EVENTS_RAW)
 
 

@@ -2,6 +2,7 @@ import os
 from datetime import date, datetime
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyflow.plans.star import load_star
@@ -41,6 +42,16 @@ def test_advertising_files(spark, rows, folder):
     assert rows(star.clicks.select("click_timestamp")) == [(None,), (datetime(2024, 1, 5, 10, 0, 5),)]
 
 
+def test_event_columns_count_by_name(spark, folder):
+    names = EVENT_HEADER.split(",")
+    os.mkdir(f"{folder}/events")
+    write(folder, "events/a.csv", EVENT_HEADER, ",".join(f"{n}" if n == "Device" else "" for n in names))
+    assert files.read_events(spark, f"{folder}/events").first().Device == "Device"
+    write(folder, "events/b.csv", ",".join(reversed(names)), "," * (len(names) - 1))
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        files.read_events(spark, f"{folder}/events").collect()
+
+
 def test_missing_values(spark, rows):
     df = spark.createDataFrame([("nan", float("nan")), ("x", 1.0)], "s string, d double")
     assert rows(files.missing_to_null(df)) == [(None, None), ("x", 1.0)]

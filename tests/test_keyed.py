@@ -10,8 +10,8 @@ from tallyflow.operators.keyed import (
     duplicate_keys, first_per_key, insert_ignore, last_per_key, newest_version, surrogate_ids, upsert)
 from tallyflow.plans.reports import with_clicks
 from tallyflow.plans.star import load_advertisers, load_campaigns, load_impressions, load_star
-from tallyflow.sinks.tables import compact, read_newest, write_star, write_version
-from tallyflow.sources.relational import star_from_folder
+from tallyflow.sinks.tables import compact, read_newest, save_star, write_star, write_version
+from tallyflow.sources.relational import star_from_catalog, star_from_folder
 
 UUID = "8A32D1F9-0000-4000-8000-00000000000"
 
@@ -121,6 +121,22 @@ def test_load_star(spark, rows, folder):
     assert star_from_folder(spark, f"{folder}/star").impressions.count() == 4
 
 
+def test_bucketed_facts_join_without_shuffle(spark, rows, folder):
+    star = load_star(*raw_frames(spark))
+    save_star(star, "default", folder, 4)
+    saved = star_from_catalog(spark, "default")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        joined = with_clicks(saved.impressions, saved.clicks, "click_id")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert rows(joined) == rows(with_clicks(star.impressions, star.clicks, "click_id"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in ("advertisers", "users", "campaigns", "impressions", "clicks"):
+            spark.sql(f"DROP TABLE {name}")
+
+
 def test_second_load_ignores_known_keys(spark):
     users, campaigns, events = raw_frames(spark)
     star = load_star(users, campaigns, events)
