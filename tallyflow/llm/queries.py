@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyflow.llm.bpe import encode_digests
 from tallyflow.llm.exact_dedup import exact_classes
+from tallyflow.llm.packing import pack
 from tallyflow.llm.sharding import shard_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,9 +26,19 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sharding": op2_sharding,
+    "op3_packing": op3_packing,
+    "op10_bpe": op10_bpe,
 }
 
 LLM_ORACLE: dict[str, str] = {
