@@ -10,6 +10,8 @@ from tallyflow.llm.bpe import encode_digests
 from tallyflow.llm.exact_dedup import exact_classes
 from tallyflow.llm.packing import pack
 from tallyflow.llm.sharding import shard_rows
+from tallyflow.llm.simhash import near_duplicates
+from tallyflow.llm.warc import archive_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +32,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"))
 
@@ -38,6 +48,8 @@ LLM_QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
+    "op5_warc": op5_warc,
+    "op8_simhash": op8_simhash,
     "op10_bpe": op10_bpe,
 }
 
@@ -51,4 +63,18 @@ LLM_ORACLE: dict[str, str] = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op5_warc": """
+        WITH records AS (
+            SELECT page_id, coalesce(html, '') AS payload FROM pages
+        ), kept AS (
+            SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest,
+                   CASE WHEN strlen(payload) >= 1000 THEN max(page_id) OVER (PARTITION BY payload)
+                        ELSE page_id END AS keep
+            FROM records
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN keep = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN keep <> page_id THEN keep END AS refers_to
+        FROM kept
+    """,
 }
