@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyflow.llm.ann import nearest
 from tallyflow.llm.bpe import encode_digests
 from tallyflow.llm.exact_dedup import exact_classes
 from tallyflow.llm.packing import pack
@@ -36,6 +37,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ LLM_QUERIES: dict[str, Query] = {
     "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
     "op5_warc": op5_warc,
+    "op6_ann": op6_ann,
     "op8_simhash": op8_simhash,
     "op10_bpe": op10_bpe,
 }
