@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -67,15 +67,14 @@ def chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return offsets, codes, words
 
 
-def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Positions of ragged slices laid end to end: starts[0], starts[0] + 1, ..., starts[1], ..."""
-    total = int(lengths.sum())
-    if total == 0:
-        return np.zeros(0, np.int64)
-    ends = np.cumsum(lengths)
-    out = np.arange(total, dtype=np.int64)
-    out += np.repeat(starts - (ends - lengths), lengths)
-    return out
+def slices(batch: pa.RecordBatch, column: int = 1, limit: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows of up to ``limit`` bytes of text (one row if that is longer)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + limit, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def lower_ascii(text: str) -> str:

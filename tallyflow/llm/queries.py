@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyflow.llm.ann import nearest
 from tallyflow.llm.bpe import encode_digests
 from tallyflow.llm.exact_dedup import exact_classes
+from tallyflow.llm.langid import identify
 from tallyflow.llm.packing import pack
 from tallyflow.llm.sharding import shard_rows
 from tallyflow.llm.simhash import near_duplicates
@@ -45,6 +46,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ LLM_QUERIES: dict[str, Query] = {
     "op5_warc": op5_warc,
     "op6_ann": op6_ann,
     "op8_simhash": op8_simhash,
+    "op9_language": op9_language,
     "op10_bpe": op10_bpe,
 }
 
