@@ -13,6 +13,7 @@ from tallyflow.llm.langid import identify
 from tallyflow.llm.packing import pack
 from tallyflow.llm.sharding import shard_rows
 from tallyflow.llm.simhash import near_duplicates
+from tallyflow.llm.toxicity import toxicity
 from tallyflow.llm.warc import archive_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +43,10 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ LLM_QUERIES: dict[str, Query] = {
     "op3_packing": op3_packing,
     "op5_warc": op5_warc,
     "op6_ann": op6_ann,
+    "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
     "op9_language": op9_language,
     "op10_bpe": op10_bpe,
