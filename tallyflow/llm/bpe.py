@@ -13,6 +13,7 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from tallyflow.llm.common import chunks, needed, ready
+from tallyflow.llm.common import chunks, needed, ready, slices
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 
-#: Words kept with their encoding in a worker; a full memo starts anew, which costs time and changes nothing.
-MEMO_WORDS = 300_000
+#: Entries of each of a memo's two halves. What a full memo forgets is encoded again and comes out the same.
+MEMO_WORDS = 200_000
 
 NEVER = 1 << 40
 
@@ -50,6 +51,41 @@ def byte_signs() -> list[str]:
 SIGNS = str.maketrans({b: s for b, s in enumerate(byte_signs())})
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def unpacked(raw: bytes) -> list[int]:
+    return list(struct.unpack(f"<{len(raw) // 4}I", raw))
+
+
+class Memo:
+    """A bounded store: when the newer half is full it becomes the older one, and what is used again moves on."""
+
+    def __init__(self, size: int = MEMO_WORDS):
+        self.size, self.new, self.old = size, {}, {}
+
+    def missing(self, keys: list[str]) -> list[str]:
+        """Keys that are not held; the others are safe until the next ``put``."""
+        new, old = self.new, self.old
+        return [k for k in keys if k not in new and k not in old]
+
+    def put(self, found: dict) -> None:
+        self.new.update(found)
+
+    def take(self, keys: list[str]) -> list:
+        """Values of keys that are held."""
+        new, old, out = self.new, self.old, []
+        for k in keys:
+            value = new.get(k)
+            if value is None:
+                value = new[k] = old[k]
+            out.append(value)
+        if len(new) > self.size:
+            self.old, self.new = new, {}
+        return out
+
+
 class WordBpe:
     """A word-level BPE vocabulary with an end-of-word suffix, read from a ``tokenizers`` file."""
 
@@ -70,10 +106,13 @@ class WordBpe:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         ids = self.vocabulary
         self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        size = len(self.names)
+        self.rank_of = {a * size + b: rank for (a, b), (rank, _) in self.merges.items()}
+        self.result = [ids[a + b] for a, b in pairs]
         self.longest = max(map(len, ids))
         self._spines(pairs)
         self.known_pairs: dict[int, bool] = {}
-        self.memo: dict[str, np.ndarray] = {}
+        self.chunk_memo, self.word_memo = Memo(), Memo()
 
     def _spines(self, pairs: list[tuple[str, str]]) -> None:
         """Of each token the nodes on its left and right border, each with the rank of the merge that ends it."""
@@ -111,6 +150,17 @@ class WordBpe:
                 number in made and self._merge(self._signs(name)) == [number])
         }
 
+        inner = {name: number for name, number in self.proposable.items() if not self._final(name)}
+        self.ends = {n.removesuffix(self.suffix): i for n, i in self.proposable.items() if self._final(n)}
+        self.proposable = inner
+        # the longest token that starts with two signs
+        self.reach: dict[str, int] = {}
+        for name in inner:
+            self.reach[name[:2]] = max(len(name), self.reach.get(name[:2], 1))
+
+    def _final(self, name: str) -> bool:
+        return name.endswith(self.suffix) and len(name) > len(self.suffix)
+
     def _signs(self, name: str) -> list[int]:
         """Ids of the single signs of a word or token, the last with the suffix if the name has it."""
         ids = self.vocabulary
@@ -121,6 +171,22 @@ class WordBpe:
 
     def _merge(self, symbols: list[int]) -> list[int]:
         """Exact merging: the lowest rank first, the leftmost of equal ones."""
+        if len(symbols) > 40:
+            return self._merge_long(symbols)
+        rank_of, result, size = self.rank_of, self.result, len(self.names)
+        ranks = [rank_of.get(a * size + b, NEVER) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while ranks and (lowest := min(ranks)) < NEVER:
+            i = ranks.index(lowest)
+            symbols[i : i + 2] = [result[lowest]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank_of.get(symbols[i - 1] * size + symbols[i], NEVER)
+            if i < len(ranks):
+                ranks[i] = rank_of.get(symbols[i] * size + symbols[i + 1], NEVER)
+        return symbols
+
+    def _merge_long(self, symbols: list[int]) -> list[int]:
+        """The same with a queue of pairs, for words of any length."""
         merges, n = self.merges, len(symbols)
         after = list(range(1, n)) + [-1]
         before = list(range(-1, n - 1))
@@ -145,15 +211,15 @@ class WordBpe:
 
     def _propose(self, word: str) -> list[int]:
         """Greedy longest matches; every sign is a token with and without the suffix, so there is always one."""
-        known, suffix, longest, n = self.proposable, self.suffix, self.longest, len(word)
+        known, reach, ends, n = self.proposable, self.reach, self.ends, len(word)
         found, at = [], 0
         while at < n:
-            if n - at < longest and (token := known.get(word[at:] + suffix)) is not None:
+            if (token := ends.get(word[at:]) if n - at <= self.longest else None) is not None:
                 found.append(token)
                 break
-            for end in range(min(n - 1, at + longest), at, -1):
-                if (token := known.get(word[at:end])) is not None:
-                    break
+            end = min(n - 1, at + reach.get(word[at : at + 2], 1))
+            while (token := known.get(word[at:end])) is None:
+                end -= 1
             found.append(token)
             at = end
         return found
@@ -219,35 +285,34 @@ class WordBpe:
         library = self.library
         return [w for w, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(chunk))]
 
-    def encode_chunks(self, new: list[str]) -> list[np.ndarray]:
-        """Ids of pieces of text without ASCII white space; pieces encode apart from each other."""
-        memo = self.memo
-        missing = [c for c in new if c not in memo]
-        if missing:
-            if len(memo) + len(missing) > MEMO_WORDS:
-                memo.clear()
-                missing = new
-            found = dict.fromkeys(missing)
-            split = {c: self.parts(c) for c in found}
-            words = list(dict.fromkeys(w for parts in split.values() for w in parts if isinstance(w, str)))
-            ids = dict(zip(words, self.encode_words(words), strict=True))
-            for c, parts in split.items():
-                found[c] = np.array([t for w in parts for t in ((w,) if isinstance(w, int) else ids[w])], np.uint32)
-            out = [found[c] if c in found else memo[c] for c in new]
-            memo.update(list(found.items())[:MEMO_WORDS])
-            return out
-        return [memo[c] for c in new]
+    def encode_chunks(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces of text without ASCII white space, as unsigned little-endian 32-bit numbers.
 
-    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Texts as (offsets, codes, length of each distinct piece, ids of each distinct piece)."""
+        Pieces encode apart from each other.
+        """
+        missing = self.chunk_memo.missing(pieces)
+        if missing:
+            split = [self.parts(c) for c in missing]
+            words = list(dict.fromkeys([w for parts in split for w in parts if isinstance(w, str)]))
+            new = self.word_memo.missing(words)
+            if new:
+                self.word_memo.put(dict(zip(new, map(packed, self.encode_words(new)), strict=True)))
+            ids = dict(zip(words, self.word_memo.take(words), strict=True))
+            self.chunk_memo.put({
+                c: ids[parts[0]] if len(parts) == 1 and isinstance(parts[0], str)
+                else b"".join([packed([w]) if isinstance(w, int) else ids[w] for w in parts])
+                for c, parts in zip(missing, split, strict=True)})
+        return self.chunk_memo.take(pieces)
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Texts as (offsets, codes, ids of each distinct piece)."""
         offsets, codes, words = chunks(texts)
-        ids = self.encode_chunks(words.to_pylist())
-        return offsets, codes, np.array([len(i) for i in ids], np.int64), ids
+        return offsets, codes, self.encode_chunks(words.to_pylist())
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of one text."""
-        offsets, codes, _, ids = self.encode_batch(pa.array([text], pa.string()))
-        return [t for c in codes.tolist() for t in ids[c].tolist()]
+        _, codes, ids = self.encode_batch(pa.array([text], pa.string()))
+        return unpacked(b"".join([ids[c] for c in codes.tolist()]))
 
     def decode(self, ids: list[int]) -> str:
         """The names of the tokens with a space between, as the library decodes a file without a decoder."""
@@ -262,16 +327,18 @@ def vocabulary(path: str) -> WordBpe:
 
 def digests(bpe: WordBpe, texts: pa.Array) -> list[tuple[int, str, str]]:
     """Of each text: number of ids, digest of the ids as text, digest of the decoded text."""
-    offsets, codes, lengths, ids = bpe.encode_batch(texts)
-    numbers = [("".join([f"{t} " for t in i.tolist()])).encode() for i in ids]
-    names = [("".join([f"{bpe.names[t]} " for t in i.tolist()])).encode() for i in ids]
+    offsets, codes, ids = bpe.encode_batch(texts)
+    lists = [unpacked(i) for i in ids]
+    numbers = ["".join([f"{t} " for t in i]).encode() for i in lists]
+    names = ["".join([f"{bpe.names[t]} " for t in i]).encode() for i in lists]
+    lengths = np.array([len(i) for i in lists], np.int64)
     out = []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         own = codes[a:b].tolist()
         out.append((
             int(lengths[codes[a:b]].sum()),
-            hashlib.sha256(b"".join(map(numbers.__getitem__, own))[:-1]).hexdigest(),
-            hashlib.sha256(b"".join(map(names.__getitem__, own))[:-1]).hexdigest(),
+            hashlib.sha256(b"".join([numbers[c] for c in own])[:-1]).hexdigest(),
+            hashlib.sha256(b"".join([names[c] for c in own])[:-1]).hexdigest(),
         ))
     return out
 
@@ -288,12 +355,13 @@ def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
-        for batch in batches:
-            found = digests(bpe, batch.column(1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, t) for c, t in zip(
-                    zip(*found, strict=True) if found else ([], [], []), (pa.int64(), pa.string(), pa.string()), strict=True))],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        kinds = (pa.int64(), pa.string(), pa.string())
+        for whole in batches:
+            for batch in slices(whole):
+                columns = zip(*digests(bpe, batch.column(1)), strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return needed(docs, ["doc_id", "text"]).mapInArrow(
@@ -307,12 +375,14 @@ def encode_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
-        for batch in batches:
-            offsets, codes, lengths, ids = bpe.encode_batch(batch.column(1))
-            flat = np.concatenate([np.zeros(0, np.uint32), *(ids[c] for c in codes.tolist())]).astype(np.int32)
-            ends = np.concatenate([[0], np.cumsum(lengths[codes])])[offsets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["doc_id", "ids"])
+        for whole in batches:
+            for batch in slices(whole):
+                offsets, codes, ids = bpe.encode_batch(batch.column(1))
+                flat = np.frombuffer(b"".join([ids[c] for c in codes.tolist()]), "<i4")
+                lengths = np.array([len(i) // 4 for i in ids], np.int64)
+                ends = np.concatenate([[0], np.cumsum(lengths[codes])])[offsets]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return needed(docs, ["doc_id", "text"]).mapInArrow(run, f"doc_id {kind}, ids array<int>")

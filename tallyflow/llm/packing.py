@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyflow.llm.bpe import DEFAULT_VOCABULARY, vocabulary
-from tallyflow.llm.common import needed, ready, stored
+from tallyflow.llm.common import needed, ready, slices, stored
 
 WINDOW = 4096
 #: Lengths are rounded up to multiples of this for planning.
@@ -111,16 +111,15 @@ def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
-        for batch in batches:
-            offsets, codes, _, ids = bpe.encode_batch(batch.column(1))
-            raw = [i.astype("<u4").tobytes() for i in ids]
-            rows = []
-            for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                own = b"".join([*map(raw.__getitem__, codes[a:b].tolist()), end])
-                for at in range(0, len(own), 4 * window):
-                    part = own[at : at + 4 * window]
-                    rows.append((k, at // 4, len(part) // 4, zlib.crc32(part), len(own) // 4))
-            if rows:
+        for whole in batches:
+            for batch in slices(whole):
+                offsets, codes, ids = bpe.encode_batch(batch.column(1))
+                rows = []
+                for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                    own = b"".join([*[ids[c] for c in codes[a:b].tolist()], end])
+                    for at in range(0, len(own), 4 * window):
+                        part = own[at : at + 4 * window]
+                        rows.append((k, at // 4, len(part) // 4, zlib.crc32(part), len(own) // 4))
                 which, *values = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(which, pa.int64())), *(pa.array(v, pa.int64()) for v in values)],
