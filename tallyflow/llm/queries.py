@@ -10,6 +10,7 @@ from tallyflow.llm.ann import nearest
 from tallyflow.llm.bpe import encode_digests
 from tallyflow.llm.exact_dedup import exact_classes
 from tallyflow.llm.langid import identify
+from tallyflow.llm.lm_score import scores
 from tallyflow.llm.packing import pack
 from tallyflow.llm.sharding import shard_rows
 from tallyflow.llm.simhash import near_duplicates
@@ -35,6 +36,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
@@ -63,6 +68,7 @@ LLM_QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
+    "op4_lm_score": op4_lm_score,
     "op5_warc": op5_warc,
     "op6_ann": op6_ann,
     "op7_toxicity": op7_toxicity,
