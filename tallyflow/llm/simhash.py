@@ -209,6 +209,28 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def fingerprinted(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, value) of whole texts, stored."""
+    ready(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(fingerprints(batch.column(1), shingle)), batch.column(2)],
+                ["doc_id", "value", "text_sha256"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = needed(docs, ["doc_id", "text"]).withColumn("text_sha256", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    return stored(rows.mapInArrow(run, f"doc_id {kind}, value long, text_sha256 string"), "fingerprints")
+
+
+def rooted(rows: DataFrame, radius: int) -> DataFrame:
+    """(value, root) of every distinct fingerprint: root is the smallest fingerprint it is linked to."""
+    values = stored(rows.select("value").distinct(), "values")
+    roots = components(links(values, radius)).withColumnRenamed("node", "value")
+    return stored(values.join(roots, "value", "left").withColumn("root", F.coalesce("root", "value")), "rooted")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -218,21 +240,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     smallest doc_id that can be reached, the own one included (null if none of them has an id). Rows that
     repeat are rows of their own; no rows give no rows; further columns are ignored.
     """
-    ready(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(fingerprints(batch.column(1), shingle))], ["doc_id", "value"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = stored(needed(docs, ["doc_id", "text"]).mapInArrow(run, f"doc_id {kind}, value long"), "fingerprints")
-    values = stored(rows.groupBy("value").agg(F.min("doc_id").alias("first")), "values")
-    roots = components(links(values.select("value"), radius))
-    rooted = values.join(roots.withColumnRenamed("node", "value"), "value", "left").withColumn(
-        "root", F.coalesce("root", "value"))
-    rooted = stored(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = stored(rooted.join(least, "root").select("value", "component_id"), "named")
+    rows = fingerprinted(docs, shingle)
+    roots = rooted(rows, radius)
+    # the smallest id of a fingerprint, then of a component: both combined before they are shuffled
+    first = rows.groupBy("value").agg(F.min("doc_id").alias("first")).join(roots, "value")
+    least = first.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = stored(roots.join(least, "root").select("value", "component_id"), "named")
     return rows.join(named, "value").select(
         "doc_id", F.lower(F.lpad(F.hex("value"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
+    """One document of each group of ``near_duplicates``, with the columns they came with.
+
+    The smallest doc_id stays, rows without an id last; of those with one id the text of the smallest
+    sha256. Rows that repeat an id and a text stay or go together (exact deduplication tells them apart).
+    """
+    rows = fingerprinted(docs, shingle)
+    grouped = stored(rows.join(rooted(rows, radius), "value"), "grouped")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_sha256")
+    sizes = grouped.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("n")).filter("n > 1")
+    best = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_sha256") == F.col("best.text_sha256"))
+    going = stored(grouped.join(sizes, "root").filter(~best).select("doc_id", "text_sha256"), "going").distinct()
+    sha = F.sha2(F.coalesce(F.col("d.text"), F.lit("")), 256)
+    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (sha == F.col("g.text_sha256"))
+    return docs.alias("d").join(going.alias("g"), same, "left_anti")
