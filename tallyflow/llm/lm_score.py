@@ -252,7 +252,8 @@ def smoothed(table: np.ndarray, classes: Classes, mass: np.ndarray) -> np.ndarra
     np.add.at(groups, classes.context, table)
     groups = (groups + SMOOTHING * (mass / mass.sum())) / (groups.sum(1, keepdims=True) + SMOOTHING)
     total = table.sum(1, keepdims=True)
-    return np.log((table + SMOOTHING * groups[classes.context]) / (total + SMOOTHING)).astype(np.float32)
+    chances = (table + SMOOTHING * groups[classes.context]) / (total + SMOOTHING)
+    return np.log(np.maximum(chances, 1e-30)).astype(np.float32)
 
 
 def shapes() -> dict[str, tuple[int, ...]]:
