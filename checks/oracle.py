@@ -232,7 +232,7 @@ BODY = squeeze("coalesce(nullif(body, ''), nullif(headline, ''), '')")
 TWEETS = f"""
 WITH source_rows AS (
   SELECT doc_id, CASE WHEN doc_id % 31 = 0 THEN '' ELSE source END AS customer,
-         CASE WHEN doc_id % 29 = 0 THEN '' ELSE text END AS body,
+         text AS body,
          CASE WHEN doc_id % 58 = 0 THEN NULL ELSE lang || chr(9) || ' headline' END AS headline
   FROM documents),
 squeezed AS (SELECT *, {BODY} AS body_text FROM source_rows),
@@ -254,13 +254,16 @@ WITH turns AS (
 said AS (
   SELECT CASE kind WHEN 1 THEN CAST(conv_id AS VARCHAR) WHEN 3 THEN '' ELSE role END AS author_id,
          CASE kind WHEN 3 THEN date_trunc('day', moment) WHEN 4 THEN TIMESTAMP '2024-06-01 12:00:00' ELSE moment END
-           AS created,
-         CASE kind WHEN 3 THEN '' WHEN 4 THEN role ELSE {squeeze('text')} END AS text
-  FROM turns WHERE kind < 5)
+           AS created, {squeeze('text')} AS text
+  FROM turns)
 """
 
 PAGES = """
-WITH kept AS (
+WITH timed AS (
+  SELECT page_id, url, coalesce(e.user_id, page_id) AS user_id,
+         coalesce(e.ts, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id % 86400)) AS ts
+  FROM pages LEFT JOIN events e ON page_id = event_id),
+kept AS (
   SELECT CAST(user_id AS VARCHAR) AS user_id,
          CASE page_id % 5 WHEN 0 THEN 'en.wikipedia.org' WHEN 1 THEN 'www.wikidata.org'
            ELSE 'commons.wikimedia.org' END AS domain,
@@ -268,7 +271,7 @@ WITH kept AS (
          CASE WHEN page_id % 6 <> 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ')
            ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') END AS created_at,
          url AS page_title
-  FROM pages JOIN events ON page_id = event_id
+  FROM timed
   WHERE page_id % 5 < 3 AND page_id % 4 < 2 AND page_id % 19 <> 0)
 """
 
@@ -310,9 +313,8 @@ ORACLE: dict[str, str] = {
         SELECT campaign_id, campaign_name, count(click_id) / count(impression_id) * 100 AS ctr_percentage
         FROM shown WHERE {MONTH} GROUP BY campaign_id, campaign_name)
         ORDER BY ctr_percentage DESC, campaign_id LIMIT 5""",
-    "advertiser_spending": AD + f"""SELECT a.name AS advertiser_name, {dbl('sum(i.cost_paid)')} AS total_spent
-        FROM advertisers a JOIN campaigns c ON a.advertiser_id = c.advertiser_id
-        JOIN impressions i ON c.campaign_id = i.campaign_id WHERE {MONTH} GROUP BY a.advertiser_id, a.name""",
+    "advertiser_spending": AD + f"""SELECT advertiser_name, {dbl('sum(cost_paid)')} AS total_spent
+        FROM shown WHERE {MONTH} GROUP BY advertiser_name""",
     "cost_efficiency": AD + f"""SELECT campaign_name, {dbl('sum(cost_paid)')} / nullif(count(click_id), 0) AS avg_cpc,
         {dbl('sum(cost_paid)')} / count(impression_id) * 1000 AS avg_cpm
         FROM shown GROUP BY campaign_id, campaign_name""",
@@ -342,6 +344,12 @@ ORACLE: dict[str, str] = {
         FROM impressions""",
     "load_star_schema_clicks": LOADED + f"""SELECT impression_id AS click_id, impression_id,
         {iso('click_timestamp')} AS click_timestamp, {dbl('revenue_generated')} AS revenue_generated FROM clicks""",
+    "load_star_second": LOADED + f"""SELECT impression_id, campaign_id, user_id,
+        CASE WHEN ('0x' || right(impression_id, 4))::INTEGER % 2 = 0 THEN device ELSE upper(device) END AS device, location,
+        {iso('ts')} AS "timestamp", {dbl('bid_amount')} AS bid_amount, {dbl('cost_paid')} AS cost_paid
+        FROM impressions""",
+    "load_star_second_clicks": LOADED + f"""SELECT impression_id AS click_id, impression_id,
+        {iso('click_timestamp')} AS click_timestamp, {dbl('revenue_generated')} AS revenue_generated FROM clicks""",
     "user_sessions": sessions(1800) + SUMMARY,
     "user_sessions_6h": sessions(SIX_HOURS) + SUMMARY,
     "user_documents_flat": sessions(SIX_HOURS) + f"SELECT CAST(0 AS BIGINT) AS part, {VISIT} FROM visits",
@@ -355,6 +363,12 @@ ORACLE: dict[str, str] = {
     "last_sessions_each": sessions(SIX_HOURS) + f"SELECT {VISIT} FROM visits WHERE session_seq > n_sessions - 5",
     "last_sessions_of_documents":
         sessions(SIX_HOURS) + f"SELECT CAST(0 AS BIGINT) AS part, {VISIT} FROM visits WHERE session_seq > n_sessions - 5",
+    "user_documents_split": sessions(SIX_HOURS) + f"SELECT {VISIT} FROM visits",
+    "last_sessions_of_split_documents":
+        sessions(SIX_HOURS) + f"SELECT {VISIT} FROM visits WHERE session_seq > n_sessions - 5",
+    "engaged_split_documents": AD + "SELECT DISTINCT user_id FROM shown WHERE click_timestamp IS NOT NULL",
+    "documents_second_load": f"""SELECT * FROM ({sessions(SIX_HOURS)} SELECT {VISIT} FROM visits WHERE user_id % 3 <> 0)
+        UNION ALL SELECT * FROM ({sessions(1800)} SELECT {VISIT} FROM visits WHERE user_id % 3 = 0)""",
     "hourly_performance": hourly("advertiser_name = 'NATION_3' AND", "", 24),
     "hourly_performance_each": hourly("", "advertiser_name,", 24 * 31),
     "hourly_click_performance": hourly_clicks("advertiser_name = 'NATION_3' AND", ""),
@@ -406,6 +420,9 @@ ORACLE: dict[str, str] = {
     "reviews_by_customer": collapsed(CUSTOMER_KEY) + f"SELECT {SHOWN_REVIEW} FROM kept WHERE customer_id = '41'",
     "review_upsert": collapsed(PRODUCT_KEY) + """SELECT CASE WHEN verified_purchase THEN product_title || ' II'
         ELSE product_title END AS product_title, count(*) AS rows FROM kept GROUP BY ALL""",
+    "review_tables_second_load": collapsed(PRODUCT_KEY) + """SELECT CASE WHEN verified_purchase THEN product_title || ' II'
+        ELSE product_title END AS product_title, count(*) AS rows FROM kept GROUP BY ALL""",
+    "month_tables_second_load": month_table("hater_months", "customer_id"),
     "product_reviews_by_month": month_table("product_months", "product_id"),
     "customer_verified_by_month": month_table("verified_months", "customer_id"),
     "customer_haters_by_month": month_table("hater_months", "customer_id"),
@@ -432,4 +449,7 @@ ORACLE: dict[str, str] = {
     "stream_minute_files": MESSAGES + f"""SELECT author_id, {iso('created')} || '+00:00' AS created_at, text,
         strftime(created, '%d_%m_%Y_%H_%M') AS minute FROM said""",
     "stream_page_creations": PAGE_TABLE,
+    "page_table_new_checkpoint": PAGE_TABLE,
+    "stream_raw_events": """SELECT '{"page":' || page_id || '}' AS value FROM pages UNION ALL
+        SELECT '{"page":' || page_id || ',"url":"' || url || '"}' FROM pages WHERE page_id % 7 <> 0""",
 }

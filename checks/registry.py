@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +12,19 @@ from tallyflow.bindings import driver_tables as data
 from tallyflow.operators.keyed import duplicate_keys, upsert
 from tallyflow.operators.profile import dropped_rows, null_blank_counts
 from tallyflow.plans import documents, engagement, page_events, reports, reviews, tweets
-from tallyflow.plans.star import Star, load_advertisers, load_campaigns, load_clicks, load_impressions, load_users
+from tallyflow.plans.star import (
+    Star,
+    fact_clicks,
+    fact_impressions,
+    load_advertisers,
+    load_campaigns,
+    load_facts,
+    load_users,
+)
 from tallyflow.session import scratch_folder
 from tallyflow.sinks import minutes, tables, topics
+from tallyflow.sources.files import stream_sse
+from tallyflow.sources.relational import star_from_folder
 from tallyflow.sources.topics import folder_topic, stored_topic
 from tallyflow.streaming import jobs
 
@@ -47,10 +58,48 @@ def _loaded(name: str) -> Query:
             return load_campaigns(campaigns, advertisers)
         events = data.raw_events(spark, sf_dir)
         campaigns = tables.stored(load_campaigns(campaigns, advertisers), f"{root}/campaigns")
-        impressions = load_impressions(events, campaigns, tables.stored(load_users(users), f"{root}/users"))
-        if name == "impressions":
-            return impressions
-        return load_clicks(events, tables.stored(impressions, f"{root}/impressions"))
+        facts = load_facts(events, campaigns, tables.stored(load_users(users), f"{root}/users"))
+        return fact_impressions(facts) if name == "impressions" else fact_clicks(facts)
+
+    return run
+
+
+def _loaded_twice(name: str) -> Query:
+    """A star loaded from every second event, then from all events with other devices: what is stored stays."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root = scratch_folder(spark, "star")
+        users, campaigns, events = (f(spark, sf_dir) for f in (data.raw_users, data.raw_campaigns, data.raw_events))
+        even = events.filter("conv(substr(EventID, -2, 1), 16, 10) % 2 = 0")
+        tables.write_star(users.filter("user_id % 2 = 0"), campaigns, even.filter("UserID % 2 = 0"), root)
+        tables.write_star(users, campaigns, even, root)
+        tables.write_star(users, campaigns, events.withColumn("Device", F.upper("Device")), root)
+        return getattr(star_from_folder(spark, root), name)
+
+    return run
+
+
+def _documents_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of all users, then a second load with other sessions for every third user."""
+    root, star = scratch_folder(spark, "documents"), data.star(spark, sf_dir)
+    tables.write_documents(star, root, timeout=SIX_HOURS)
+    again = replace(star, users=star.users.filter("user_id % 3 = 0"), impressions=star.impressions.filter("user_id % 3 = 0"))
+    tables.write_documents(again, root)
+    return documents.flatten(tables.read_documents(spark, root)).drop("part")
+
+
+def _reviews_twice(name: str) -> Query:
+    """Review tables of all reviews, then a second load of the verified ones under a new title."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root, clean = scratch_folder(spark, "reviews"), reviews.clean_strict(data.raw_reviews(spark, sf_dir))
+        if name == "reviews_by_product":
+            second = clean.filter("verified_purchase").withColumn("product_title", F.concat("product_title", F.lit(" II")))
+            tables.write_review_tables(clean, root)
+            tables.write_review_tables(second, root)
+            return tables.read_review_table(spark, root, name).groupBy("product_title").agg(F.count("*").alias("rows"))
+        # months of two halves, each in its own load
+        tables.write_review_tables(clean.filter("month(review_date) % 2 = 0"), root)
+        tables.write_review_tables(clean.filter("month(review_date) % 2 = 1"), root)
+        return tables.read_review_table(spark, root, name).select("year_month", "customer_id", "review_count")
 
     return run
 
@@ -71,6 +120,10 @@ def _last_sessions_nested(s: Star) -> DataFrame:
     return documents.flatten(documents.last_sessions_of_documents(documents.user_documents(s, SIX_HOURS)))
 
 
+def _split(build: Callable[[DataFrame], DataFrame]) -> Query:
+    return _star(lambda s: build(documents.user_documents(s, SIX_HOURS, per_document=5)))
+
+
 def _engaged(s: Star) -> DataFrame:
     return documents.engaged(documents.user_documents(s)).select("user_id", "part")
 
@@ -116,6 +169,27 @@ def _stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_newest(spark, f"{root}/table", page_events.PAGE_KEY).select(*page_events.PAGE_KEY)
 
 
+def _stream_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured event text in files, streamed to a topic of raw events, read back."""
+    root = scratch_folder(spark, "raw")
+    data.sse_chunks(spark, sf_dir).write.option("lineSep", "\n\n\n").text(f"{root}/captured")
+    chunks = stream_sse(spark, f"{root}/captured", "\n\n\n")
+    _finish(jobs.to_topic(jobs.raw_messages(chunks), f"{root}/topic", f"{root}/checkpoint"))
+    return stored_topic(spark, f"{root}/topic")
+
+
+def _page_table_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams into one page table, the second with a checkpoint of its own and only new messages."""
+    root = scratch_folder(spark, "pages")
+    messages = data.page_messages(spark, sf_dir)
+    for part in (0, 1):
+        chosen = messages.filter(F.pmod(F.xxhash64("value"), F.lit(2)) == part)
+        topics.store(jobs.page_messages(chosen), f"{root}/processed-{part}")
+        processed = folder_topic(spark, f"{root}/processed-{part}")
+        _finish(jobs.page_table(processed, f"{root}/table", f"{root}/checkpoint-{part}"))
+    return tables.read_newest(spark, f"{root}/table", page_events.PAGE_KEY).select(*page_events.PAGE_KEY)
+
+
 def _finish(writer) -> None:
     writer.trigger(availableNow=True).start().awaitTermination()
 
@@ -142,6 +216,8 @@ REGISTRY: dict[str, Query] = {
     "load_star_schema_campaigns": _loaded("campaigns"),
     "load_star_schema_impressions": _loaded("impressions"),
     "load_star_schema_clicks": _loaded("clicks"),
+    "load_star_second": _loaded_twice("impressions"),
+    "load_star_second_clicks": _loaded_twice("clicks"),
     # sessions, documents and engagement
     "user_sessions": _star(lambda s: engagement.user_sessions(s.impressions, s.clicks)),
     "user_sessions_6h": _star(lambda s: engagement.user_sessions(s.impressions, s.clicks, SIX_HOURS)),
@@ -169,6 +245,12 @@ REGISTRY: dict[str, Query] = {
     "user_engagements": _star(lambda s: engagement.user_engagements(s, USER_ID)),
     "user_engagements_each": _star(engagement.user_engagements),
     "engaged_documents": _star(_engaged),
+    # documents of five impressions each, so that users span several
+    "user_documents_split": _split(lambda d: documents.flatten(d).drop("part")),
+    "last_sessions_of_split_documents": _split(
+        lambda d: documents.flatten(documents.last_sessions_of_documents(d)).drop("part")),
+    "engaged_split_documents": _split(lambda d: documents.engaged(d).select("user_id").distinct()),
+    "documents_second_load": _documents_twice,
     "validation_summary": _star(engagement.validation_summary),
     # reviews
     "null_blank_profile": _raw(null_blank_counts),
@@ -198,6 +280,8 @@ REGISTRY: dict[str, Query] = {
     "reviews_by_customer": _strict(
         lambda c: reviews.reviews_by_customer(reviews.reviews_by_customer_table(c), CUSTOMER_ID)),
     "review_upsert": _review_upsert,
+    "review_tables_second_load": _reviews_twice("reviews_by_product"),
+    "month_tables_second_load": _reviews_twice("customer_haters_by_month"),
     "product_reviews_by_month": _strict(reviews.product_reviews_by_month),
     "customer_verified_by_month": _strict(reviews.customer_verified_by_month),
     "customer_haters_by_month": _strict(reviews.customer_haters_by_month),
@@ -221,4 +305,6 @@ REGISTRY: dict[str, Query] = {
     "stream_tweets": _stream_tweets,
     "stream_minute_files": _stream_minutes,
     "stream_page_creations": _stream_pages,
+    "page_table_new_checkpoint": _page_table_twice,
+    "stream_raw_events": _stream_raw,
 }

@@ -32,18 +32,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines with their order.
-
-    The test table is one file with one row group, which one task would read
-    and work off alone; such a table is spread by its join key first. A table
-    of many files is read as it is.
-    """
-    lines = table(spark, sf_dir, "lineitem")
-    cores = spark.sparkContext.defaultParallelism
-    if len(lines.inputFiles()) < cores:
-        lines = lines.repartition(cores, "l_orderkey")
-    orders = table(spark, sf_dir, "orders")
-    return lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+    """Order lines with their order: two fact tables, which meet by their key on every scale."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    return lines.join(orders.hint("merge"), lines.l_orderkey == orders.o_orderkey)
 
 
 # --- advertising -------------------------------------------------------------------------------
@@ -164,11 +155,11 @@ def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as review rows with long bodies; some carry only a headline."""
+    """Documents as review rows with long bodies."""
     return table(spark, sf_dir, "documents").selectExpr(
         "CAST(doc_id AS STRING) AS review_id",
         "CASE WHEN doc_id % 31 = 0 THEN '' ELSE source END AS customer_id",
-        "CASE WHEN doc_id % 29 = 0 THEN '' ELSE text END AS review_body",
+        "text AS review_body",
         "CASE WHEN doc_id % 58 = 0 THEN NULL ELSE concat(lang, '\\t headline') END AS review_headline",
         "date_format(date_add(DATE'2024-01-01', CAST(doc_id % 366 AS INT)), 'yyyy-MM-dd') AS review_date",
         "concat('P', doc_id % 50) AS product_id",
@@ -180,33 +171,36 @@ def document_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tweet_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns as JSON messages with five kinds of ``created_at``; some are broken."""
+    """Conversation turns as JSON messages with five kinds of ``created_at``, and broken messages between them."""
     at = "TIMESTAMP'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, CAST(conv_id + turn AS INT), turn)"
     return (
         table(spark, sf_dir, "conversations")
         .selectExpr("*", f"{at} AS at", "conv_id % 7 AS kind")
         .selectExpr(
             "CASE "
-            "WHEN kind = 0 THEN to_json(struct(role AS author_id, unix_seconds(at) AS created_at, text)) "
             "WHEN kind = 1 THEN to_json(struct(conv_id AS user_id, date_format(at, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") "
             "AS created_at, text)) "
             "WHEN kind = 2 THEN to_json(struct('' AS author_id, role AS customer_id, "
             "date_format(at, 'yyyy-MM-dd HH:mm:ss') AS created_at, text AS review_body)) "
-            "WHEN kind = 3 THEN to_json(struct(date_format(at, 'yyyy-MM-dd') AS created_at, '' AS text, "
-            "role AS review_body)) "
+            "WHEN kind = 3 THEN to_json(struct(date_format(at, 'yyyy-MM-dd') AS created_at, text AS review_body)) "
             "WHEN kind = 4 THEN to_json(struct(role AS user_id, 'yesterday' AS created_at, '' AS review_body, "
-            "role AS review_headline)) "
-            "WHEN kind = 5 THEN concat('[', turn, ']') "
-            "WHEN turn % 2 = 0 THEN '{}' ELSE '{\"text\": ' END AS value"
+            "text AS review_headline)) "
+            "ELSE to_json(struct(role AS author_id, unix_seconds(at) AS created_at, text)) END AS sent",
+            "CASE WHEN kind = 5 THEN concat('[', turn, ']') WHEN kind = 6 AND turn % 2 = 0 THEN '{}' "
+            "WHEN kind = 6 THEN '{\"text\": ' END AS broken",
         )
+        .selectExpr("explode(filter(array(sent, broken), m -> m IS NOT NULL)) AS value")
     )
 
 
 def page_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as JSON page-create events, timed by the event of the same number."""
+    """Pages as JSON page-create events, timed by the event of the same number where there is one."""
     pages = table(spark, sf_dir, "pages")
-    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
-    return pages.join(events, pages.page_id == events.event_id).selectExpr(
+    events = table(spark, sf_dir, "events").selectExpr("event_id", "ts AS seen", "user_id AS seen_user")
+    timed = pages.join(events, pages.page_id == events.event_id, "left").selectExpr(
+        "page_id", "url", "coalesce(seen_user, page_id) AS user_id",
+        "coalesce(seen, TIMESTAMP'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, page_id % 86400)) AS ts")
+    return timed.selectExpr(
         "to_json(struct("
         "struct(CASE page_id % 5 WHEN 0 THEN 'en.wikipedia.org' WHEN 1 THEN 'www.wikidata.org' "
         "WHEN 2 THEN 'commons.wikimedia.org' ELSE parse_url(url, 'HOST') END AS domain) AS meta, "

@@ -21,7 +21,12 @@ def load_star(spark: SparkSession, o: argparse.Namespace) -> None:
 
 
 def load_documents(spark: SparkSession, o: argparse.Namespace) -> None:
-    tables.write_documents(star_from_folder(spark, o.star), o.out, o.version, o.drop_existing, timeout=o.timeout)
+    tables.write_documents(star_from_folder(spark, o.star), o.out, o.load, o.drop_existing, timeout=o.timeout)
+
+
+def compact_table(spark: SparkSession, o: argparse.Namespace) -> None:
+    """The current rows of a keyed table (pages, documents, review tables) as a new table of one load."""
+    tables.compact(spark, o.table, o.key.split(","), o.out)
 
 
 def campaign_reports(spark: SparkSession, o: argparse.Namespace) -> None:
@@ -33,11 +38,14 @@ def engagement_reports(spark: SparkSession, o: argparse.Namespace) -> None:
 
 
 def review_results(spark: SparkSession, o: argparse.Namespace) -> None:
-    tables.write_review_results(reviews.clean_basic(files.read_reviews(spark, o.reviews, o.sep)), o.out, o.format)
+    raw = files.read_reviews(spark, o.reviews, o.sep, not o.single_line)
+    options = dict(pair.split("=", 1) for pair in o.option)
+    tables.write_review_results(reviews.clean_basic(raw), o.out, o.format, **options)
 
 
 def review_tables(spark: SparkSession, o: argparse.Namespace) -> None:
-    tables.write_review_tables(reviews.clean_strict(files.read_reviews(spark, o.reviews, o.sep)), o.out)
+    raw = files.read_reviews(spark, o.reviews, o.sep, not o.single_line)
+    tables.write_review_tables(reviews.clean_strict(raw), o.out, o.load)
 
 
 def _source(spark: SparkSession, o: argparse.Namespace):
@@ -53,7 +61,7 @@ def _run(writer, o: argparse.Namespace) -> None:
 
 
 def stream_tweets(spark: SparkSession, o: argparse.Namespace) -> None:
-    messages = jobs.tweet_messages(files.stream_reviews(spark, o.source, o.sep, o.max_per_trigger))
+    messages = jobs.tweet_messages(files.stream_reviews(spark, o.source, o.sep, o.max_per_trigger, not o.single_line))
     _run(jobs.to_topic(messages, o.out, o.checkpoint, o.servers), o)
 
 
@@ -61,6 +69,12 @@ def stream_minutes(spark: SparkSession, o: argparse.Namespace) -> None:
     _run(jobs.minute_files(_source(spark, o), o.out, o.checkpoint), o)
 
 
+def stream_raw(spark: SparkSession, o: argparse.Namespace) -> None:
+    """Captured event text in a folder to a topic of raw events."""
+    chunks = files.stream_sse(spark, o.source, max_files=o.max_per_trigger)
+    _run(jobs.to_topic(jobs.raw_messages(chunks), o.out, o.checkpoint, o.servers), o)
+
+
 def stream_pages(spark: SparkSession, o: argparse.Namespace) -> None:
     _run(jobs.to_topic(jobs.page_messages(_source(spark, o)), o.out, o.checkpoint, o.servers), o)
 
@@ -87,14 +101,16 @@ def parser() -> argparse.ArgumentParser:
         return command
 
     job(load_star, "users", "campaigns", "events", ci=False).add_argument("--limit", type=int)
-    job(load_documents, "star", version=0, drop_existing=False, timeout=DEFAULT_TIMEOUT)
+    job(compact_table, "table", "key")
+    job(load_documents, "star", load=None, drop_existing=False, timeout=DEFAULT_TIMEOUT)
     job(campaign_reports, "star", start=bundles.DEFAULT_START, end=bundles.DEFAULT_END)
     job(engagement_reports, "star", "asof", timeout=DEFAULT_TIMEOUT)
-    job(review_results, "reviews", sep=",", format="parquet")
-    job(review_tables, "reviews", sep="\t")
-    for run, starting in ((stream_tweets, None), (stream_minutes, "earliest"), (stream_pages, "latest"),
-                          (stream_page_table, "latest")):
-        command = job(run, "source", "checkpoint", servers=None, starting=starting, sep=",", once=False)
+    results = job(review_results, "reviews", sep=",", format="parquet", single_line=False)
+    results.add_argument("--option", action="append", default=[], help="name=value for the connector of --format")
+    job(review_tables, "reviews", sep="\t", load=None, single_line=False)
+    for run, starting in ((stream_tweets, None), (stream_minutes, "earliest"), (stream_raw, None),
+                          (stream_pages, "latest"), (stream_page_table, "latest")):
+        command = job(run, "source", "checkpoint", servers=None, starting=starting, sep=",", once=False, single_line=False)
         command.add_argument("--max-per-trigger", type=int)
     return root
 

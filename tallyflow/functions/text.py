@@ -42,7 +42,8 @@ def is_blank(text: Column) -> Column:
 
 def hex_id(uuid_text: Column) -> Column:
     """UUID text to its canonical form of 32 lower-case hex digits; other text gives NULL."""
-    digits = F.replace(F.btrim(uuid_text, F.lit("{}")), F.lit("-"), F.lit(""))
+    bare = F.regexp_replace(uuid_text, "^urn:uuid:", "")
+    digits = F.replace(F.btrim(bare, F.lit("{}")), F.lit("-"), F.lit(""))
     # text with other characters than hex digits has no bytes
     return F.when(F.octet_length(digits) == 32, F.lower(F.hex(F.unhex(digits))))
 

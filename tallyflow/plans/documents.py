@@ -1,9 +1,10 @@
 """Nested user documents: demographics, sessions, impressions, clicks.
 
-A document is bounded. A user with up to ``per_document`` impressions is one
-document (part 0); a busier user continues in parts 1, 2, ... so that no row
-and no task ever holds a whole hot user. The parts together are complete, and
-``flatten`` gives the same rows whatever the number of parts.
+A document is bounded: it holds a run of up to ``per_document`` impressions of
+a user's time line, and a user has as many documents (part 0, 1, 2, ...) as
+that takes, so that no row and no task ever holds a whole hot user. A user
+never shown anything has one, without sessions. The parts together are
+complete, and every read below takes a user's parts as one.
 """
 
 from __future__ import annotations
@@ -94,7 +95,7 @@ def user_documents(
 
 
 def user_history(documents: DataFrame, user_id: int | None = None) -> DataFrame:
-    """Demographics and sessions of one user; without an id, of every user."""
+    """Demographics and sessions of one user, a row for each of its documents; without an id, of every user."""
     return of_user(documents, user_id).select("user_id", "part", "demographics", "sessions")
 
 
@@ -115,15 +116,20 @@ def flatten(documents: DataFrame) -> DataFrame:
 
 
 def engaged(documents: DataFrame) -> DataFrame:
-    """Documents that hold at least one click."""
-    return documents.filter(F.exists("sessions", lambda s: F.exists(s["impressions"], lambda i: i["click"].isNotNull())))
+    """All documents of the users with a click in any of them."""
+    clicked = documents.filter(F.exists("sessions", lambda s: F.exists(s["impressions"], lambda i: i["click"].isNotNull())))
+    return documents.join(clicked.select("user_id").distinct(), "user_id", "left_semi").select(*documents.columns)
 
 
 def last_sessions_of_documents(documents: DataFrame, n: int = 5) -> DataFrame:
-    """Documents cut to their last ``n`` sessions; fewer stay as they are.
+    """Documents cut to the last ``n`` sessions of their user; documents left empty vanish, but for a user's first.
 
-    For single-part documents; ``engagement.last_sessions`` answers the same
-    question across parts.
+    Sessions are numbered over all of a user's documents, so the newest number
+    tells which to keep.
     """
-    start = F.greatest(F.size("sessions") - F.lit(n - 1), F.lit(1))
-    return documents.withColumn("sessions", F.slice("sessions", start, F.lit(n)))
+    newest = documents.groupBy("user_id").agg(
+        F.max(F.array_max(F.transform("sessions", lambda s: s["session_seq"]))).alias("newest"))
+    joined = documents.join(newest, "user_id")
+    kept = F.filter("sessions", lambda s: s["session_seq"] > F.col("newest") - F.lit(n))
+    cut = joined.withColumn("sessions", kept).filter((F.size("sessions") > 0) | F.col("newest").isNull())
+    return cut.select(*documents.columns)

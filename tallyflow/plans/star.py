@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -24,8 +24,8 @@ class Star:
     clicks: DataFrame
 
 
-def load_users(users_raw: DataFrame) -> DataFrame:
-    return insert_ignore(users_raw, ["user_id"])
+def load_users(users_raw: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    return insert_ignore(users_raw, ["user_id"], existing=existing)
 
 
 def load_advertisers(
@@ -78,8 +78,8 @@ def load_impressions(
         "impression_id", "campaign_id",
         F.col("UserID").alias("user_id"), F.col("Device").alias("device"),
         F.col("Location").alias("location"), F.col("Timestamp").alias("timestamp"),
-        F.col("BidAmount").cast("float").cast("decimal(10,4)").alias("bid_amount"),
-        F.col("AdCost").cast("float").cast("decimal(10,4)").alias("cost_paid"),
+        _money("BidAmount").alias("bid_amount"),
+        _money("AdCost").alias("cost_paid"),
     )
     return insert_ignore(rows, ["impression_id"], parents=[(users, "user_id", "user_id")], existing=existing)
 
@@ -89,7 +89,7 @@ def load_clicks(events_raw: DataFrame, impressions: DataFrame, existing: DataFra
     rows = _staged_events(events_raw).filter("WasClicked").select(
         "impression_id",
         lenient(F.col("ClickTimestamp")).alias("click_timestamp"),
-        F.col("AdRevenue").cast("float").cast("decimal(10,4)").alias("revenue_generated"),
+        _money("AdRevenue").alias("revenue_generated"),
     )
     kept = insert_ignore(
         rows, ["impression_id"], parents=[(impressions, "impression_id", "impression_id")], existing=existing
@@ -97,25 +97,76 @@ def load_clicks(events_raw: DataFrame, impressions: DataFrame, existing: DataFra
     return kept.select(F.col("impression_id").alias("click_id"), *rows.columns)
 
 
+def load_facts(
+    events_raw: DataFrame,
+    campaigns: DataFrame,
+    users: DataFrame,
+    ci: bool = False,
+    existing: DataFrame | None = None,
+) -> DataFrame:
+    """Both fact tables in one pass over the events: a row per new impression_id, with ``impression`` and ``click``.
+
+    The same rows as ``load_impressions`` and ``load_clicks`` give: of events
+    with one id the first valid one is the impression and the first clicked one,
+    valid or not, its click (NULL if none was). Copies of an event are combined
+    before the one exchange by id.
+    """
+    staged = _staged_events(events_raw).withColumn("_name", _name_key("CampaignName", ci))
+    ids = _first_by_name(campaigns, "campaign_id", ci)
+    known = users.select(F.col("user_id").alias("UserID"), F.lit(True).alias("_user"))
+    rows = staged.filter(F.col("impression_id").isNotNull()).join(ids, "_name", "left").join(known, "UserID", "left")
+    valid = F.col("campaign_id").isNotNull() & F.col("_user").isNotNull()
+    impression = F.struct(
+        "campaign_id", F.col("UserID").alias("user_id"), F.col("Device").alias("device"),
+        F.col("Location").alias("location"), F.col("Timestamp").alias("timestamp"),
+        _money("BidAmount").alias("bid_amount"), _money("AdCost").alias("cost_paid"))
+    click = F.struct(lenient(F.col("ClickTimestamp")).alias("click_timestamp"), _money("AdRevenue").alias("revenue_generated"))
+    facts = rows.groupBy("impression_id").agg(
+        F.min(F.when(valid, impression)).alias("impression"), F.min(F.when(F.col("WasClicked"), click)).alias("click"))
+    facts = facts.filter(F.col("impression").isNotNull())
+    if existing is not None:
+        facts = facts.join(existing.select("impression_id"), "impression_id", "left_anti")
+    return facts
+
+
+def fact_impressions(facts: DataFrame) -> DataFrame:
+    """The impressions of ``load_facts``."""
+    return facts.select("impression_id", "impression.*")
+
+
+def fact_clicks(facts: DataFrame) -> DataFrame:
+    """The clicks of ``load_facts``; a click has the id of its impression, which is unique."""
+    return facts.filter(F.col("click").isNotNull()).select(F.col("impression_id").alias("click_id"), "impression_id", "click.*")
+
+
 def load_star(
     users_raw: DataFrame,
     campaigns_raw: DataFrame,
     events_raw: DataFrame,
     ci: bool = False,
     store: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
+    existing: Mapping[str, DataFrame] | None = None,
 ) -> Star:
-    """All five tables, parents first.
-
-    ``store(table, name)`` may write a finished table and return it as read
-    back. Children then look up stored parents, whose known size lets Spark
-    choose between a broadcast and a shuffle before it moves any event.
+    """All five tables, parents first; ``existing`` holds the tables of an earlier load, whose keys are skipped.
+
+    ``store(rows, name)`` may add the new rows of a table to what is there and
+    return the whole table as read back, and is asked to keep ``facts``, from
+    which both fact tables are written. Children then look up stored parents,
+    whose known size lets Spark choose between a broadcast and a shuffle before
+    it moves any event. A click that comes in a later load than its impression
+    is skipped with it.
     """
-    users = store(load_users(users_raw), "users")
-    advertisers = store(load_advertisers(campaigns_raw, ci=ci), "advertisers")
-    campaigns = store(load_campaigns(campaigns_raw, advertisers, ci), "campaigns")
-    impressions = store(load_impressions(events_raw, campaigns, users, ci), "impressions")
-    clicks = store(load_clicks(events_raw, impressions), "clicks")
-    return Star(advertisers, users, campaigns, impressions, clicks)
+    there = existing or {}
+    users = store(load_users(users_raw, there.get("users")), "users")
+    advertisers = store(load_advertisers(campaigns_raw, there.get("advertisers"), ci), "advertisers")
+    campaigns = store(load_campaigns(campaigns_raw, advertisers, ci, there.get("campaigns")), "campaigns")
+    facts = store(load_facts(events_raw, campaigns, users, ci, there.get("impressions")), "facts")
+    return Star(advertisers, users, campaigns, store(fact_impressions(facts), "impressions"),
+                store(fact_clicks(facts), "clicks"))
+
+
+def _money(column: str):
+    return F.col(column).cast("float").cast("decimal(10,4)")
 
 
 def _staged_events(events_raw: DataFrame) -> DataFrame:

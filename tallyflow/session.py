@@ -41,10 +41,12 @@ def build_session(app: str, master: str | None = None, conf: dict[str, str] | No
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a unit test) falls back to a local
-    temporary folder.
+    A session on one machine (a unit test) may go without that setting; on a
+    cluster it must be set, as executors do not share local folders.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

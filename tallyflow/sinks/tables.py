@@ -1,12 +1,14 @@
 """Keyed tables on a shared file system.
 
-An update never rewrites a table: each load writes its own version folder, a
-repeated load replaces that folder, and readers keep the newest version of
-each key.
+An update never rewrites a table: each load adds a folder of its own, with the
+next free version number, and readers keep the newest version of each key. A
+load repeated under its own name replaces its folder, so that restarts and
+replays change nothing; a load under another name never touches it.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -17,6 +19,7 @@ from tallyflow.operators.keyed import newest_version
 from tallyflow.plans import reviews as rv
 from tallyflow.plans.documents import user_documents
 from tallyflow.plans.star import Star, load_star
+from tallyflow.session import scratch_folder
 
 
 def overwrite(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), **options: str) -> None:
@@ -46,24 +49,47 @@ def write_sorted(df: DataFrame, path: str, order: Sequence[str], descending: Seq
     overwrite(by_range(df, order, descending), path, partition_by=partition_by)
 
 
-def write_version(df: DataFrame, path: str, version: int) -> None:
-    """Write one load of a keyed table; the same version again replaces its rows."""
-    df.write.mode("overwrite").parquet(f"{path}/version={version}")
+def _loads(spark: SparkSession, path: str) -> dict[str, int]:
+    """Version number of every load of a keyed table."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(fs_path(f"{path}/version=*/load=*")) or []
+    folders = [(s.getPath().getParent().getName(), s.getPath().getName()) for s in found]
+    return {load.removeprefix("load="): int(version.removeprefix("version=")) for version, load in folders}
+
+
+def write_version(df: DataFrame, path: str, load: str | None = None, partition_by: Sequence[str] = ()) -> int:
+    """Write one load of a keyed table and return its version.
+
+    A load without a name is a new one; a named one that was written before
+    replaces itself and keeps its version.
+    """
+    load = f"l-{load or uuid.uuid4().hex}"
+    loads = _loads(df.sparkSession, path)
+    version = loads.get(load, max(loads.values(), default=-1) + 1)
+    overwrite(df, f"{path}/version={version}/load={load}", partition_by=partition_by)
+    return version
+
+
+def newest(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Of the rows of a keyed table as stored, those of the newest load of each key."""
+    # loads that began together share a number; their names decide then
+    return newest_version(rows.withColumn("version", F.struct("version", "load")), key).drop("version", "load")
 
 
 def read_newest(spark: SparkSession, path: str, key: Sequence[str]) -> DataFrame:
-    """The current rows of a keyed table: of each key those of the newest version."""
-    return newest_version(spark.read.parquet(path), key).drop("version")
+    """The current rows of a keyed table: of each key those of the newest load."""
+    return newest(spark.read.parquet(path), key)
 
 
 def compact(
     spark: SparkSession, path: str, key: Sequence[str], target: str, descending: Sequence[str] = ()
 ) -> None:
-    """Write the current rows to a new table as its version 0, laid out by key."""
-    write_sorted(read_newest(spark, path, key), f"{target}/version=0", key, descending)
+    """Write the current rows to a new table as its first load, laid out by key; later loads come after it."""
+    write_version(by_range(read_newest(spark, path, key), key, descending), target, "compacted")
 
 
-def write_documents(star: Star, path: str, version: int, drop_existing: bool = False, **options: int) -> None:
+def write_documents(star: Star, path: str, load: str | None = None, drop_existing: bool = False, **options: int) -> None:
     """Load user documents; a user's new document (all its parts) replaces the older one.
 
     ``drop_existing`` empties the collection first. ``options`` are those of
@@ -71,9 +97,11 @@ def write_documents(star: Star, path: str, version: int, drop_existing: bool = F
     """
     documents = user_documents(star, **options)
     if drop_existing:
-        documents.withColumn("version", F.lit(version)).write.mode("overwrite").partitionBy("version").parquet(path)
+        name = f"l-{load or uuid.uuid4().hex}"
+        stamped = documents.withColumns({"version": F.lit(0), "load": F.lit(name)})
+        overwrite(stamped, path, partition_by=["version", "load"])
     else:
-        write_version(documents, path, version)
+        write_version(documents, path, load)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -81,17 +109,31 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return read_newest(spark, path, ["user_id"])
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
+
+
 def write_star(users_raw: DataFrame, campaigns_raw: DataFrame, events_raw: DataFrame, root: str, ci: bool = False) -> Star:
-    """Load the five star tables, parents first; children check their keys against the written parents.
+    """Load the five star tables, parents first, into what is there: rows whose key is stored already are skipped.
 
-    Impressions are laid out by time, so that reports over a range skip the rest.
+    Children check their keys against the written parents. Impressions are laid
+    out by time, so that reports over a range skip the rest.
     """
+    spark = users_raw.sparkSession
+    names = ("advertisers", "users", "campaigns", "impressions", "clicks")
+    there = {name: spark.read.parquet(f"{root}/{name}") for name in names if _exists(spark, f"{root}/{name}")}
+    facts = scratch_folder(spark, "facts")
+
     def store(df: DataFrame, name: str) -> DataFrame:
+        if name == "facts":
+            return stored(df, facts)
         if name == "impressions":
             df = by_range(df, ["timestamp", "impression_id"])
-        return stored(df, f"{root}/{name}")
+        df.write.mode("append").parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
 
-    return load_star(users_raw, campaigns_raw, events_raw, ci, store)
+    return load_star(users_raw, campaigns_raw, events_raw, ci, store, there)
 
 
 def save_star(star: Star, database: str, root: str, buckets: int) -> None:
@@ -110,31 +152,54 @@ def save_star(star: Star, database: str, root: str, buckets: int) -> None:
         writer.mode("overwrite").option("path", f"{root}/{name}").saveAsTable(f"{database}.{name}")
 
 
-def write_review_results(clean: DataFrame, root: str, fmt: str = "parquet") -> None:
-    """The three results over basic cleaning, one collection each."""
+def write_review_results(clean: DataFrame, root: str, fmt: str = "parquet", **options: str) -> None:
+    """The three results over basic cleaning, one collection each; ``options`` address the connector ``fmt``."""
     kept = clean.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        overwrite(rv.product_review_summary(kept), f"{root}/product_reviews_summary", fmt)
-        overwrite(rv.customer_review_counts(kept), f"{root}/customer_review_counts", fmt)
-        overwrite(rv.monthly_product_reviews(kept), f"{root}/monthly_product_reviews", fmt)
+        overwrite(rv.product_review_summary(kept), f"{root}/product_reviews_summary", fmt, **options)
+        overwrite(rv.customer_review_counts(kept), f"{root}/customer_review_counts", fmt, **options)
+        overwrite(rv.monthly_product_reviews(kept), f"{root}/monthly_product_reviews", fmt, **options)
     finally:
         kept.unpersist()
 
 
-def write_review_tables(clean: DataFrame, root: str) -> None:
-    """The seven tables over strict cleaning, each laid out for its question."""
+#: Tables of the reviews over strict cleaning and their keys.
+REVIEW_TABLES = {
+    "reviews_by_product": rv.PRODUCT_KEY,
+    "reviews_by_product_rating": rv.RATING_KEY,
+    "reviews_by_customer": rv.CUSTOMER_KEY,
+    "product_reviews_by_month": ["year_month", "product_id"],
+    "customer_verified_by_month": ["year_month", "customer_id"],
+    "customer_haters_by_month": ["year_month", "customer_id"],
+    "customer_backers_by_month": ["year_month", "customer_id"],
+}
+
+
+def write_review_tables(clean: DataFrame, root: str, load: str | None = None) -> None:
+    """Add a load to the seven tables over strict cleaning, each laid out for its question; the last row of a key wins."""
+    load = load or uuid.uuid4().hex
     kept = clean.persist(StorageLevel.MEMORY_AND_DISK)
-    newest = ["review_date"]
+    classes = rv.customer_classes_by_month(kept).persist(StorageLevel.MEMORY_AND_DISK)
+    frames = {
+        "reviews_by_product": rv.reviews_by_product_table(kept),
+        "reviews_by_product_rating": rv.reviews_by_product_rating_table(kept),
+        "reviews_by_customer": rv.reviews_by_customer_table(kept),
+        "product_reviews_by_month": rv.product_reviews_by_month(kept),
+        **{f"customer_{name}_by_month": rv.class_month_table(classes, name) for name in ("verified", "haters", "backers")},
+    }
     try:
-        write_sorted(rv.reviews_by_product_table(kept), f"{root}/reviews_by_product", rv.PRODUCT_KEY, newest)
-        write_sorted(rv.reviews_by_product_rating_table(kept), f"{root}/reviews_by_product_rating", rv.RATING_KEY, newest)
-        write_sorted(rv.reviews_by_customer_table(kept), f"{root}/reviews_by_customer", rv.CUSTOMER_KEY, newest)
-        write_sorted(rv.product_reviews_by_month(kept), f"{root}/product_reviews_by_month",
-                     ["year_month", "product_id"], partition_by=["year_month"])
-        classes = rv.customer_classes_by_month(kept).persist(StorageLevel.MEMORY_AND_DISK)
-        for name in ("verified", "haters", "backers"):
-            write_sorted(rv.class_month_table(classes, name), f"{root}/customer_{name}_by_month",
-                         ["year_month", "customer_id"], partition_by=["year_month"])
-        classes.unpersist()
+        for name, frame in frames.items():
+            key = REVIEW_TABLES[name]
+            months = [c for c in key if c == "year_month"]
+            write_version(by_range(frame, key, ["review_date"]), f"{root}/{name}", load, months)
     finally:
+        classes.unpersist()
         kept.unpersist()
+
+
+def read_review_table(spark: SparkSession, root: str, name: str, **key: object) -> DataFrame:
+    """The current rows of a review table; values for columns of its key prune what is read."""
+    rows = spark.read.parquet(f"{root}/{name}")
+    for column, value in key.items():
+        rows = rows.filter(F.col(column) == F.lit(value))
+    return newest(rows, REVIEW_TABLES[name])

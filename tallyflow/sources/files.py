@@ -52,7 +52,11 @@ def read_campaigns(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_events(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Events CSV; columns count by header name. ``limit`` loads that many rows only."""
+    """Events CSV; columns count by header name.
+
+    ``limit`` loads that many rows only: any rows, not the first of a file, and
+    they pass through one task, so it is for trials.
+    """
     # without a schema the reader takes names from the header and keeps text; a file
     # whose header differs from the first one's fails instead of mixing columns up
     raw = spark.read.options(**QUOTING, enforceSchema="false").csv(path)
@@ -70,9 +74,10 @@ def read_reviews(spark: SparkSession, path: str, sep: str = ",", multi_line: boo
     return spark.read.options(**options).schema(REVIEWS_RAW).csv(path)
 
 
-def stream_reviews(spark: SparkSession, folder: str, sep: str = ",", max_files: int | None = None) -> DataFrame:
+def stream_reviews(spark: SparkSession, folder: str, sep: str = ",", max_files: int | None = None,
+                   multi_line: bool = True) -> DataFrame:
     """Review files arriving in a folder as a stream; undecodable bytes are replaced."""
-    options = {**QUOTING, "sep": sep, "multiLine": "true"}
+    options = {**QUOTING, "sep": sep, "multiLine": str(multi_line).lower()}
     if max_files:
         options["maxFilesPerTrigger"] = str(max_files)
     return spark.readStream.options(**options).schema(REVIEWS_RAW).csv(folder)
@@ -87,6 +92,14 @@ def read_sse(spark: SparkSession, path: str, line_sep: str = "\n\n") -> DataFram
     return spark.read.option("lineSep", line_sep).schema(MESSAGE).text(path)
 
 
+def stream_sse(spark: SparkSession, folder: str, line_sep: str = "\n\n", max_files: int | None = None) -> DataFrame:
+    """The same for captures that arrive in a folder, as a stream."""
+    reader = spark.readStream.option("lineSep", line_sep).schema(MESSAGE)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.text(folder)
+
+
 def read_partition(spark: SparkSession, path: str, **key: object) -> DataFrame:
     """The rows of one key of a keyed table; the filter prunes folders, files and row groups."""
     rows = spark.read.parquet(path)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tallyflow.plans.page_events import (
@@ -30,8 +31,8 @@ def tweet_messages(reviews: DataFrame, now: str | None = None) -> DataFrame:
 
 
 def raw_messages(chunks: DataFrame) -> DataFrame:
-    """Captured server-sent-event text as raw page events, unchanged."""
-    return sse_payloads(chunks)
+    """Captured server-sent-event text as raw page events, each on one line whatever lines it came in."""
+    return sse_payloads(chunks).select(F.to_json(F.try_parse_json("value")).alias("value"))
 
 
 def page_messages(events: DataFrame, domains: Sequence[str] = tuple(ALLOWED_DOMAINS)) -> DataFrame:
@@ -52,13 +53,17 @@ def minute_files(messages: DataFrame, folder: str, checkpoint: str, now: str | N
 def page_table(processed: DataFrame, table: str, checkpoint: str) -> DataStreamWriter:
     """Processed messages to the keyed page table.
 
-    Each micro-batch writes its own version, so a batch repeated after a
-    failure replaces itself; a message sent twice meets its earlier row on the
-    key when the table is read.
+    Each micro-batch is a load of its own, named by the query and the batch, so
+    a batch repeated after a failure replaces itself, and a stream with a new
+    checkpoint adds to what is there; a message sent twice meets its earlier
+    row on the key when the table is read.
     """
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            write_version(page_creations(batch), table, batch_id)
+            # the checkpoint names the query; a new checkpoint is another query
+            named = batch.sparkSession.read.text(f"{checkpoint}/metadata")
+            name = named.select(F.get_json_object("value", "$.id")).first()[0]
+            write_version(page_creations(batch), table, f"{name}-{batch_id}")
 
     return (
         page_rows(processed).writeStream.outputMode("append")

@@ -2,9 +2,11 @@ import pytest
 
 import __spark_entry__ as contract
 from checks.compare import difference, oracle_connection
+from checks.oracle import ORACLE
+from checks.registry import REGISTRY
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
+QUERIES = {name: query for name, query in contract.queries().items() if name in REGISTRY}
 
 
 @pytest.fixture(scope="module")

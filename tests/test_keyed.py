@@ -9,7 +9,8 @@ from tallyflow.functions.text import hex_bytes, hex_id
 from tallyflow.operators.keyed import (
     duplicate_keys, first_per_key, insert_ignore, last_per_key, newest_version, surrogate_ids, upsert)
 from tallyflow.plans.reports import with_clicks
-from tallyflow.plans.star import load_advertisers, load_campaigns, load_impressions, load_star
+from tallyflow.plans.star import (
+    fact_clicks, fact_impressions, load_advertisers, load_campaigns, load_clicks, load_facts, load_impressions, load_star)
 from tallyflow.sinks.tables import compact, read_newest, save_star, write_star, write_version
 from tallyflow.sources.relational import star_from_catalog, star_from_folder
 
@@ -58,15 +59,18 @@ def test_surrogate_ids_are_dense_and_stable(spark, rows):
 
 def test_versions_replace_and_compact(spark, rows, folder):
     def load(data, version):
-        write_version(spark.createDataFrame(data, "k int, part int, v string"), f"{folder}/t", version)
+        return write_version(spark.createDataFrame(data, "k int, part int, v string"), f"{folder}/t", version)
 
-    load([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], 0)
-    load([(1, 0, "d")], 1)
-    load([(1, 0, "e")], 1)
+    assert load([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], "first") == 0
+    assert load([(1, 0, "d")], "second") == 1
+    assert load([(1, 0, "e")], "second") == 1
     assert rows(read_newest(spark, f"{folder}/t", ["k"])) == [(1, 0, "e"), (2, 0, "c")]
     compact(spark, f"{folder}/t", ["k"], f"{folder}/u", descending=["k"])
-    assert rows(spark.read.parquet(f"{folder}/u").drop("version")) == [(1, 0, "e"), (2, 0, "c")]
+    assert rows(spark.read.parquet(f"{folder}/u").drop("version", "load")) == [(1, 0, "e"), (2, 0, "c")]
     assert newest_version(spark.read.parquet(f"{folder}/t"), ["k"]).count() == 2
+    # a load without a name is a new one, also on a compacted table
+    assert write_version(spark.createDataFrame([(3, 0, "f")], "k int, part int, v string"), f"{folder}/u") == 1
+    assert rows(read_newest(spark, f"{folder}/u", ["k"])) == [(1, 0, "e"), (2, 0, "c"), (3, 0, "f")]
 
 
 @pytest.mark.parametrize("text,expected", [
@@ -119,6 +123,21 @@ def test_load_star(spark, rows, folder):
     for name in ("users", "advertisers", "campaigns", "impressions", "clicks"):
         assert rows(getattr(written, name)) == rows(getattr(star, name))
     assert star_from_folder(spark, f"{folder}/star").impressions.count() == 4
+    again = write_star(*raw_frames(spark), f"{folder}/star")
+    for name in ("users", "advertisers", "campaigns", "impressions", "clicks"):
+        assert rows(getattr(again, name)) == rows(getattr(star, name))
+
+
+def test_facts_take_one_scan_and_one_exchange_by_id(spark, rows, folder):
+    users, campaigns, events = raw_frames(spark)
+    parents = load_star(users, campaigns, events)
+    events.write.parquet(f"{folder}/events")
+    stored = spark.read.parquet(f"{folder}/events")
+    facts = load_facts(stored, parents.campaigns, parents.users)
+    assert rows(fact_impressions(facts)) == rows(load_impressions(events, parents.campaigns, parents.users))
+    assert rows(fact_clicks(facts)) == rows(load_clicks(events, parents.impressions))
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f"{folder}/events") == 1 and plan.count("hashpartitioning(impression_id") == 1
 
 
 def test_bucketed_facts_join_without_shuffle(spark, rows, folder):

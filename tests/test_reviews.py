@@ -7,7 +7,7 @@ from tallyflow import schemas
 from tallyflow.functions.numbers import lenient_int
 from tallyflow.operators.profile import dropped_rows, null_blank_counts
 from tallyflow.plans import reviews as rv
-from tallyflow.sinks.tables import write_review_results, write_review_tables
+from tallyflow.sinks.tables import read_review_table, write_review_results, write_review_tables
 from tallyflow.sources.files import read_partition
 
 NAMES = [c.split()[0] for c in schemas.REVIEWS_RAW.split(", ")]
@@ -137,10 +137,16 @@ def test_written_tables(spark, rows, folder):
     clean = some_reviews(spark)
     write_review_tables(clean, folder)
     write_review_results(clean, folder)
-    table = spark.read.parquet(f"{folder}/reviews_by_product")
+    columns = rv.reviews_by_product_table(clean).columns
+    table = read_review_table(spark, folder, "reviews_by_product").select(*columns)
     assert rows(table) == rows(rv.reviews_by_product_table(clean))
-    one = read_partition(spark, f"{folder}/reviews_by_product", product_id="p2")
+    one = read_review_table(spark, folder, "reviews_by_product", product_id="p2")
     assert {r.review_id for r in one.collect()} == {"s1", "s2"}
-    months = spark.read.option("recursiveFileLookup", "false").parquet(f"{folder}/customer_haters_by_month")
+    assert read_partition(spark, f"{folder}/reviews_by_product", product_id="p2").count() == 2
+    months = read_review_table(spark, folder, "customer_haters_by_month")
     assert rows(months.select("year_month", "customer_id", "review_count")) == rows(rv.customer_haters_by_month(clean))
+    # a second load of one review leaves the others and replaces that one
+    write_review_tables(clean.filter("review_id = 's1'").withColumn("product_title", F.lit("new")), folder)
+    titles = read_review_table(spark, folder, "reviews_by_product")
+    assert titles.count() == len(rows(table)) and titles.filter("product_title = 'new'").count() == 1
     assert spark.read.parquet(f"{folder}/product_reviews_summary").count() == 2

@@ -130,14 +130,14 @@ def test_busy_users_continue_in_further_documents(spark, rows):
 
 def test_documents_are_replaced_as_a_whole(spark, rows, folder):
     before, after = busy_star(spark), hand_sample(spark)
-    write_documents(before, folder, 0, drop_existing=True, per_document=20)
-    write_documents(after, folder, 1)
+    write_documents(before, folder, drop_existing=True, per_document=20)
+    write_documents(after, folder)
     current = read_documents(spark, folder)
     assert current.filter("user_id = 1000").count() == 1
     assert rows(documents.flatten(current.filter("user_id = 1000"))) == rows(documents.flatten(documents.user_documents(after)))
     old = documents.flatten(documents.user_documents(before, per_document=20))
     assert rows(documents.flatten(current.filter("user_id = 1001"))) == rows(old.filter("user_id = 1001"))
-    write_documents(after, folder, 5, drop_existing=True)
+    write_documents(after, folder, drop_existing=True)
     assert read_documents(spark, folder).count() == 1
 
 
@@ -153,11 +153,12 @@ def test_report_bundles(spark, rows, folder):
     assert engagement_reports(make_star(spark, [impression(1)]), "2024-10-06 00:00:00") == {}
 
 
-def test_document_reads(spark, rows):
+@pytest.mark.parametrize("per_document", [20_000, 20])
+def test_document_reads_over_all_parts(spark, rows, per_document):
     s = busy_star(spark)
-    docs = documents.user_documents(s)
+    docs = documents.user_documents(s, per_document=per_document)
     one = documents.user_history(documents.user_documents(s, user_id=1001), 1001).collect()
-    assert [r.user_id for r in one] == [1001]
+    assert {r.user_id for r in one} == {1001}
     assert {r.user_id for r in documents.engaged(docs).collect()} == {1000, 1001}
     flat = documents.flatten(documents.last_sessions_of_documents(docs, 5))
     keys = ["user_id", "session_seq", "impression_id", "click_timestamp"]
