@@ -35,10 +35,12 @@ WIDTH = 24
 SIGNS = 40
 LANDMARKS = 96
 #: Labelled texts of each class that the machine is fitted on, chosen by a hash of their id.
-FIT_ROWS = 2000
+FIT_ROWS = 1500
 #: Longest text, in characters, taken for fitting.
 FIT_CHARACTERS = 20_000
 ROUNDS = 600
+#: Words whose subsequences are held at once.
+PART = 2048
 #: A word of so many toxic learning texts and of no other one is taken for a toxic text of its own.
 TELLING = 5
 SEED = 7
@@ -146,8 +148,8 @@ class ToxicityModel:
     def words(self, words: list[str]) -> np.ndarray:
         """The decision on each plain word, which is that of its worst window."""
         out = np.full(len(words), self.offset)
-        for start in range(0, len(words), 8192):
-            part = words[start : start + 8192]
+        for start in range(0, len(words), PART):
+            part = words[start : start + PART]
             signs, owner = windows(part)
             value = weighted(signs, self.table) / np.maximum(np.sqrt(own_kernels(signs)), 1e-9)
             np.maximum.at(out, owner + start, value + self.offset)
@@ -242,14 +244,16 @@ def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
         return ToxicityModel(np.zeros(SIGNS**3), -1.0, 1.0, 1 + float(np.log(base / (1 - base))))
     marks = [bags.words[i] for i in chosen + others]
     table = subsequence_table(windows([w[:WIDTH] for w in marks])[0])
-    signs, owner = windows(bags.words)
-    scale = np.maximum(np.sqrt(own_kernels(signs)), 1e-9)[:, None]
-    raw = np.concatenate([weighted(signs[a : a + 4096], table) for a in range(0, len(signs), 4096)]) / scale
     # Nyström: features whose inner products are the kernel projected on the landmarks
     among = kernel(marks, marks)
     values, vectors = np.linalg.eigh((among + among.T) / 2)
     root = vectors * (1 / np.sqrt(np.maximum(values, 1e-3)))
-    features = (raw @ root).astype(np.float32)
+    signs, owner = windows(bags.words)
+    features = np.empty((len(signs), len(marks)), np.float32)
+    for at in range(0, len(signs), PART):
+        part = signs[at : at + PART]
+        near = weighted(part, table) / np.maximum(np.sqrt(own_kernels(part)), 1e-9)[:, None]
+        features[at : at + PART] = near @ root
     bags.text = np.concatenate([bags.text, bags.size + np.arange(len(telling))])
     bags.member = np.concatenate([bags.member, np.array(telling, np.int64)])
     real, y = bags.size, np.concatenate([y, np.ones(len(telling))])
