@@ -403,7 +403,7 @@ ORACLE: dict[str, str] = {
         REVIEWS + "SELECT customer_id, count(review_id) AS total_verified_reviews FROM basic GROUP BY customer_id",
     "monthly_product_reviews": REVIEWS + MONTHLY,
     "monthly_product_reviews_duplicates": REVIEWS + f"""SELECT product_id, year, month, count(*) AS rows
-        FROM ({MONTHLY}) GROUP BY product_id, year, month HAVING count(*) > 1""",
+        FROM ({MONTHLY} UNION ALL {MONTHLY}) GROUP BY product_id, year, month HAVING count(*) > 1""",
     "top_reviewed_products_all": REVIEWS + f"""SELECT {SUMMARY_COLUMNS} FROM basic GROUP BY product_id
         ORDER BY total_reviews DESC, product_id LIMIT 10""",
     "top_verified_customers_all": REVIEWS + """SELECT customer_id, count(review_id) AS total_verified_reviews
@@ -453,3 +453,14 @@ ORACLE: dict[str, str] = {
     "stream_raw_events": """SELECT '{"page":' || page_id || '}' AS value FROM pages UNION ALL
         SELECT '{"page":' || page_id || ',"url":"' || url || '"}' FROM pages WHERE page_id % 7 <> 0""",
 }
+
+# further ways to the same rows
+for _name in ("campaign_ctr_top", "cost_efficiency", "regional_revenue", "top_users_by_clicks", "device_ctr",
+              "campaign_performance_each", "user_sessions", "hourly_click_performance", "targeting_categories_each",
+              "validation_summary"):
+    ORACLE[f"{_name}_stored"] = ORACLE[_name]
+ORACLE["user_documents_stored"] = ORACLE["user_documents_split"]
+ORACLE["device_ctr_json"] = ORACLE["device_ctr"]
+ORACLE["load_star_from_files"] = ORACLE["load_star_schema_impressions"]
+ORACLE["product_review_summary_from_files"] = ORACLE["product_review_summary"]
+ORACLE["documents_dropped_load"] = sessions(1800) + f"SELECT {VISIT} FROM visits WHERE user_id % 3 = 0"

@@ -7,11 +7,13 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyflow.bindings import driver_tables as data
 from tallyflow.operators.keyed import duplicate_keys, upsert
 from tallyflow.operators.profile import dropped_rows, null_blank_counts
 from tallyflow.plans import documents, engagement, page_events, reports, reviews, tweets
+from tallyflow.plans.bundles import campaign_reports
 from tallyflow.plans.star import (
     Star,
     fact_clicks,
@@ -21,9 +23,11 @@ from tallyflow.plans.star import (
     load_facts,
     load_users,
 )
+from tallyflow.schemas import EVENTS_RAW
 from tallyflow.session import scratch_folder
 from tallyflow.sinks import minutes, tables, topics
-from tallyflow.sources.files import stream_sse
+from tallyflow.sinks.reports import write_reports
+from tallyflow.sources import files
 from tallyflow.sources.relational import star_from_folder
 from tallyflow.sources.topics import folder_topic, stored_topic
 from tallyflow.streaming import jobs
@@ -73,11 +77,69 @@ def _loaded_twice(name: str) -> Query:
         tables.write_star(users.filter("user_id % 2 = 0"), campaigns, even.filter("UserID % 2 = 0"), root)
         tables.write_star(users, campaigns, even, root)
         tables.write_star(users, campaigns, events.withColumn("Device", F.upper("Device")), root)
-        return getattr(star_from_folder(spark, root), name)
+        return spark.read.parquet(f"{root}/{name}")
 
     return run
 
 
+def _stored(build: Callable[[Star], DataFrame]) -> Query:
+    """A report over the layout of the load: facts joined once, by time."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        star, path = data.star(spark, sf_dir), scratch_folder(spark, "shown")
+        facts = reports.joined_facts(star.impressions, star.clicks)
+        return build(replace(star, impressions=tables.stored(tables.by_range(facts, ["timestamp", "impression_id"]), path)))
+
+    return run
+
+
+def _from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The star load out of CSV files."""
+    root = scratch_folder(spark, "files")
+    events = data.raw_events(spark, sf_dir)
+    others = [c for c in StructType.fromDDL(EVENTS_RAW).names if c not in events.columns]
+    frames = {"users": data.raw_users(spark, sf_dir), "campaigns": data.raw_campaigns(spark, sf_dir),
+              "events": events.withColumns({c: F.lit(None).cast("string") for c in others})}
+    for name, frame in frames.items():
+        frame.write.options(header="true", escape='"').csv(f"{root}/{name}")
+    tables.write_star(files.read_users(spark, f"{root}/users"), files.read_campaigns(spark, f"{root}/campaigns"),
+                      files.read_events(spark, f"{root}/events"), f"{root}/star")
+    return spark.read.parquet(f"{root}/star/impressions")
+
+
+def _reviews_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review results out of a TSV file that need not be read as a whole, written twice and read back."""
+    root = scratch_folder(spark, "files")
+    data.raw_reviews(spark, sf_dir).write.options(header="true", escape='"', sep="\t").csv(f"{root}/reviews")
+    clean = reviews.clean_basic(files.read_reviews(spark, f"{root}/reviews", "\t", multi_line=False))
+    tables.write_review_results(clean.filter("star_rating = 1"), f"{root}/results")
+    tables.write_review_results(clean, f"{root}/results")
+    return spark.read.parquet(f"{root}/results/product_reviews_summary")
+
+
+def _json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_folder(spark, "reports")
+    write_reports({"device_performance": campaign_reports(data.star(spark, sf_dir), START, END)["device_performance"]}, root)
+    return spark.read.schema("device string, ctr_percentage double").json(f"{root}/device_performance")
+
+
+def _months_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of a month table that was appended to itself."""
+    months = reviews.monthly_product_reviews(reviews.clean_basic(data.raw_reviews(spark, sf_dir)))
+    path = scratch_folder(spark, "months")
+    for _ in range(2):
+        months.write.mode("append").parquet(path)
+    return duplicate_keys(spark.read.parquet(path), ["product_id", "year", "month"])
+
+
+def _documents_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of all users, then a load that drops them for those of every third user."""
+    root, star = scratch_folder(spark, "documents"), data.star(spark, sf_dir)
+    tables.write_documents(star, root)
+    again = replace(star, users=star.users.filter("user_id % 3 = 0"), impressions=star.impressions.filter("user_id % 3 = 0"))
+    tables.write_documents(again, root, drop_existing=True)
+    return documents.flatten(tables.read_documents(spark, root)).drop("part")
+
+
 def _documents_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of all users, then a second load with other sessions for every third user."""
     root, star = scratch_folder(spark, "documents"), data.star(spark, sf_dir)
@@ -173,7 +235,7 @@ def _stream_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured event text in files, streamed to a topic of raw events, read back."""
     root = scratch_folder(spark, "raw")
     data.sse_chunks(spark, sf_dir).write.option("lineSep", "\n\n\n").text(f"{root}/captured")
-    chunks = stream_sse(spark, f"{root}/captured", "\n\n\n")
+    chunks = files.stream_sse(spark, f"{root}/captured", "\n\n\n")
     _finish(jobs.to_topic(jobs.raw_messages(chunks), f"{root}/topic", f"{root}/checkpoint"))
     return stored_topic(spark, f"{root}/topic")
 
@@ -210,12 +272,26 @@ REGISTRY: dict[str, Query] = {
     "advertiser_total_spend": _star(
         lambda s: reports.advertiser_total_spend(s.impressions, s.campaigns, ADVERTISER_ID)),
     "advertiser_total_spend_each": _star(lambda s: reports.advertiser_total_spend(s.impressions, s.campaigns)),
+    "device_ctr_json": _json_report,
+    # the same from the layout of the load
+    "campaign_ctr_top_stored": _stored(lambda s: reports.campaign_ctr_top(s.campaigns, s.impressions, s.clicks, START, END)),
+    "cost_efficiency_stored": _stored(lambda s: reports.cost_efficiency(s.campaigns, s.impressions, s.clicks)),
+    "regional_revenue_stored": _stored(lambda s: reports.regional_revenue(s.impressions, s.clicks)),
+    "top_users_by_clicks_stored": _stored(lambda s: reports.top_users_by_clicks(s.users, s.impressions, s.clicks)),
+    "device_ctr_stored": _stored(lambda s: reports.device_ctr(s.impressions, s.clicks)),
+    "campaign_performance_each_stored": _stored(lambda s: reports.campaign_performance(s.impressions, s.clicks)),
+    "user_sessions_stored": _stored(lambda s: engagement.user_sessions(s.impressions, s.clicks)),
+    "user_documents_stored": _stored(lambda s: documents.flatten(documents.user_documents(s, SIX_HOURS)).drop("part")),
+    "hourly_click_performance_stored": _stored(lambda s: engagement.hourly_click_performance(s, ADVERTISER)),
+    "targeting_categories_each_stored": _stored(engagement.targeting_categories),
+    "validation_summary_stored": _stored(engagement.validation_summary),
     # star tables out of raw rows
     "load_star_schema_users": _loaded("users"),
     "load_star_schema_advertisers": _loaded("advertisers"),
     "load_star_schema_campaigns": _loaded("campaigns"),
     "load_star_schema_impressions": _loaded("impressions"),
     "load_star_schema_clicks": _loaded("clicks"),
+    "load_star_from_files": _from_files,
     "load_star_second": _loaded_twice("impressions"),
     "load_star_second_clicks": _loaded_twice("clicks"),
     # sessions, documents and engagement
@@ -251,6 +327,7 @@ REGISTRY: dict[str, Query] = {
         lambda d: documents.flatten(documents.last_sessions_of_documents(d)).drop("part")),
     "engaged_split_documents": _split(lambda d: documents.engaged(d).select("user_id").distinct()),
     "documents_second_load": _documents_twice,
+    "documents_dropped_load": _documents_dropped,
     "validation_summary": _star(engagement.validation_summary),
     # reviews
     "null_blank_profile": _raw(null_blank_counts),
@@ -260,8 +337,8 @@ REGISTRY: dict[str, Query] = {
     "product_review_summary": _basic(reviews.product_review_summary),
     "customer_review_counts": _basic(reviews.customer_review_counts),
     "monthly_product_reviews": _basic(reviews.monthly_product_reviews),
-    "monthly_product_reviews_duplicates": _basic(
-        lambda c: duplicate_keys(reviews.monthly_product_reviews(c), ["product_id", "year", "month"])),
+    "monthly_product_reviews_duplicates": _months_twice,
+    "product_review_summary_from_files": _reviews_from_files,
     "top_reviewed_products_all": _basic(
         lambda c: reviews.top_reviewed_products_all(reviews.product_review_summary(c))),
     "top_verified_customers_all": _basic(

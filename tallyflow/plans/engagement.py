@@ -52,10 +52,21 @@ def described(rows: DataFrame, campaigns: DataFrame, advertisers: DataFrame) ->
 
 def clicked_facts(impressions: DataFrame, clicks: DataFrame) -> DataFrame:
     """Impressions with click_timestamp and revenue_generated of a timed click."""
+    if "click_timestamp" in impressions.columns:
+        timed = F.when(F.col("click_timestamp").isNotNull(), F.col("revenue_generated"))
+        return impressions.withColumn("revenue_generated", timed)
     return with_clicks(impressions, clicks.filter("click_timestamp IS NOT NULL"),
                        "click_timestamp", "revenue_generated")
 
 
+def timed_clicks(impressions: DataFrame, clicks: DataFrame, *columns: str) -> DataFrame:
+    """The impressions with a timed click, with the given columns of it."""
+    if "click_timestamp" in impressions.columns:
+        return impressions.filter("click_timestamp IS NOT NULL")
+    timed = clicks.filter("click_timestamp IS NOT NULL").select("impression_id", *columns)
+    return impressions.join(timed, "impression_id", "inner" if columns else "left_semi")
+
+
 def user_sessions(impressions: DataFrame, clicks: DataFrame, timeout: int = DEFAULT_TIMEOUT) -> DataFrame:
     """One row per user session: number, start, impressions, clicks."""
     rows = clicked_facts(impressions, clicks).select("user_id", "timestamp", "click_timestamp")
@@ -94,11 +105,12 @@ def hourly_click_performance(star: Star, advertiser: str | None) -> DataFrame:
 
     Only clicked impressions count. Without an advertiser: of each of them.
     """
-    clicked = star.impressions.join(
-        star.clicks.filter("click_timestamp IS NOT NULL").select(
-            "impression_id", "click_timestamp", "revenue_generated"),
-        "impression_id",
-    )
+    impressions = star.impressions
+    if advertiser not in (None, UNKNOWN_ADVERTISER):
+        # the advertiser's campaigns choose the impressions before these meet their clicks
+        own = star.campaigns.join(star.advertisers.filter(F.col("name") == advertiser), "advertiser_id", "left_semi")
+        impressions = impressions.join(own.select("campaign_id"), "campaign_id", "left_semi")
+    clicked = timed_clicks(impressions, star.clicks, "click_timestamp", "revenue_generated")
     rows = described(clicked, star.campaigns, star.advertisers)
     if advertiser is not None:
         rows = rows.filter(F.col("advertiser_name") == advertiser)
@@ -138,9 +150,7 @@ def ad_fatigue(star: Star, threshold: int = 2, limit: int | None = 50) -> DataFr
 
 def targeting_categories(star: Star, user_id: int | None = None, n: int = 3) -> DataFrame:
     """The ``n`` categories a user clicked most; ties by category. Without an id: for every user."""
-    clicked = of_user(star.impressions, user_id).join(
-        star.clicks.filter("click_timestamp IS NOT NULL").select("impression_id"), "impression_id", "left_semi"
-    )
+    clicked = timed_clicks(of_user(star.impressions, user_id), star.clicks)
     # counting by campaign first leaves few rows to describe
     by_campaign = clicked.groupBy("user_id", "campaign_id").agg(F.count("*").alias("clicked"))
     counts = (
@@ -170,7 +180,7 @@ def last_sessions(
 def user_engagements(
     star: Star, user_id: int | None = None, timeout: int = DEFAULT_TIMEOUT
 ) -> DataFrame:
-    """What a user saw or clicked, in session order. Without an id: for every user."""
+    """What a user saw or clicked, in session order. Without an id: for every user, in no order."""
     shown = of_user(star.impressions, user_id)
     labels = session_labels(shown, timeout)
     rows = clicked_facts(assign_sessions(shown, labels, timeout), star.clicks)
@@ -180,14 +190,14 @@ def user_engagements(
         "campaign_id", "campaign_name", "advertiser_name",
         iso(F.col("timestamp")).alias("timestamp"), "category", kind.alias("engagement_type"),
     )
-    return listed.orderBy("user_id", "session_seq", "_ts", "impression_id").drop("_ts")
+    if user_id is None:
+        return listed.drop("_ts")
+    return listed.orderBy("session_seq", "_ts", "impression_id").drop("_ts")
 
 
 def active_subject(star: Star, timeout: int = DEFAULT_TIMEOUT) -> DataFrame:
     """The lowest user id with a click, and the advertiser of that user's first impression."""
-    clicked = star.impressions.join(
-        star.clicks.filter("click_timestamp IS NOT NULL").select("impression_id"), "impression_id", "left_semi"
-    )
+    clicked = timed_clicks(star.impressions, star.clicks)
     lowest = clicked.select(F.min("user_id")).scalar()
     shown = star.impressions.filter(F.col("user_id") == lowest)
     labels = session_labels(shown, timeout).filter("session_seq = 1")
@@ -202,9 +212,7 @@ def active_subject(star: Star, timeout: int = DEFAULT_TIMEOUT) -> DataFrame:
 
 def validation_summary(star: Star) -> DataFrame:
     """Row counts of impressions, clicks and user documents, and users with a click."""
-    engaged = star.impressions.join(
-        star.clicks.filter("click_timestamp IS NOT NULL").select("impression_id"), "impression_id", "left_semi"
-    ).join(star.users.select("user_id"), "user_id", "left_semi")
+    engaged = timed_clicks(star.impressions, star.clicks).join(star.users.select("user_id"), "user_id", "left_semi")
 
     def counted(metric: str, df: DataFrame, what) -> DataFrame:
         return df.agg(what.alias("value")).select(F.lit(metric).alias("metric"), "value")

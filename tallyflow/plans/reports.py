@@ -12,11 +12,28 @@ from pyspark.sql import functions as F
 from tallyflow.functions.numbers import per_thousand, percent, ratio
 
 
+CLICK_COLUMNS = ["click_id", "click_timestamp", "revenue_generated"]
+
+
+def joined_facts(impressions: DataFrame, clicks: DataFrame) -> DataFrame:
+    """Every impression with the columns of its click: joined once by a load, so that no report joins the facts."""
+    return impressions.join(clicks.select("impression_id", *CLICK_COLUMNS), "impression_id", "left")
+
+
 def with_clicks(impressions: DataFrame, clicks: DataFrame, *columns: str) -> DataFrame:
-    """Every impression with the given columns of its click, NULL where there is none."""
+    """Every impression with the given columns of its click, NULL where there is none; joined facts have them."""
+    if set(columns) <= set(impressions.columns):
+        return impressions
     return impressions.join(clicks.select("impression_id", *columns), "impression_id", "left")
 
 
+def clicked(impressions: DataFrame, clicks: DataFrame, *columns: str) -> DataFrame:
+    """The clicked impressions with the given columns of their click."""
+    if set(columns) <= set(impressions.columns):
+        return impressions.filter("click_id IS NOT NULL")
+    return impressions.join(clicks.select("impression_id", *columns), "impression_id")
+
+
 def in_range(start: str, end: str) -> Column:
     """Inclusive range on the impression time."""
     return F.col("timestamp").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))
@@ -82,7 +99,7 @@ def cost_efficiency(campaigns: DataFrame, impressions: DataFrame, clicks: DataFr
 def regional_revenue(impressions: DataFrame, clicks: DataFrame, n: int = 10) -> DataFrame:
     """Locations with the highest click revenue."""
     return (
-        impressions.join(clicks.select("impression_id", "revenue_generated"), "impression_id")
+        clicked(impressions, clicks, "revenue_generated")
         .groupBy("location")
         .agg(F.sum("revenue_generated").alias("total_revenue"))
         .orderBy(F.desc("total_revenue"), "location")
@@ -93,7 +110,7 @@ def regional_revenue(impressions: DataFrame, clicks: DataFrame, n: int = 10) ->
 def top_users_by_clicks(users: DataFrame, impressions: DataFrame, clicks: DataFrame, n: int = 10) -> DataFrame:
     """Users with the most clicks; ties by user id."""
     return (
-        impressions.join(clicks.select("impression_id", "click_id"), "impression_id")
+        clicked(impressions, clicks, "click_id")
         .groupBy("user_id")
         .agg(F.count("click_id").alias("total_clicks"))
         .join(users.select("user_id"), "user_id", "left_semi")

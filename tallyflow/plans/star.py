@@ -139,6 +139,12 @@ def fact_clicks(facts: DataFrame) -> DataFrame:
     return facts.filter(F.col("click").isNotNull()).select(F.col("impression_id").alias("click_id"), "impression_id", "click.*")
 
 
+def fact_rows(facts: DataFrame) -> DataFrame:
+    """The impressions of ``load_facts`` with the columns of their click."""
+    click_id = F.when(F.col("click").isNotNull(), F.col("impression_id")).alias("click_id")
+    return facts.select("impression_id", "impression.*", click_id, "click.*")
+
+
 def load_star(
     users_raw: DataFrame,
     campaigns_raw: DataFrame,

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tallyflow.operators.keyed import newest_version
 from tallyflow.plans import reviews as rv
 from tallyflow.plans.documents import user_documents
-from tallyflow.plans.star import Star, load_star
+from tallyflow.plans.star import Star, fact_rows, load_star
 from tallyflow.session import scratch_folder
 
 
@@ -118,7 +118,8 @@ def write_star(users_raw: DataFrame, campaigns_raw: DataFrame, events_raw: DataF
     """Load the five star tables, parents first, into what is there: rows whose key is stored already are skipped.
 
     Children check their keys against the written parents. Impressions are laid
-    out by time, so that reports over a range skip the rest.
+    out by time, so that reports over a range skip the rest; the table ``shown``
+    holds them with their clicks, so that no report joins the facts again.
     """
     spark = users_raw.sparkSession
     names = ("advertisers", "users", "campaigns", "impressions", "clicks")
@@ -127,9 +128,14 @@ def write_star(users_raw: DataFrame, campaigns_raw: DataFrame, events_raw: DataF
 
     def store(df: DataFrame, name: str) -> DataFrame:
         if name == "facts":
-            return stored(df, facts)
+            kept = stored(df, facts)
+            add(by_range(fact_rows(kept), ["timestamp", "impression_id"]), "shown")
+            return kept
         if name == "impressions":
             df = by_range(df, ["timestamp", "impression_id"])
+        return add(df, name)
+
+    def add(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("append").parquet(f"{root}/{name}")
         return spark.read.schema(df.schema).parquet(f"{root}/{name}")
 

@@ -33,8 +33,8 @@ def jdbc_table(
 
 
 def star_from_folder(spark: SparkSession, root: str) -> Star:
-    """The star tables as written by ``sinks.tables.write_star``."""
-    names = ("advertisers", "users", "campaigns", "impressions", "clicks")
+    """The star tables as written by ``sinks.tables.write_star``; impressions come with their clicks, joined by the load."""
+    names = ("advertisers", "users", "campaigns", "shown", "clicks")
     return Star(*[spark.read.parquet(f"{root}/{name}") for name in names])
 
 

@@ -1,3 +1,4 @@
+import re
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -8,6 +9,7 @@ from tallyflow import schemas
 from tallyflow.functions.text import hex_bytes, hex_id
 from tallyflow.operators.keyed import (
     duplicate_keys, first_per_key, insert_ignore, last_per_key, newest_version, surrogate_ids, upsert)
+from tallyflow.plans import reports
 from tallyflow.plans.reports import with_clicks
 from tallyflow.plans.star import (
     fact_clicks, fact_impressions, load_advertisers, load_campaigns, load_clicks, load_facts, load_impressions, load_star)
@@ -123,11 +125,21 @@ def test_load_star(spark, rows, folder):
     for name in ("users", "advertisers", "campaigns", "impressions", "clicks"):
         assert rows(getattr(written, name)) == rows(getattr(star, name))
     assert star_from_folder(spark, f"{folder}/star").impressions.count() == 4
+    joined = star_from_folder(spark, f"{folder}/star")
+    sums = reports.campaign_performance(joined.impressions, joined.clicks)
+    assert "impression_id" not in "".join(re.findall(r"hashpartitioning\(.*?\)", plan_of(sums)))
+    assert rows(sums) == rows(reports.campaign_performance(star.impressions, star.clicks))
+    assert rows(reports.regional_revenue(joined.impressions, joined.clicks)) == rows(
+        reports.regional_revenue(star.impressions, star.clicks))
     again = write_star(*raw_frames(spark), f"{folder}/star")
     for name in ("users", "advertisers", "campaigns", "impressions", "clicks"):
         assert rows(getattr(again, name)) == rows(getattr(star, name))
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_facts_take_one_scan_and_one_exchange_by_id(spark, rows, folder):
     users, campaigns, events = raw_frames(spark)
     parents = load_star(users, campaigns, events)
@@ -136,7 +148,7 @@ def test_facts_take_one_scan_and_one_exchange_by_id(spark, rows, folder):
     facts = load_facts(stored, parents.campaigns, parents.users)
     assert rows(fact_impressions(facts)) == rows(load_impressions(events, parents.campaigns, parents.users))
     assert rows(fact_clicks(facts)) == rows(load_clicks(events, parents.impressions))
-    plan = facts._jdf.queryExecution().executedPlan().toString()
+    plan = plan_of(facts)
     assert plan.count(f"{folder}/events") == 1 and plan.count("hashpartitioning(impression_id") == 1
 
 
