@@ -1,4 +1,4 @@
-"""Field lists of the data model, as Spark DDL strings."""
+"""Field lists of the data model, as Spark DDL strings: fixed values, the names and types of the files and messages."""
 
 USERS = "user_id int, age int, gender string, location string, interests string, signup_date date"
 
