@@ -357,7 +357,7 @@ def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         bpe = vocabulary(path)
         kinds = (pa.int64(), pa.string(), pa.string())
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, limit=16 << 20):
                 columns = zip(*digests(bpe, batch.column(1)), strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))],
@@ -376,7 +376,7 @@ def encode_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, limit=16 << 20):
                 offsets, codes, ids = bpe.encode_batch(batch.column(1))
                 flat = np.frombuffer(b"".join([ids[c] for c in codes.tolist()]), "<i4")
                 lengths = np.array([len(i) // 4 for i in ids], np.int64)

@@ -1,8 +1,9 @@
 """Language-model scores of texts: a causal self-attention model over subword ids, trained in numpy.
 
 Texts become blocks: a block holds each of its distinct words once, the words' subword ids, and its
-texts as word numbers. All statistics come from blocks, so a word is encoded once for each block and a
-frequent word is one row for each block, not one for each place.
+texts as word numbers. All statistics come from blocks, so a frequent word is counted once for each
+block, not once for each place. Words meet in buckets by a hash; a bucket adds up the counts its words
+have in all blocks and hands them back to each block.
 
 - Word counts of all learning texts give the unigram base; they meet the blocks again by word.
 - Subword counts over all learning texts give the classes (the commonest ids are classes of their own,
@@ -31,16 +32,20 @@ from dataclasses import dataclass
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.llm.common import chunks, fold, lower_ascii, needed, ready, slices, stored
+from tallyflow.llm.common import chunks, fold, needed, ready, slices, stored
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text in a block, about; a longer text is a block of its own.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
+#: Buckets of words; each is held by one task, so a larger corpus takes more.
+BUCKETS = 128
 #: Ids that are classes of their own as context, and bands of the others.
 OWN_CONTEXT, BANDS = 496, 16
 #: The same as prediction: ids that begin a word (and the end id), and those that go on with it.
@@ -52,7 +57,7 @@ WINDOW, OVERLAP = 32, 8
 #: Windows scored together.
 STEP = 128
 #: Training: one window in so many, windows of a step, averages.
-STRIDE, TRAIN_STEP, AVERAGES = 32, 32, 2
+STRIDE, TRAIN_STEP, AVERAGES = 64, 32, 2
 #: Weight, in counts, of the classes' shares in the prior.
 SMOOTHING = 20.0
 #: Pairs of ids from this share of all pairs on are kept, which bounds them by its inverse.
@@ -60,10 +65,24 @@ PAIR_SHARE = 2e-7
 #: Taken off the count of a word seen before, for the words not seen.
 DISCOUNT = 0.75
 
+#: A block is a row without bucket that holds its texts, and a row for each bucket of its words.
 BLOCK_SCHEMA = (
-    "block long, doc_ids array<{kind}>, learning binary, offsets binary, codes binary, words array<string>, "
-    "learned array<bigint>, firsts array<int>, pieces binary, piece_ends binary"
+    "block long, bucket int, doc_ids array<{kind}>, learning binary, sizes binary, codes binary, pieces binary, "
+    "lengths binary, words array<string>, places binary, learned binary, firsts binary"
 )
+TEXTS = ["block", "learning", "sizes", "codes", "pieces", "lengths"]
+
+
+def pack_numbers(values: np.ndarray, kind: str) -> bytes:
+    """Whole numbers in little space: their bytes by rank, compressed."""
+    raw = np.ascontiguousarray(values.astype(kind))
+    planes = raw.view(np.uint8).reshape(-1, raw.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack_numbers(raw: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 @functools.lru_cache(maxsize=2)
@@ -74,38 +93,84 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("subwords", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def make_blocks(path: str):
+@functools.lru_cache(maxsize=2)
+def word_starts(path: str) -> np.ndarray:
+    """Whether each id, and the end id after them, begins a word."""
+    tokens = encoding(path)
+    begins = [tokens.decode_single_token_bytes(i).startswith(b" ") for i in range(tokens.max_token_value + 1)]
+    return np.array([*begins, True])
+
+
+def encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, lengths) of words, each with a blank before it.
+
+    Words are encoded in one go and parted where an id begins with a blank, which no word has inside.
+    """
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    encode = encoding(path).encode_ordinary
+    ids = np.array(encode(" " + " ".join(words)), np.int64)
+    begins = np.flatnonzero(word_starts(path)[ids])
+    if len(begins) != len(words):  # a word that joins its neighbour; the words are encoded one by one
+        each = [encode(" " + w) for w in words]
+        return np.array([t for i in each for t in i], np.int64), np.array([len(i) for i in each], np.int64)
+    return ids, np.diff(np.append(begins, len(ids)))
+
+
+def spread(pieces: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word's ids, the same in every block."""
+    place = np.arange(len(pieces)) - np.repeat(begins, lengths)
+    mixed = (pieces.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ** (place % 50 + 1).astype(np.uint64)
+    sums = np.add.reduceat(mixed, begins) if len(begins) else np.zeros(0, np.uint64)
+    return sums ^ (sums >> np.uint64(29))
+
+
+def make_blocks(path: str, buckets: int = BUCKETS):
     """Rows (doc_id, text, learning) as blocks."""
+    names = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
+
+    def block_rows(batch: pa.RecordBatch, block: int) -> Iterator[pa.RecordBatch]:
+        offsets, codes, words = chunks(pc.ascii_lower(batch.column(1)))
+        # the commonest words have the smallest numbers; what stands nowhere (the empty word) goes
+        times = np.bincount(codes, minlength=len(words))
+        order = np.argsort(-times, kind="stable")[: int((times > 0).sum())]
+        rank = np.zeros(len(words), np.int32)
+        rank[order] = np.arange(len(order))
+        codes, words = rank[codes], words.take(pa.array(order))
+        pieces, lengths = encode_words(words.to_pylist(), path)
+        begins = np.cumsum(lengths) - lengths
+        learning = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+        learned = np.bincount(codes[np.repeat(learning, np.diff(offsets))], minlength=len(words))
+        bucket = (spread(pieces, begins, lengths) % np.uint64(buckets)).astype(np.int64)
+        by_bucket = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
+        own = [by_bucket[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        firsts = pieces[begins]
+
+        def rows(n: int, kinds: dict[str, pa.DataType], **columns) -> pa.RecordBatch:
+            schema = pa.schema([(c, kinds.get(c, pa.binary())) for c in names])
+            made = [columns[f.name] if isinstance(columns.get(f.name), pa.Array)
+                    else pa.array(columns.get(f.name, [None] * n), f.type) for f in schema]
+            return pa.RecordBatch.from_arrays(made, schema=schema)
+
+        kinds = {"block": pa.int64(), "bucket": pa.int32(), "doc_ids": pa.list_(batch.schema.field(0).type),
+                 "words": pa.list_(pa.string())}
+        yield rows(
+            1, kinds, block=[block], doc_ids=[batch.column(0).to_pylist()], learning=[learning.tobytes()],
+            sizes=[pack_numbers(np.diff(offsets), "<i4")], codes=[pack_numbers(codes, "<i4")],
+            pieces=[pack_numbers(pieces, "<u2")], lengths=[pack_numbers(lengths, "<i4")])
+        yield rows(
+            buckets, kinds, block=[block] * buckets, bucket=list(range(buckets)),
+            words=pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), words.take(pa.array(by_bucket))),
+            places=[pack_numbers(o, "<i4") for o in own], learned=[pack_numbers(learned[o], "<i4") for o in own],
+            firsts=[pack_numbers(firsts[o], "<u2") for o in own])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, number = encoding(path).encode_ordinary, 0
+        number = 0
         for whole in batches:
             for batch in slices(whole, 1, BLOCK_BYTES):
-                offsets, codes, raw = chunks(batch.column(1))
-                lowered = [lower_ascii(w) for w in raw.to_pylist()]
-                words = list(dict.fromkeys(lowered))
-                where = {w: i for i, w in enumerate(words)}
-                codes = np.array([where[w] for w in lowered], np.int32)[codes]
-                learning = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-                taught = np.repeat(learning, np.diff(offsets))
-                ids = [encode(" " + w) for w in words]
-                block = TaskContext.get().partitionId() << 32 | number
+                yield from block_rows(batch, TaskContext.get().partitionId() << 32 | number)
                 number += 1
-                yield pa.RecordBatch.from_pylist([{
-                    "block": block,
-                    "doc_ids": batch.column(0).to_pylist(),
-                    "learning": learning.tobytes(),
-                    "offsets": offsets.astype("<i8").tobytes(),
-                    "codes": codes.astype("<i4").tobytes(),
-                    "words": words,
-                    "learned": np.bincount(codes[taught], minlength=len(words)).tolist(),
-                    "firsts": [i[0] for i in ids],
-                    "pieces": np.array([t for i in ids for t in i], "<u2").tobytes(),
-                    "piece_ends": np.cumsum([len(i) for i in ids]).astype("<i8").tobytes(),
-                }], pa.schema([
-                    ("block", pa.int64()), ("doc_ids", pa.list_(batch.column(0).type)), ("learning", pa.binary()),
-                    ("offsets", pa.binary()), ("codes", pa.binary()), ("words", pa.list_(pa.string())),
-                    ("learned", pa.list_(pa.int64())), ("firsts", pa.list_(pa.int32())),
-                    ("pieces", pa.binary()), ("piece_ends", pa.binary())]))
 
     return run
 
@@ -122,28 +187,32 @@ class Streams:
     starts: np.ndarray
     inside: np.ndarray
     source: np.ndarray
+    words: np.ndarray
+    codes: np.ndarray
+    pieces: np.ndarray
+    begins: np.ndarray
+    lengths: np.ndarray
 
     @classmethod
     def of(cls, row: dict, end_id: int, only_learning: bool = False) -> Streams:
-        offsets, codes = np.frombuffer(row["offsets"], "<i8"), np.frombuffer(row["codes"], "<i4")
-        pieces, ends = np.frombuffer(row["pieces"], "<u2"), np.frombuffer(row["piece_ends"], "<i8")
-        begins = np.concatenate([[0], ends[:-1]])
-        words = np.diff(offsets)
+        words, codes = unpack_numbers(row["sizes"], "<i4").astype(np.int64), unpack_numbers(row["codes"], "<i4")
+        pieces, lengths = unpack_numbers(row["pieces"], "<u2"), unpack_numbers(row["lengths"], "<i4").astype(np.int64)
+        begins = np.cumsum(lengths) - lengths
         if only_learning:
             learning = np.frombuffer(row["learning"], bool)
             codes, words = codes[np.repeat(learning, words)], words[learning]
-        lengths = (ends - begins)[codes]
+        each = lengths[codes]
         text_of = np.repeat(np.arange(len(words)), words)
-        sizes = np.bincount(text_of, weights=lengths, minlength=len(words)).astype(np.int64) + 2
+        sizes = np.bincount(text_of, weights=each, minlength=len(words)).astype(np.int64) + 2
         starts = np.concatenate([[0], np.cumsum(sizes)])
-        total = np.cumsum(lengths)
-        source = np.arange(total[-1] if len(total) else 0) + np.repeat(begins[codes] - (total - lengths), lengths)
+        total = np.cumsum(each)
+        source = np.arange(total[-1] if len(total) else 0) + np.repeat(begins[codes] - (total - each), each)
         inside = np.ones(starts[-1], bool)
         inside[starts[:-1]] = False
         inside[starts[1:] - 1] = False
         ids = np.full(starts[-1], end_id, np.int32)
         ids[inside] = pieces[source]
-        return cls(ids, starts, inside, source)
+        return cls(ids, starts, inside, source, words, codes, pieces.astype(np.int64), begins, lengths)
 
 
 @dataclass
@@ -281,39 +350,45 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-FUTURE = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+#: Which places a place sees: itself and those before it.
+SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
 def attend(p: dict[str, np.ndarray], context: np.ndarray) -> tuple:
     """Hidden state at every place of windows of context classes, and what the way back needs."""
     x = p["embed"][context] + p["place"]
-    q, k, v = x @ p["query"], x @ p["key"], x @ p["value"]
+    joint = np.concatenate([p["query"] * DEPTH**-0.5, p["key"], p["value"], p["skip"]], axis=1).astype(x.dtype)
+    q, k, v, skip = np.split((x.reshape(-1, DEPTH) @ joint).reshape(*context.shape, -1), 4, axis=-1)
     a = q @ k.transpose(0, 2, 1)
-    a *= DEPTH**-0.5
-    a += FUTURE
-    a -= a.max(-1, keepdims=True)
+    # far beyond any trained value; keeps the plain exponential finite
+    np.minimum(a, 60, out=a)
     np.exp(a, out=a)
-    a /= a.sum(-1, keepdims=True)
-    h = np.tanh(a @ v + x @ p["skip"])
-    return x, q, k, v, a, h
+    a *= SEEN
+    ones = np.ones((*context.shape, 1), x.dtype)
+    mixed = a @ np.concatenate([v, ones], axis=-1)
+    total = mixed[..., -1:]
+    h = np.tanh(mixed[..., :-1] / total + skip)
+    return x, q, k, v, a, total, h
 
 
 def log_chances(p: dict[str, np.ndarray], prior: np.ndarray, before: np.ndarray, hidden: np.ndarray, target: np.ndarray) -> tuple:
     """Log probability at every place of the target class, and of any class that begins a word."""
-    logits = hidden @ p["out"]
-    logits += prior[before]
-    at = np.take_along_axis(logits, target[..., None].astype(np.int64), -1)[..., 0]
-    # logits stay small (prior and bounded states), so the plain sum is safe after one shift
-    top = logits.max(-1, keepdims=True)
-    logits -= top
-    np.exp(logits, out=logits)
-    total = np.log(logits.sum(-1))
-    return at - top[..., 0] - total, np.log(logits[..., :STARTS].sum(-1) + 1e-30) - total
+    shape = before.shape
+    logits = np.ascontiguousarray(hidden).reshape(-1, DEPTH) @ p["out"]
+    logits += prior.take(before.ravel(), axis=0)
+    at = logits[np.arange(len(logits)), target.ravel()]
+    # states are bounded and the prior is at most 0: the plain exponential is finite
+    np.exp(np.minimum(logits, 60, out=logits), out=logits)
+    starting = np.zeros((NEXT, 2), logits.dtype)
+    starting[:, 0], starting[:STARTS, 1] = 1, 1
+    total, start = np.log(logits @ starting + 1e-30).T
+    return (at - total).reshape(shape), (start - total).reshape(shape)
 
 
 def gradient(p: dict[str, np.ndarray], prior: np.ndarray, before: np.ndarray, context: np.ndarray, target: np.ndarray, scored: np.ndarray) -> tuple[np.ndarray, float]:
     """Gradient of the mean loss over scored places, end to end, and that loss."""
-    x, q, k, v, a, h = attend(p, context)
+    x, q, k, v, a, total, h = attend(p, context)
+    a = a / total
     logits = h @ p["out"] + prior[before]
     logits -= logits.max(-1, keepdims=True)
     chances = np.exp(logits)
@@ -329,8 +404,9 @@ def gradient(p: dict[str, np.ndarray], prior: np.ndarray, before: np.ndarray, co
     g["skip"] = flat(x).T @ flat(d_g)
     d_a = d_g @ v.transpose(0, 2, 1)
     d_v = a.transpose(0, 2, 1) @ d_g
-    d_s = a * (d_a - (d_a * a).sum(-1, keepdims=True)) * np.float32(DEPTH**-0.5)
-    d_q, d_k = d_s @ k, d_s.transpose(0, 2, 1) @ q
+    d_s = a * (d_a - (d_a * a).sum(-1, keepdims=True))
+    # q came scaled
+    d_q, d_k = d_s @ k * np.float32(DEPTH**-0.5), d_s.transpose(0, 2, 1) @ q
     g["query"], g["key"], g["value"] = flat(x).T @ flat(d_q), flat(x).T @ flat(d_k), flat(x).T @ flat(d_v)
     d_x = d_g @ p["skip"].T + d_q @ p["query"].T + d_k @ p["key"].T + d_v @ p["value"].T
     g["place"] = d_x.sum(0)
@@ -423,23 +499,19 @@ class Model:
                 out[places], starting[places] = found[real], start[real]
         return out, starting
 
-    def score(self, row: dict, counts: np.ndarray) -> np.ndarray:
+    def score(self, stream: Streams, counts: np.ndarray) -> np.ndarray:
         """log10 probability of each text of a block; ``counts`` are those of its words in the learning texts."""
-        stream = Streams.of(row, self.end_id)
         logs, starting = self.class_logs(stream)
-        offsets, codes = np.frombuffer(row["offsets"], "<i8"), np.frombuffer(row["codes"], "<i4")
-        pieces, ends = np.frombuffer(row["pieces"], "<u2").astype(np.int64), np.frombuffer(row["piece_ends"], "<i8")
-        n = len(offsets) - 1
-        text = np.repeat(np.arange(n), np.diff(offsets))
+        codes, pieces, begins, n = stream.codes, stream.pieces, stream.begins, len(stream.words)
+        text = np.repeat(np.arange(n), stream.words)
         closing = stream.starts[1:] - 1
         # the end of a text stands where a word could start
         total = (logs - starting)[closing] + np.log(self.classes.share[self.end_id])
         if len(codes):
-            begins = np.concatenate([[0], ends[:-1]])
             # within a word, what follows what does not depend on the text
             spelled = self.following.logs(np.concatenate([[0], pieces[:-1]]), pieces)
             spelled[begins] = np.log(self.classes.share[pieces[begins]])
-            lengths = (ends - begins)[codes]
+            lengths = stream.lengths[codes]
             at = np.cumsum(lengths) - lengths
             places = np.flatnonzero(stream.inside)
             opening = logs[places[at]] - starting[places[at]]
@@ -455,36 +527,62 @@ class Model:
         return total / np.log(10)
 
 
-def learn(blocks: DataFrame, counts: DataFrame, path: str) -> Model:
-    """The model of all learning texts; what comes to the driver is one number for each id, or is bounded by PAIR_SHARE.
+def count_words(classes: Classes):
+    """A bucket's words of all blocks: each block gets the counts of its words that were learned.
 
-    ``counts`` has the learning words with c and first, their first id.
+    The row without block sums up the bucket: learned words and their counts by the class of their first id.
     """
+    schema = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("counts", pa.binary())])
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        words = pa.concat_arrays(rows.column("words").chunks).flatten().dictionary_encode()
+        codes = words.indices.to_numpy(zero_copy_only=False)
+        blocks = rows.column("block").to_pylist()
+        places, learned, firsts = (
+            [unpack_numbers(r, kind) for r in rows.column(name).to_pylist()]
+            for name, kind in (("places", "<i4"), ("learned", "<i4"), ("firsts", "<u2")))
+        total = np.bincount(codes, weights=np.concatenate(learned), minlength=len(words.dictionary))
+        first = np.zeros(len(words.dictionary), np.int64)
+        first[codes] = np.concatenate(firsts)
+        group = classes.next[first[total > 0]]
+        out = [{"block": None, "places": np.bincount(group, weights=total[total > 0], minlength=NEXT).tobytes(),
+                "counts": np.bincount(group, minlength=NEXT).astype(float).tobytes()}]
+        at = 0
+        for block, own in zip(blocks, places, strict=True):
+            c = total[codes[at : at + len(own)]]
+            at += len(own)
+            out.append({"block": block, "places": pack_numbers(own[c > 0], "<i4"), "counts": pack_numbers(c[c > 0], "<i8")})
+        return pa.Table.from_pylist(out, schema)
+
+    return run
+
+
+def learn_classes(texts: DataFrame, path: str) -> Classes:
+    """Classes of the ids of all learning texts; one number for each id comes to the driver."""
     end_id = encoding(path).max_token_value + 1
-    size = NEXT
     seen = np.zeros(end_id + 1)
-    parts = blocks.select("learning", "offsets", "codes", "pieces", "piece_ends", "block")
-    for number, n in parts.mapInArrow(count_ids(end_id), "id long, n long").groupBy("id").agg(F.sum("n")).collect():
+    for number, n in texts.mapInArrow(count_ids(end_id), "id long, n long").groupBy("id").agg(F.sum("n")).collect():
         seen[number] = n
-    starts_word = [encoding(path).decode_single_token_bytes(i).startswith(b" ") for i in range(end_id)]
-    classes = Classes.of(seen, np.array([*starts_word, True]))
-    pairs = parts.mapInArrow(count_pairs(end_id), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return Classes.of(seen, word_starts(path))
+
+
+def learn(texts: DataFrame, classes: Classes, mass: np.ndarray, kinds: np.ndarray) -> Model:
+    """The model of all learning texts; what comes to the driver has a bound: ids x classes, or 1 / PAIR_SHARE."""
+    end_id = len(classes.next) - 1
+    pairs = texts.mapInArrow(count_pairs(end_id), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     pairs = stored(pairs, "pairs")
     # the next class after every id, rare pairs too: at most one number for each id and class
     names = pairs.select(F.floor(F.col("pair") / (end_id + 1)).alias("before"), F.pmod("pair", F.lit(end_id + 1)).alias("after"), "n")
     after = names.groupBy("before", _lookup(classes.next, "after").alias("class")).agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros((end_id + 1, size), np.float32)
+    table = np.zeros((end_id + 1, NEXT), np.float32)
     table[after["before"].to_numpy(int), after["class"].to_numpy(int)] = after["n"]
-    prior = smoothed(table, classes, np.bincount(classes.next, weights=seen + 0.5, minlength=size))
-    kept = pairs.filter(F.col("n") >= PAIR_SHARE * table.sum()).orderBy("pair").toPandas()
+    prior = smoothed(table, classes, table.sum(0) + 0.5)
+    kept = pairs.filter(F.col("n") >= PAIR_SHARE * float(table.sum())).orderBy("pair").toPandas()
     following = Following.of(classes, kept["pair"].to_numpy(np.int64), kept["n"].to_numpy(np.float64))
-    mass, kinds = np.zeros(size), np.zeros(size)
-    for first, c, n in counts.groupBy("first").agg(F.sum("c"), F.count("*")).collect():
-        mass[classes.next[first]] += c
-        kinds[classes.next[first]] += n
     parameters = initial()
     for turn in range(AVERAGES):
-        sums = parts.mapInArrow(train(end_id, classes, prior, parameters, turn), "place long, value double, windows long")
+        sums = texts.mapInArrow(train(end_id, classes, prior, parameters, turn), "place long, value double, windows long")
         sums = sums.groupBy("place").agg(F.sum("value").alias("value"), F.sum("windows").alias("windows"))
         for place, value, windows in sums.collect():
             parameters[place] = value / windows
@@ -510,41 +608,41 @@ def scores(docs: DataFrame, folds: int = 5, held_fold: int = 1, path: str | None
     held = fold("doc_id", folds) == held_fold
     rows = needed(docs, ["doc_id", "text"]).select("doc_id", "text", (~held).alias("learning"))
     blocks = stored(rows.mapInArrow(make_blocks(path), BLOCK_SCHEMA.format(kind=kind)), "blocks")
-    counted = blocks.select(F.explode(F.arrays_zip("words", "learned", "firsts")).alias("w")).select("w.*")
-    counts = counted.filter("learned > 0").groupBy(F.col("words").alias("word"), F.col("firsts").alias("first"))
-    counts = stored(counts.agg(F.sum("learned").alias("c")), "words")
-    texts = rows.filter("learning").count()
-    words, tokens = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    total, distinct = tokens + texts, words + (texts > 0)
-    model = spark.sparkContext.broadcast(learn(blocks, counts, path))
-    scale = float(np.log10(total + 0.5 * (distinct + 1)))
-    ends = float(np.log10(texts + 0.5))
-    # each block gets the counts of its words back
-    places = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    known = places.join(counts, "word").select(F.col("block").alias("of_block"), "place", "c")
+    texts = blocks.filter("bucket IS NULL").select(*TEXTS)
+    classes = learn_classes(texts, path)
+    words = blocks.filter("bucket IS NOT NULL").select("block", "bucket", "words", "places", "learned", "firsts")
+    counts = words.groupBy("bucket").applyInArrow(count_words(classes), "block long, places binary, counts binary")
+    counts = stored(counts, "words")
+    # a row for each bucket
+    sums = counts.filter("block IS NULL").collect()
+    mass = sum((np.frombuffer(r["places"], np.float64) for r in sums), np.zeros(NEXT))
+    kinds = sum((np.frombuffer(r["counts"], np.float64) for r in sums), np.zeros(NEXT))
+    ends = rows.filter("learning").count()
+    total, distinct = int(mass.sum()) + ends, int(kinds.sum()) + (ends > 0)
+    model = spark.sparkContext.broadcast(learn(texts, classes, mass, kinds))
+    scale, end_base = float(np.log10(total + 0.5 * (distinct + 1))), float(np.log10(ends + 0.5))
 
     def run(blocks: pa.Table, known: pa.Table) -> pa.Table:
-        out = []
-        counts_of = (known.column("place").to_numpy(), known.column("c").to_numpy())
+        ids = blocks.schema.field("doc_ids").type.value_type
+        found = {"doc_id": pa.array([], ids), "n_tokens": np.zeros(0, np.int64), "n_known": np.zeros(0, np.int64),
+                 "base_score": np.zeros(0), "score": np.zeros(0)}
         for row in blocks.to_pylist():
-            offsets, codes = np.frombuffer(row["offsets"], "<i8"), np.frombuffer(row["codes"], "<i4")
-            c = np.zeros(len(row["piece_ends"]) // 8)
-            c[counts_of[0]] = counts_of[1]
-            text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-            n = len(offsets) - 1
+            stream = Streams.of(row, model.value.end_id)
+            codes, size = stream.codes, stream.words + 1
+            c = np.zeros(len(stream.lengths))
+            for places, counts in zip(known.column("places").to_pylist(), known.column("counts").to_pylist(), strict=True):
+                c[unpack_numbers(places, "<i4")] = unpack_numbers(counts, "<i8")
+            text, n = np.repeat(np.arange(len(size)), stream.words), len(size)
             base = np.bincount(text, weights=np.log10(c + 0.5)[codes], minlength=n)
             has = np.bincount(text, weights=(c > 0)[codes], minlength=n).astype(np.int64)
-            size = np.diff(offsets) + 1
-            score = model.value.score(row, c)
-            out.append(pa.table({
-                "doc_id": pa.array(row["doc_ids"], blocks.schema.field("doc_ids").type.value_type),
-                "n_tokens": size, "n_known": has + (texts > 0),
-                "base_score": base + ends - size * scale, "score": score}))
-        return pa.concat_tables(out) if out else pa.table({
-            "doc_id": pa.array([], blocks.schema.field("doc_ids").type.value_type), "n_tokens": pa.array([], pa.int64()),
-            "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
-
-    found = blocks.drop("words", "learned", "learning", "firsts").groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(
+            found = {
+                "doc_id": pa.array(row["doc_ids"], ids), "n_tokens": size, "n_known": has + (ends > 0),
+                "base_score": base + end_base - size * scale, "score": model.value.score(stream, c)}
+        return pa.table(found)
+
+    whole = blocks.filter("bucket IS NULL").select("doc_ids", *TEXTS)
+    known = counts.filter("block IS NOT NULL").select(F.col("block").alias("of_block"), "places", "counts")
+    found = whole.groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(
         run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
     return found.select(
         "doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),

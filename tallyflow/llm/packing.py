@@ -112,7 +112,7 @@ def pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, limit=16 << 20):
                 offsets, codes, ids = bpe.encode_batch(batch.column(1))
                 rows = []
                 for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):

@@ -64,6 +64,15 @@ def test_language_model_without_learning_texts(odd_docs):
     assert all(r.held_out and r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in found)
 
 
+@SETTINGS
+@given(st.lists(st.text(st.sampled_from("abc'!?12 é\u00a0\u3000ß"), min_size=1, max_size=8).map(lambda t: t.replace(" ", "x")), max_size=15))
+def test_words_encode_together_as_apart(words):
+    path = lm_score.public_tokenizers.path(lm_score.VOCABULARY)
+    each = [lm_score.encoding(path).encode_ordinary(" " + w) for w in words]
+    ids, lengths = lm_score.encode_words(words, path)
+    assert ids.tolist() == [t for i in each for t in i] and lengths.tolist() == [len(i) for i in each]
+
+
 def test_windows_score_each_place_once():
     """Windows cover every place, and only in the first of two that hold it."""
     sizes = [2, 3, 33, 34, 35, 57, 58, 59, 200]
@@ -130,11 +139,11 @@ def test_model_chances_of_words_add_up():
         kinds[classes.next[w[0]]] += c > 0
     model = lm_score.Model(end_id, classes, following, prior, lm_score.initial(), mass, kinds)
     row = {
-        "offsets": np.arange(len(words) + 1).astype("<i8").tobytes(), "codes": np.arange(len(words)).astype("<i4").tobytes(),
-        "pieces": np.array([t for w in words for t in w], "<u2").tobytes(),
-        "piece_ends": np.cumsum([len(w) for w in words]).astype("<i8").tobytes(),
+        "sizes": lm_score.pack_numbers(np.ones(len(words)), "<i4"), "codes": lm_score.pack_numbers(np.arange(len(words)), "<i4"),
+        "pieces": lm_score.pack_numbers(np.array([t for w in words for t in w]), "<u2"),
+        "lengths": lm_score.pack_numbers(np.array([len(w) for w in words]), "<i4"),
     }
-    chances = 10 ** model.score(row, counts)
+    chances = 10 ** model.score(lm_score.Streams.of(row, end_id), counts)
     # every text is one word and the end; the end has one chance after any word, as the prior is flat
     end = np.exp(prior[0, classes.next[end_id]]) / np.exp(prior[0, : lm_score.STARTS]).sum()
     start = 1 - end
