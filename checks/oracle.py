@@ -459,6 +459,10 @@ for _name in ("campaign_ctr_top", "cost_efficiency", "regional_revenue", "top_us
               "campaign_performance_each", "user_sessions", "hourly_click_performance", "targeting_categories_each",
               "validation_summary"):
     ORACLE[f"{_name}_stored"] = ORACLE[_name]
+for _name in ("campaign_performance", "campaign_performance_unknown", "advertiser_total_spend"):
+    ORACLE[f"{_name}_totals"] = ORACLE[_name]
+for _name in ("user_engagements", "last_sessions"):
+    ORACLE[f"{_name}_by_user"] = ORACLE[_name]
 ORACLE["user_documents_stored"] = ORACLE["user_documents_split"]
 ORACLE["device_ctr_json"] = ORACLE["device_ctr"]
 ORACLE["load_star_from_files"] = ORACLE["load_star_schema_impressions"]

@@ -92,6 +92,27 @@ def _stored(build: Callable[[Star], DataFrame]) -> Query:
     return run
 
 
+def _totals(build: Callable[[DataFrame, Star], DataFrame]) -> Query:
+    """A lookup over the stored totals of campaigns."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        star, path = data.star(spark, sf_dir), scratch_folder(spark, "totals")
+        totals = tables.by_range(reports.campaign_totals(star.impressions, star.clicks), ["campaign_id"])
+        return build(tables.stored(totals, path), star)
+
+    return run
+
+
+def _by_user(build: Callable[[Star], DataFrame]) -> Query:
+    """A question about one user over facts laid out by user."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        star, path = data.star(spark, sf_dir), scratch_folder(spark, "users")
+        facts = reports.joined_facts(star.impressions, star.clicks)
+        laid = tables.by_range(facts, ["user_id", "timestamp", "impression_id"])
+        return build(replace(star, impressions=tables.stored(laid, path)))
+
+    return run
+
+
 def _from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The star load out of CSV files."""
     root = scratch_folder(spark, "files")
@@ -280,6 +301,11 @@ REGISTRY: dict[str, Query] = {
     "top_users_by_clicks_stored": _stored(lambda s: reports.top_users_by_clicks(s.users, s.impressions, s.clicks)),
     "device_ctr_stored": _stored(lambda s: reports.device_ctr(s.impressions, s.clicks)),
     "campaign_performance_each_stored": _stored(lambda s: reports.campaign_performance(s.impressions, s.clicks)),
+    "campaign_performance_totals": _totals(lambda t, s: reports.performance_of_totals(t, CAMPAIGN_ID)),
+    "campaign_performance_unknown_totals": _totals(lambda t, s: reports.performance_of_totals(t, -1)),
+    "advertiser_total_spend_totals": _totals(lambda t, s: reports.advertiser_total_spend(t, s.campaigns, ADVERTISER_ID)),
+    "user_engagements_by_user": _by_user(lambda s: engagement.user_engagements(s, USER_ID)),
+    "last_sessions_by_user": _by_user(lambda s: engagement.last_sessions(s, USER_ID)),
     "user_sessions_stored": _stored(lambda s: engagement.user_sessions(s.impressions, s.clicks)),
     "user_documents_stored": _stored(lambda s: documents.flatten(documents.user_documents(s, SIX_HOURS)).drop("part")),
     "hourly_click_performance_stored": _stored(lambda s: engagement.hourly_click_performance(s, ADVERTISER)),

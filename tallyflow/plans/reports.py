@@ -141,28 +141,46 @@ def device_ctr(impressions: DataFrame, clicks: DataFrame) -> DataFrame:
     )
 
 
+def campaign_totals(impressions: DataFrame, clicks: DataFrame) -> DataFrame:
+    """Impressions, clicks and cost of every campaign shown: what lookups by campaign read instead of the facts.
+
+    Totals of several loads stand side by side and are added up when read.
+    """
+    return with_clicks(impressions, clicks, "click_id").groupBy("campaign_id").agg(
+        F.count("impression_id").alias("impressions"), F.count("click_id").alias("clicks"),
+        F.sum("cost_paid").alias("cost_paid"))
+
+
 def campaign_performance(impressions: DataFrame, clicks: DataFrame, campaign_id: int | None = None) -> DataFrame:
     """Impressions, clicks, click ratio and spend of one campaign; zeros for an unknown id.
 
     Without an id: one row for every campaign that was shown.
     """
     shown = impressions if campaign_id is None else impressions.filter(F.col("campaign_id") == campaign_id)
-    rows = with_clicks(shown, clicks, "click_id")
+    return performance_of_totals(campaign_totals(shown, clicks), campaign_id)
+
+
+def performance_of_totals(totals: DataFrame, campaign_id: int | None = None) -> DataFrame:
+    """``campaign_performance`` out of ``campaign_totals``."""
+    rows = totals if campaign_id is None else totals.filter(F.col("campaign_id") == campaign_id)
     grouped = rows.groupBy("campaign_id") if campaign_id is None else rows.groupBy()
-    totals = grouped.agg(
-        F.count("impression_id").alias("impressions"),
-        F.count("click_id").alias("clicks"),
+    sums = grouped.agg(
+        F.coalesce(F.sum("impressions"), F.lit(0)).alias("impressions"),
+        F.coalesce(F.sum("clicks"), F.lit(0)).alias("clicks"),
         F.coalesce(F.sum("cost_paid").cast("double"), F.lit(0.0)).alias("ad_spend"),
     )
     key = F.col("campaign_id") if campaign_id is None else F.lit(campaign_id).alias("campaign_id")
     ctr = F.when(F.col("impressions") > 0, ratio(F.col("clicks"), F.col("impressions"))).otherwise(0.0)
-    return totals.select(key, "impressions", "clicks", ctr.alias("ctr"), "ad_spend")
+    return sums.select(key, "impressions", "clicks", ctr.alias("ctr"), "ad_spend")
 
 
 def advertiser_total_spend(
     impressions: DataFrame, campaigns: DataFrame, advertiser_id: int | None = None
 ) -> DataFrame:
-    """Total spend of one advertiser, 0 for an unknown id; without an id, of every advertiser shown."""
+    """Total spend of one advertiser, 0 for an unknown id; without an id, of every advertiser shown.
+
+    Takes impressions or ``campaign_totals``.
+    """
     by_campaign = impressions.groupBy("campaign_id").agg(F.sum("cost_paid").alias("cost"))
     owned = campaigns.select("campaign_id", "advertiser_id")
     if advertiser_id is not None:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tallyflow.operators.keyed import newest_version
 from tallyflow.plans import reviews as rv
 from tallyflow.plans.documents import user_documents
+from tallyflow.plans.reports import campaign_totals
 from tallyflow.plans.star import Star, fact_rows, load_star
 from tallyflow.session import scratch_folder
 
@@ -119,7 +120,9 @@ def write_star(users_raw: DataFrame, campaigns_raw: DataFrame, events_raw: DataF
 
     Children check their keys against the written parents. Impressions are laid
     out by time, so that reports over a range skip the rest; the table ``shown``
-    holds them with their clicks, so that no report joins the facts again.
+    holds them with their clicks, so that no report joins the facts again, and
+    ``shown_by_user`` the same by user, so that one user's questions read few
+    files. ``campaign_totals`` answers lookups by campaign and advertiser.
     """
     spark = users_raw.sparkSession
     names = ("advertisers", "users", "campaigns", "impressions", "clicks")
@@ -129,7 +132,10 @@ def write_star(users_raw: DataFrame, campaigns_raw: DataFrame, events_raw: DataF
     def store(df: DataFrame, name: str) -> DataFrame:
         if name == "facts":
             kept = stored(df, facts)
-            add(by_range(fact_rows(kept), ["timestamp", "impression_id"]), "shown")
+            rows = fact_rows(kept)
+            add(by_range(rows, ["timestamp", "impression_id"]), "shown")
+            add(by_range(rows, ["user_id", "timestamp", "impression_id"]), "shown_by_user")
+            add(by_range(campaign_totals(rows, rows), ["campaign_id"]), "campaign_totals")
             return kept
         if name == "impressions":
             df = by_range(df, ["timestamp", "impression_id"])

@@ -32,9 +32,12 @@ def jdbc_table(
     return reader.load().select(*columns)
 
 
-def star_from_folder(spark: SparkSession, root: str) -> Star:
-    """The star tables as written by ``sinks.tables.write_star``; impressions come with their clicks, joined by the load."""
-    names = ("advertisers", "users", "campaigns", "shown", "clicks")
+def star_from_folder(spark: SparkSession, root: str, by_user: bool = False) -> Star:
+    """The star tables as written by ``sinks.tables.write_star``; impressions come with their clicks, joined by the load.
+
+    ``by_user`` takes the layout for questions about one user.
+    """
+    names = ("advertisers", "users", "campaigns", "shown_by_user" if by_user else "shown", "clicks")
     return Star(*[spark.read.parquet(f"{root}/{name}") for name in names])
 
 
