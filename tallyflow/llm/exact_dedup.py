@@ -110,8 +110,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     classes = exact_classes(docs)
     going = stored(classes.filter("NOT kept").select("doc_id", "text_sha256"), "going").distinct()
     sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    # most corpora drop more than could be broadcast; the same plan on every size
     same = docs.withColumn("_sha", sha).alias("d").join(
-        going.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d._sha") == F.col("g.text_sha256")),
+        going.hint("merge").alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d._sha") == F.col("g.text_sha256")),
         "left_anti")
     twice = stored(
         classes.filter("kept AND group_size > 1").groupBy("doc_id", "text_sha256").count().filter("count > 1"), "twice")

@@ -264,4 +264,5 @@ def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     going = stored(grouped.join(sizes, "root").filter(~best).select("doc_id", "text_sha256"), "going").distinct()
     sha = F.sha2(F.coalesce(F.col("d.text"), F.lit("")), 256)
     same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (sha == F.col("g.text_sha256"))
-    return docs.alias("d").join(going.alias("g"), same, "left_anti")
+    # most corpora drop more than could be broadcast; the same plan on every size
+    return docs.alias("d").join(going.hint("merge").alias("g"), same, "left_anti")
