@@ -10,8 +10,8 @@ have in all blocks and hands them back to each block.
   the others fall in bands of equal mass); counts of pairs of ids give a prior for the next class and
   the ids' chances in their class after the id before.
 - The attention model adds to that prior what the wider context tells about the next class. Every task
-  trains on every STRIDE-th window of its blocks' learning texts from the same start; the parameters are
-  averaged by the number of windows, and that again from the average.
+  trains on the windows of its blocks' learning texts from the same start, and the parameters are averaged
+  by the number of windows; that AVERAGES times, with other windows each time until all were used once.
 - Scoring slides windows over every text that overlap by OVERLAP ids; each id is scored once, in the
   first window that holds it.
 - Ids that begin a word have classes of their own. At a word's start the attention model predicts the
@@ -56,8 +56,8 @@ DEPTH = 16
 WINDOW, OVERLAP = 32, 8
 #: Windows scored together.
 STEP = 128
-#: Training: one window in so many, windows of a step, averages.
-STRIDE, TRAIN_STEP, AVERAGES = 64, 32, 2
+#: Training: windows of a step, averages. Each average is over the windows with one remainder by their number.
+TRAIN_STEP, AVERAGES = 32, 2
 #: Weight, in counts, of the classes' shares in the prior.
 SMOOTHING = 20.0
 #: Pairs of ids from this share of all pairs on are kept, which bounds them by its inverse.
@@ -389,18 +389,22 @@ def gradient(p: dict[str, np.ndarray], prior: np.ndarray, before: np.ndarray, co
     """Gradient of the mean loss over scored places, end to end, and that loss."""
     x, q, k, v, a, total, h = attend(p, context)
     a = a / total
-    logits = h @ p["out"] + prior[before]
-    logits -= logits.max(-1, keepdims=True)
-    chances = np.exp(logits)
-    chances /= chances.sum(-1, keepdims=True)
-    n = max(1, int(scored.sum()))
-    b, t = np.nonzero(scored)
-    loss = -float(np.log(np.maximum(chances[b, t, target[b, t]], 1e-20)).mean()) if len(b) else 0.0
-    chances[b, t, target[b, t]] -= 1
-    d_logits = chances * (scored[..., None] / n).astype(np.float32)
     flat = lambda m: m.reshape(-1, m.shape[-1])
-    g = {"out": flat(h).T @ flat(d_logits)}
-    d_g = (d_logits @ p["out"].T) * (1 - h * h)
+    at = np.flatnonzero(scored)
+    hidden = flat(h)[at]
+    chances = hidden @ p["out"]
+    chances += prior.take(before.ravel()[at], axis=0)
+    chances -= chances.max(-1, keepdims=True)
+    np.exp(chances, out=chances)
+    chances /= chances.sum(-1, keepdims=True)
+    own = (np.arange(len(at)), target.ravel()[at])
+    loss = -float(np.log(np.maximum(chances[own], 1e-20)).mean()) if len(at) else 0.0
+    chances[own] -= 1
+    chances /= max(1, len(at))
+    g = {"out": hidden.T @ chances}
+    d_g = np.zeros_like(h)
+    flat(d_g)[at] = chances @ p["out"].T
+    d_g *= 1 - h * h
     g["skip"] = flat(x).T @ flat(d_g)
     d_a = d_g @ v.transpose(0, 2, 1)
     d_v = a.transpose(0, 2, 1) @ d_g
@@ -450,7 +454,7 @@ def train(end_id: int, classes: Classes, prior: np.ndarray, start: np.ndarray, t
                     continue
                 first, end, _ = cut(stream.starts)
                 chosen = np.random.default_rng(row["block"] * AVERAGES + turn).permutation(
-                    np.arange(turn * STRIDE // AVERAGES % STRIDE, len(first), STRIDE))
+                    np.arange(turn, len(first), AVERAGES))
                 for at in range(0, len(chosen), TRAIN_STEP):
                     some = chosen[at : at + TRAIN_STEP]
                     before, target, real = _windows(stream.ids, first[some], end[some])

@@ -122,6 +122,32 @@ def test_gradient_equals_differences():
         assert (loss(flat + step) - loss(flat - step)) / 2e-4 == pytest.approx(change[i], rel=0.05, abs=1e-4)
 
 
+def test_training_uses_each_window_once(monkeypatch):
+    """Over all averages, and in small blocks too, every window of the learning texts is trained on once."""
+    end_id = 6
+    begins = np.array([True, True, False, False, False, False, True])
+    classes = lm_score.Classes.of(np.array([9.0, 5, 4, 3, 2, 1, 4]), begins)
+    prior = np.zeros((end_id + 1, lm_score.NEXT), np.float32)
+    draw, used = np.random.default_rng(5), []
+    cut_windows = lm_score._windows
+    monkeypatch.setattr(lm_score, "_windows", lambda ids, first, end: used.extend(first.tolist()) or cut_windows(ids, first, end))
+    for sizes in ([3], [40, 2, 0, 700], [5000]):
+        learning = np.array([True] * len(sizes) + [False])
+        total = sum(sizes) + 9
+        row = {
+            "block": 1, "learning": learning.tobytes(), "sizes": lm_score.pack_numbers(np.array([*sizes, 9]), "<i4"),
+            "codes": lm_score.pack_numbers(draw.integers(0, 2, total), "<i4"),
+            "pieces": lm_score.pack_numbers(np.array([0, 1, 2]), "<u2"), "lengths": lm_score.pack_numbers(np.array([1, 2]), "<i4"),
+        }
+        used.clear()
+        seen = 0
+        for turn in range(lm_score.AVERAGES):
+            for batch in lm_score.train(end_id, classes, prior, lm_score.initial(), turn)(iter([pa.RecordBatch.from_pylist([row])])):
+                seen += batch.column(2)[0].as_py()
+        every = lm_score.cut(lm_score.Streams.of(row, end_id, True).starts)[0]
+        assert sorted(used) == every.tolist() and seen == len(every)
+
+
 def test_model_chances_of_words_add_up():
     """Summed over all words of one or two ids the chances stay below one, and known words have most of them."""
     end_id, size = 6, 7
