@@ -8,7 +8,8 @@ have in all blocks and hands them back to each block.
 - Word counts of all learning texts give the unigram base; they meet the blocks again by word.
 - Subword counts over all learning texts give the classes (the commonest ids are classes of their own,
   the others fall in bands of equal mass); counts of pairs of ids give a prior for the next class and
-  the ids' chances in their class after the id before.
+  the ids' chances in their class after the id before. All pairs stay in a table; a block meets those
+  inside its words there.
 - The attention model adds to that prior what the wider context tells about the next class. Every task
   trains on the windows of its blocks' learning texts from the same start, and the parameters are averaged
   by the number of windows; that AVERAGES times, with other windows each time until all were used once.
@@ -27,7 +28,7 @@ from __future__ import annotations
 import base64
 import functools
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import public_tokenizers
@@ -60,8 +61,6 @@ STEP = 128
 TRAIN_STEP, AVERAGES = 32, 2
 #: Weight, in counts, of the classes' shares in the prior.
 SMOOTHING = 20.0
-#: Pairs of ids from this share of all pairs on are kept, which bounds them by its inverse.
-PAIR_SHARE = 2e-7
 #: Taken off the count of a word seen before, for the words not seen.
 DISCOUNT = 0.75
 
@@ -281,38 +280,61 @@ def count_pairs(end_id: int):
     return run
 
 
+def word_pairs(end_id: int):
+    """(block, pair) of ids that follow each other within the words of blocks, each pair of a block once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                pieces, lengths = unpack_numbers(row["pieces"], "<u2").astype(np.int64), unpack_numbers(row["lengths"], "<i4")
+                later = np.ones(len(pieces), bool)
+                later[np.cumsum(lengths) - lengths] = False
+                at = np.flatnonzero(later)
+                pairs = np.unique(pieces[at - 1] * (end_id + 1) + pieces[at])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), row["block"])), pa.array(pairs)], ["block", "pair"])
+
+    return run
+
+
 @dataclass
 class Following:
-    """Chances of ids in their class after the id before: counts of pairs, smoothed by the ids' shares."""
+    """Chances of ids in their class after the id before: counts of pairs, smoothed by the ids' shares.
+
+    ``groups`` are sorted numbers before * classes + class after, ``mass`` the counts of all pairs of each
+    and ``kinds`` how many pairs these are; ``pairs`` and ``counts`` are the pairs at hand.
+    """
 
     classes: Classes
-    pairs: np.ndarray
-    chances: np.ndarray
     groups: np.ndarray
-    rest: np.ndarray
+    mass: np.ndarray
+    kinds: np.ndarray
+    pairs: np.ndarray
+    counts: np.ndarray
 
     @classmethod
     def of(cls, classes: Classes, pairs: np.ndarray, counts: np.ndarray) -> Following:
-        """``pairs`` are sorted numbers before * ids + after."""
+        """From all pairs; ``pairs`` are sorted numbers before * ids + after."""
         before, after = np.divmod(pairs, len(classes.next))
-        group_of = before * (NEXT) + classes.next[after]
-        groups, back = np.unique(group_of, return_inverse=True)
+        groups, back = np.unique(before * NEXT + classes.next[after], return_inverse=True)
         mass = np.bincount(back, weights=counts, minlength=len(groups))
-        kinds = np.bincount(back, minlength=len(groups)) + 1.0
-        return cls(classes, pairs, counts / (mass + kinds)[back] if len(pairs) else np.zeros(0), groups, kinds / (mass + kinds))
+        return cls(classes, groups, mass, np.bincount(back, minlength=len(groups)), pairs, counts)
+
+    def knowing(self, pairs: np.ndarray, counts: np.ndarray) -> Following:
+        """The same with other pairs at hand, in any order."""
+        order = np.argsort(pairs, kind="stable")
+        return replace(self, pairs=pairs[order], counts=counts[order])
 
     def logs(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
         """Log chance of each id in its class after the one before."""
-        def find(keys: np.ndarray, wanted: np.ndarray, values: np.ndarray, default: float) -> np.ndarray:
+        def find(keys: np.ndarray, wanted: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
             if not len(keys):
-                return np.full(len(wanted), default)
+                return [np.zeros(len(wanted)) for _ in values]
             at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            return np.where(keys[at] == wanted, values[at], default)
+            return [np.where(keys[at] == wanted, v[at], 0.0) for v in values]
 
         before = before.astype(np.int64)
-        known = find(self.pairs, before * len(self.classes.next) + after, self.chances, 0.0)
-        rest = find(self.groups, before * (NEXT) + self.classes.next[after], self.rest, 1.0)
-        return np.log(known + rest * self.classes.share[after])
+        [known] = find(self.pairs, before * len(self.classes.next) + after, self.counts)
+        mass, kinds = find(self.groups, before * NEXT + self.classes.next[after], self.mass, self.kinds)
+        return np.log((known + (kinds + 1) * self.classes.share[after]) / (mass + kinds + 1))
 
 
 def smoothed(table: np.ndarray, classes: Classes, mass: np.ndarray) -> np.ndarray:
@@ -571,26 +593,42 @@ def learn_classes(texts: DataFrame, path: str) -> Classes:
     return Classes.of(seen, word_starts(path))
 
 
-def learn(texts: DataFrame, classes: Classes, mass: np.ndarray, kinds: np.ndarray) -> Model:
-    """The model of all learning texts; what comes to the driver has a bound: ids x classes, or 1 / PAIR_SHARE."""
-    end_id = len(classes.next) - 1
+def learn_pairs(texts: DataFrame, end_id: int) -> DataFrame:
+    """The table (pair, n) of all pairs of ids in the learning texts."""
     pairs = texts.mapInArrow(count_pairs(end_id), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    pairs = stored(pairs, "pairs")
-    # the next class after every id, rare pairs too: at most one number for each id and class
+    return stored(pairs, "pairs")
+
+
+def block_pairs(texts: DataFrame, pairs: DataFrame, end_id: int) -> DataFrame:
+    """(block, pair, n) of the learned pairs inside the words of each block."""
+    # the same join on every size
+    return texts.mapInArrow(word_pairs(end_id), "block long, pair long").join(pairs.hint("merge"), "pair").select("block", "pair", "n")
+
+
+def learn(texts: DataFrame, pairs: DataFrame, classes: Classes, mass: np.ndarray, kinds: np.ndarray) -> Model:
+    """The model of all learning texts, without pairs at hand; what comes to the driver has a bound: ids x classes."""
+    end_id = len(classes.next) - 1
+    # the next class after every id: at most one row for each id and class
     names = pairs.select(F.floor(F.col("pair") / (end_id + 1)).alias("before"), F.pmod("pair", F.lit(end_id + 1)).alias("after"), "n")
-    after = names.groupBy("before", _lookup(classes.next, "after").alias("class")).agg(F.sum("n").alias("n")).toPandas()
+    after = names.groupBy("before", _lookup(classes.next, "after").alias("class")).agg(
+        F.sum("n").alias("n"), F.count("*").alias("kinds")).toPandas()
+    before, following, n = (after[c].to_numpy(np.int64) for c in ("before", "class", "n"))
     table = np.zeros((end_id + 1, NEXT), np.float32)
-    table[after["before"].to_numpy(int), after["class"].to_numpy(int)] = after["n"]
+    table[before, following] = n
     prior = smoothed(table, classes, table.sum(0) + 0.5)
-    kept = pairs.filter(F.col("n") >= PAIR_SHARE * float(table.sum())).orderBy("pair").toPandas()
-    following = Following.of(classes, kept["pair"].to_numpy(np.int64), kept["n"].to_numpy(np.float64))
+    # within words only ids that go on with one follow
+    groups = before * NEXT + following
+    order = np.argsort(groups, kind="stable")
+    order = order[following[order] >= STARTS]
+    none = np.zeros(0, np.int64)
+    spelled = Following(classes, groups[order], n[order].astype(float), after["kinds"].to_numpy(np.int64)[order], none, none)
     parameters = initial()
     for turn in range(AVERAGES):
         sums = texts.mapInArrow(train(end_id, classes, prior, parameters, turn), "place long, value double, windows long")
         sums = sums.groupBy("place").agg(F.sum("value").alias("value"), F.sum("windows").alias("windows"))
         for place, value, windows in sums.collect():
             parameters[place] = value / windows
-    return Model(end_id, classes, following, prior, parameters, mass, kinds)
+    return Model(end_id, classes, spelled, prior, parameters, mass, kinds)
 
 
 def _lookup(values: np.ndarray, column: str) -> Column:
@@ -623,29 +661,33 @@ def scores(docs: DataFrame, folds: int = 5, held_fold: int = 1, path: str | None
     kinds = sum((np.frombuffer(r["counts"], np.float64) for r in sums), np.zeros(NEXT))
     ends = rows.filter("learning").count()
     total, distinct = int(mass.sum()) + ends, int(kinds.sum()) + (ends > 0)
-    model = spark.sparkContext.broadcast(learn(texts, classes, mass, kinds))
+    pairs = learn_pairs(texts, len(classes.next) - 1)
+    model = spark.sparkContext.broadcast(learn(texts, pairs, classes, mass, kinds))
     scale, end_base = float(np.log10(total + 0.5 * (distinct + 1))), float(np.log10(ends + 0.5))
 
     def run(blocks: pa.Table, known: pa.Table) -> pa.Table:
         ids = blocks.schema.field("doc_ids").type.value_type
         found = {"doc_id": pa.array([], ids), "n_tokens": np.zeros(0, np.int64), "n_known": np.zeros(0, np.int64),
                  "base_score": np.zeros(0), "score": np.zeros(0)}
+        of_words, of_pairs = (known.filter(pc.is_valid(known.column(name))) for name in ("places", "pair"))
+        following = model.value.following.knowing(*(of_pairs.column(name).to_numpy() for name in ("pair", "n")))
         for row in blocks.to_pylist():
             stream = Streams.of(row, model.value.end_id)
             codes, size = stream.codes, stream.words + 1
             c = np.zeros(len(stream.lengths))
-            for places, counts in zip(known.column("places").to_pylist(), known.column("counts").to_pylist(), strict=True):
+            for places, counts in zip(of_words.column("places").to_pylist(), of_words.column("counts").to_pylist(), strict=True):
                 c[unpack_numbers(places, "<i4")] = unpack_numbers(counts, "<i8")
             text, n = np.repeat(np.arange(len(size)), stream.words), len(size)
             base = np.bincount(text, weights=np.log10(c + 0.5)[codes], minlength=n)
             has = np.bincount(text, weights=(c > 0)[codes], minlength=n).astype(np.int64)
             found = {
                 "doc_id": pa.array(row["doc_ids"], ids), "n_tokens": size, "n_known": has + (ends > 0),
-                "base_score": base + end_base - size * scale, "score": model.value.score(stream, c)}
+                "base_score": base + end_base - size * scale, "score": replace(model.value, following=following).score(stream, c)}
         return pa.table(found)
 
     whole = blocks.filter("bucket IS NULL").select("doc_ids", *TEXTS)
-    known = counts.filter("block IS NOT NULL").select(F.col("block").alias("of_block"), "places", "counts")
+    known = counts.filter("block IS NOT NULL").select(F.col("block").alias("of_block"), "places", "counts").unionByName(
+        block_pairs(texts, pairs, len(classes.next) - 1).withColumnRenamed("block", "of_block"), allowMissingColumns=True)
     found = whole.groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(
         run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
     return found.select(

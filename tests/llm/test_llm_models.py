@@ -148,6 +148,33 @@ def test_training_uses_each_window_once(monkeypatch):
         assert sorted(used) == every.tolist() and seen == len(every)
 
 
+def test_rare_pairs_of_a_large_corpus_are_found(spark):
+    """A pair seen once counts beside billions of others, in its block and in what its group leaves to ids not seen."""
+    path = lm_score.public_tokenizers.path(lm_score.VOCABULARY)
+    end_id = lm_score.encoding(path).max_token_value + 1
+    counts = np.ones(end_id + 1)
+    classes = lm_score.Classes.of(counts, lm_score.word_starts(path))
+    starts, inner = np.flatnonzero(lm_score.word_starts(path))[:3], np.flatnonzero(~lm_score.word_starts(path))
+    a, b, (x, y, z) = starts[0], starts[1], inner[classes.next[inner] == lm_score.NEXT - 1][:3]
+    size = end_id + 1
+    every = {int(a * size + x): 1, int(a * size + y): 5 * 10**9, int(b * size + x): 10**10, int(x * size + b): 3}
+    pairs = spark.createDataFrame(list(every.items()), "pair long, n long")
+
+    def row(block, words):
+        return (block, b"\0" * len(words), *(lm_score.pack_numbers(np.array(v), kind) for v, kind in (
+            ([1] * len(words), "<i4"), (range(len(words)), "<i4"), ([t for w in words for t in w], "<u2"), ([len(w) for w in words], "<i4"))))
+
+    texts = spark.createDataFrame([row(1, [[a, x], [a, x, y], [a, z], [x], [b]]), row(2, [[b, x], [a, y]])],
+                                  "block long, learning binary, sizes binary, codes binary, pieces binary, lengths binary")
+    found = sorted(tuple(r) for r in lm_score.block_pairs(texts, pairs, end_id).collect())
+    assert found == sorted([(1, int(a * size + x), 1), (2, int(b * size + x), 10**10), (2, int(a * size + y), 5 * 10**9)])
+    model = lm_score.learn(texts, pairs, classes, np.zeros(lm_score.NEXT), np.zeros(lm_score.NEXT))
+    logs = model.following.knowing(np.array([r[1] for r in found]), np.array([r[2] for r in found])).logs(
+        np.array([a, a, b]), np.array([x, z, z]))
+    share = classes.share[[x, z, z]]
+    assert np.allclose(np.exp(logs), [(1 + 3 * share[0]) / (5 * 10**9 + 4), 3 * share[1] / (5 * 10**9 + 4), 2 * share[2] / (10**10 + 2)])
+
+
 def test_model_chances_of_words_add_up():
     """Summed over all words of one or two ids the chances stay below one, and known words have most of them."""
     end_id, size = 6, 7
