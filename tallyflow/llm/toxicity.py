@@ -36,8 +36,6 @@ SIGNS = 40
 LANDMARKS = 96
 #: Labelled texts of each class that the machine is fitted on, chosen by a hash of their id.
 FIT_ROWS = 1500
-#: Longest text, in characters, taken for fitting.
-FIT_CHARACTERS = 20_000
 ROUNDS = 600
 #: Words whose subsequences are held at once.
 PART = 2048
@@ -173,7 +171,7 @@ def spelled(offsets: np.ndarray, codes: np.ndarray, single: np.ndarray) -> Itera
 
 
 class Bags:
-    """Texts as bags of distinct plain words."""
+    """Texts as bags of plain words."""
 
     def __init__(self, texts: pa.Array):
         offsets, codes, raw = chunks(texts)
@@ -194,6 +192,22 @@ class Bags:
         self.size = len(offsets) - 1
         self.text, self.member = np.concatenate(owners), np.concatenate(members)
 
+    @classmethod
+    def of(cls, bags: list[list[str]]) -> Bags:
+        """From the words of each text."""
+        out = cls(pa.array([], pa.string()))
+        number: dict[str, int] = {}
+        out.member = np.array([number.setdefault(w, len(number)) for words in bags for w in words], np.int64)
+        out.text = np.repeat(np.arange(len(bags)), [len(words) for words in bags])
+        out.words, out.size = list(number), len(bags)
+        return out
+
+    def lists(self) -> list[list[str]]:
+        """The distinct words of each text, in an order that does not depend on other texts."""
+        self.distinct()
+        cuts = np.searchsorted(self.text, np.arange(self.size + 1)).tolist()
+        return [sorted([self.words[m] for m in self.member[a:b].tolist()]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
     def distinct(self) -> None:
         """Each word of a text once."""
         pairs = np.unique(self.text * max(1, len(self.words)) + self.member)
@@ -235,8 +249,12 @@ def _landmarks(bags: Bags, labels: np.ndarray) -> tuple[list[int], list[int], li
 
 def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
     """The machine fitted to labelled texts; without both labels it finds nothing toxic."""
+    return fit_bags(Bags(pa.array(texts, pa.string())), labels)
+
+
+def fit_bags(bags: Bags, labels: list[int]) -> ToxicityModel:
+    """The same for texts as bags of words."""
     y = np.array(labels, np.float64)
-    bags = Bags(pa.array(texts, pa.string()))
     bags.distinct()
     chosen, others, telling = _landmarks(bags, y) if len(set(labels)) == 2 else ([], [], [])
     if not chosen:
@@ -318,23 +336,36 @@ def _calibrated(decisions: np.ndarray, labels: np.ndarray) -> tuple[float, float
     return slope, shift
 
 
-def learning_texts(docs: DataFrame, labels: DataFrame, folds: int, held_fold: int, rows: int) -> tuple[list[str], list[int]]:
-    """Up to ``rows`` labelled texts of each class outside the held-out fold, those of the smallest hash."""
+def text_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, toxic, text) with the distinct words of the whole text in place of the text."""
+    for whole in batches:
+        for batch in slices(whole, 2):
+            words = pa.array(Bags(batch.column(2)).lists(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words], ["doc_id", "toxic", "words"])
+
+
+def learning_bags(docs: DataFrame, labels: DataFrame, folds: int, held_fold: int, rows: int) -> tuple[Bags, list[int]]:
+    """Up to ``rows`` labelled texts of each class outside the held-out fold, those of the smallest hash.
+
+    The distinct words of the whole texts come to the driver.
+    """
     known = needed(labels, ["doc_id", "toxic"]).filter("toxic IS NOT NULL AND doc_id IS NOT NULL")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(fold("doc_id", folds) != held_fold)
     hashed = F.xxhash64(F.col("doc_id").cast("long"), F.lit(SEED))
     # the ids of the sample, then their texts: at most 2 x rows of them
     sample = [known.filter(F.col("toxic") == label).orderBy(hashed, "doc_id").limit(rows) for label in (0, 1)]
-    sample = sample[0].unionByName(sample[1])
+    sample = sample[0].unionByName(sample[1]).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     texts = needed(docs, ["doc_id", "text"]).filter("text IS NOT NULL").join(F.broadcast(sample), "doc_id")
-    texts = texts.groupBy("doc_id", "toxic").agg(F.min(F.substring("text", 1, FIT_CHARACTERS)).alias("text"))
-    found = texts.orderBy("doc_id").collect()
-    return [r["text"] for r in found], [int(r["toxic"]) for r in found]
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    found = texts.mapInArrow(text_bags, f"doc_id {kind}, toxic int, words array<string>").collect()
+    found = sorted(found, key=lambda r: r["doc_id"])
+    return Bags.of([r["words"] for r in found]), [r["toxic"] for r in found]
 
 
 def _trained(docs: DataFrame, labels: DataFrame, folds: int, held_fold: int, rows: int):
     spark = ready(docs.sparkSession)
-    return spark.sparkContext.broadcast(fit(*learning_texts(docs, labels, folds, held_fold, rows)))
+    return spark.sparkContext.broadcast(fit_bags(*learning_bags(docs, labels, folds, held_fold, rows)))
 
 
 #: Words kept with their decision in a worker; a full memo starts anew, which costs time and changes nothing.
@@ -355,9 +386,8 @@ def _scores(model: ToxicityModel, memo: dict[str, float], texts: pa.Array) -> np
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0, rows: int = FIT_ROWS) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
-    Fitted on up to ``rows`` labelled texts of each class outside the held-out fold (of these the first
-    FIT_CHARACTERS characters); every whole text is scored by its words alone. A null or empty text has
-    the score of a text without words. Of several labels of a doc_id the largest counts; rows without a
+    Fitted on up to ``rows`` labelled texts of each class outside the held-out fold; texts are fitted and
+    scored whole, by their words alone. A null or empty text has the score of a text without words. Of several labels of a doc_id the largest counts; rows without a
     label or id teach nothing. Without labels of both classes nothing is found toxic. Rows that repeat
     are rows of their own; no rows give no rows; further columns are ignored.
     """

@@ -324,6 +324,18 @@ def test_toxicity_tolerates_gaps_and_inserted_signs():
     assert (found[:7] >= 0.5).all() and (found[7:] < 0.5).all() and ((found >= 0) & (found <= 1)).all()
 
 
+def test_toxicity_learns_from_the_end_of_long_texts(spark):
+    draw = np.random.default_rng(4)
+    ids = [i for i in range(120) if remainder(i, 5) != 0]
+    padding = " ".join(made_texts(draw, 300, False))
+    rows = [(i, f"{padding} {text}", i % 2) for i in ids for text in made_texts(draw, 1, i % 2 == 1)]
+    new = [(1000, "you nitwit", 0), (1001, "the quiet garden", 0)]
+    assert min(r[1].find(w) for r in rows for w in ("blockhead", "nitwit", "scoundrel") if w in r[1]) > 20_000
+    df = spark.createDataFrame(rows + new, "doc_id long, text string, toxic int")
+    found = toxicity.toxicity(df.select("doc_id", "text"), df.filter("doc_id < 1000").select("doc_id", "toxic")).collect()
+    assert {r.doc_id: r.predicted for r in found} == {r[0]: r[2] for r in rows} | {1000: 1, 1001: 0}
+
+
 def test_toxicity_held_out(sample):
     docs, labels = sample("documents"), sample("labels")
     found = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
