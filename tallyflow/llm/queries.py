@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyflow.llm.ann import nearest
 from tallyflow.llm.bpe import encode_digests
+from tallyflow.llm.centroids import cluster, cluster_sql
+from tallyflow.llm.collocations import COLLOCATION_SQL, collocations
 from tallyflow.llm.exact_dedup import exact_classes
 from tallyflow.llm.langid import identify
 from tallyflow.llm.lm_score import scores
 from tallyflow.llm.packing import pack
 from tallyflow.llm.sharding import shard_rows
 from tallyflow.llm.simhash import near_duplicates
+from tallyflow.llm.token_count import token_counts
 from tallyflow.llm.toxicity import toxicity
 from tallyflow.llm.warc import archive_pages
 
@@ -64,6 +67,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
 LLM_QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sharding": op2_sharding,
@@ -75,6 +90,9 @@ LLM_QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_language": op9_language,
     "op10_bpe": op10_bpe,
+    "op11_token_counts": op11_token_counts,
+    "op12_collocations": op12_collocations,
+    "op13_centroids": op13_centroids,
 }
 
 LLM_ORACLE: dict[str, str] = {
@@ -101,4 +119,6 @@ LLM_ORACLE: dict[str, str] = {
                CASE WHEN keep <> page_id THEN keep END AS refers_to
         FROM kept
     """,
+    "op12_collocations": COLLOCATION_SQL,
+    "op13_centroids": cluster_sql(),
 }
