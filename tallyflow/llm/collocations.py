@@ -3,7 +3,8 @@
 1. Texts become shards: the words of some megabytes of one language, as codes into their own dictionary,
    with breaks where pieces end. A phrase of n words can only be frequent if both phrases of n - 1 words
    in it are, so each level counts nothing else; that loses no frequent phrase.
-2. Words are counted in Spark; the frequent ones get an id and go back to the shards that hold them.
+2. Shards count their words in blocks by a hash of the word. Blocks of all shards meet, sums decide which
+   words are frequent, and each shard gets the ids of its frequent words back.
 3. At each further level a shard counts its phrases in filters of packed word ids, one for each block of
    the permuted space. Filters of a block merge by their sorted remainders; each gets back one bit for
    each of its phrases: frequent or not. Phrases themselves never return, and nothing is broadcast.
@@ -12,7 +13,10 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -24,21 +28,36 @@ from pyspark.sql import functions as F
 
 from tallyflow.llm import phrase_filter
 from tallyflow.llm.common import needed, ready, slices, stored
-from tallyflow.operators.keyed import surrogate_ids
 
-#: Bytes of text from which a shard ends with its piece.
-SHARD_BYTES = 8 << 20
+#: Bytes of text from which a shard ends with its piece, and that a task holds of all languages.
+SHARD_BYTES, HELD_BYTES = 8 << 20, 24 << 20
 
-#: Words of the corpus for each block of the filters.
-BLOCK_WORDS = 1 << 19
+#: Bytes of text for each block of words, and words for each block of phrases.
+WORD_BLOCK_BYTES, PHRASE_BLOCK_WORDS = 32 << 20, 1 << 21
 
 #: What ends a piece, what ends a word, and letters in lower case.
 SIGNS = bytes.maketrans(b".,;:!?\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n\n\n\n\n\n\n\n\n abcdefghijklmnopqrstuvwxyz")
 
-SHARDS = "shard long, lang string, words array<string>, counts array<int>, codes binary, n long"
-COUNTED = "shard long, lang string, block int, places binary, grams binary, n int, " \
-    "occupied binary, run_ends binary, remainders binary, counts binary, size int"
-MERGED = "shard long, block int, frequent binary, lang string, ids array<long>, f long"
+# states of shards and what they counted stand in one table, in columns of their own
+SHARDS = "shard long, lang string, codes binary, ranks binary, n long, block int, at int, size int, words array<string>, counts array<int>"
+COUNTED = "shard long, lang string, places binary, pairs binary, base binary, n int, block int, at int, size int, " \
+    "occupied binary, run_ends binary, remainders binary, counts binary"
+# likewise what goes back to shards and what was found
+WORDS = "shard long, at int, size int, frequent binary, ids binary, lang string, word string, id long, f long"
+MERGED = "shard long, at int, size int, frequent binary, lang string, ids array<long>, f long"
+
+
+@dataclass(frozen=True)
+class Packing:
+    """Bits of a word id, and of the blocks that phrases are dealt to."""
+
+    width: int
+    blocks: int
+
+    def of(self, n: int) -> tuple[int, int]:
+        """For phrases of n words: bits of the block, and bits of the first lane."""
+        first = phrase_filter.first_bits(n, self.width)
+        return min(self.blocks, first - 1), first
 
 
 def _arrow(schema: str) -> pa.Schema:
@@ -47,7 +66,23 @@ def _arrow(schema: str) -> pa.Schema:
     return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
 
 
-def coded(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers that are not negative in as few bytes as the largest needs, byte by byte, compressed."""
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return struct.pack("<QB", len(values), width) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def spread(raw: bytes) -> np.ndarray:
+    """The numbers of ``squeezed``."""
+    n, width = struct.unpack_from("<QB", raw)
+    planes = np.frombuffer(pa.decompress(raw[9:], n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8")[:, 0].astype(np.int64)
+
+
+def coded(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words, how often each occurs, and the words in order as codes with -1 where a piece ends.
 
     ``data`` has blanks between words and line feeds between pieces.
@@ -56,15 +91,15 @@ def coded(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     inside = (signs != 32) & (signs != 10)
     starts = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]]))
     if not len(starts):
-        return [], np.zeros(0, np.int32), np.zeros(0, np.int32)
+        return pa.array([], pa.large_binary()), np.zeros(0, np.int64), np.zeros(0, np.int64)
     ends = np.concatenate([np.cumsum(inside)[starts] - 1, [inside.sum()]]).astype(np.int64)
     words = pa.LargeBinaryArray.from_buffers(
         pa.large_binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(signs[inside].tobytes())])
     words = words.dictionary_encode()
-    codes = words.indices.to_numpy().astype(np.int32)
+    codes = words.indices.to_numpy().astype(np.int64)
     piece = np.cumsum(signs == 10)[starts]
-    counts = np.bincount(codes, minlength=len(words.dictionary)).astype(np.int32)
-    return words.dictionary.to_pylist(), counts, np.insert(codes, np.flatnonzero(np.diff(piece)) + 1, -1)
+    counts = np.bincount(codes, minlength=len(words.dictionary))
+    return words.dictionary, counts, np.insert(codes, np.flatnonzero(np.diff(piece)) + 1, -1)
 
 
 def cut(data: bytes, size: int) -> Iterator[bytes]:
@@ -77,103 +112,171 @@ def cut(data: bytes, size: int) -> Iterator[bytes]:
         at = end
 
 
-def shards(docs: DataFrame, size: int = SHARD_BYTES) -> DataFrame:
+def _shard(shard: int, lang: str, data: bytes, blocks: int) -> pa.RecordBatch | None:
+    """The rows of a shard: its codes, and its words with their counts by block."""
+    words, counts, codes = coded(data)
+    if not len(words):
+        return None
+    block = np.fromiter((zlib.crc32(w) % blocks for w in words.to_pylist()), np.int64, len(words))
+    order = np.argsort(block, kind="stable")
+    # codes by frequency are small numbers; ``ranks`` has them in the order of the blocks
+    rank = np.empty(len(order) + 1, np.int64)
+    rank[np.argsort(-counts, kind="stable")], rank[-1] = np.arange(len(order)), -1
+    ranks = rank[order]
+    words, counts, block = words.take(pa.array(order)).cast(pa.large_string()).cast(pa.string()), counts[order], block[order]
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+    rows = [{"codes": squeezed(rank[codes] + 1), "ranks": squeezed(ranks), "n": int(counts.sum()), "size": len(words)}]
+    rows += [{"block": int(block[a]), "at": a, "size": b - a, "words": words.slice(a, b - a).to_pylist(), "counts": counts[a:b].tolist()}
+             for a, b in zip(cuts, cuts[1:], strict=False)]
+    return pa.RecordBatch.from_pylist([{"shard": shard, "lang": lang, **r} for r in rows], _arrow(SHARDS))
+
+
+def shards(docs: DataFrame, blocks: int, size: int = SHARD_BYTES, held: int = HELD_BYTES) -> DataFrame:
     """The texts as shards of one language each; ``n`` is the number of words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number, waiting, total = TaskContext.get().partitionId() << 32, {}, 0
+
+        def finish(lang: str) -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            for data in cut(b"\n".join(waiting.pop(lang)), size):
+                if rows := _shard(number, lang, data, blocks):
+                    yield rows
+                    number += 1
+
         for whole in batches:
             for batch in slices(whole, limit=size):
                 texts, langs = pc.fill_null(batch.column(1), ""), batch.column(0)
                 for lang in langs.unique().to_pylist():
-                    own = texts.filter(pc.equal(langs, lang)).cast(pa.binary()).to_pylist()
-                    for data in cut(b"\n".join(own).translate(SIGNS), size):
-                        words, counts, codes = coded(data)
-                        if len(codes):
-                            yield pa.RecordBatch.from_pylist([{
-                                "shard": number, "lang": lang, "words": [w.decode() for w in words], "counts": counts,
-                                "codes": codes.tobytes(), "n": int(counts.sum())}], _arrow(SHARDS))
-                            number += 1
+                    own = b"\n".join(texts.filter(pc.equal(langs, lang)).cast(pa.binary()).to_pylist()).translate(SIGNS)
+                    waiting.setdefault(lang, []).append(own)
+                    total += len(own)
+                    # a language that fills a shard, or the largest of too many
+                    while waiting and (total > held or sum(map(len, waiting.get(lang, ()))) >= size):
+                        largest = max(waiting, key=lambda k: sum(map(len, waiting[k])))
+                        total -= sum(map(len, waiting[largest]))
+                        yield from finish(largest)
+        for lang in list(waiting):
+            yield from finish(lang)
 
     return needed(docs, ["lang", "text"]).select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(run, SHARDS)
 
 
-def _longer(places: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """From the frequent phrases of n words at each place those of n + 1: places, ids, counts, permuted lanes.
+def _merge_words(least: int, blocks: int):
+    """Words of one block from all shards: the frequent ones get ids, which go back to the shards that hold them."""
+    def run(rows: pa.Table) -> pa.Table:
+        words, counts = rows["words"].combine_chunks(), rows["counts"].combine_chunks()
+        sizes = rows["size"].to_numpy()
+        langs = rows["lang"].combine_chunks().take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+        # a word holds no blank
+        names = pc.binary_join_element_wise(words.flatten(), langs, " ").dictionary_encode()
+        place = names.indices.to_numpy()
+        total = np.zeros(len(names.dictionary), np.int64)
+        np.add.at(total, place, counts.flatten().to_numpy())
+        frequent = np.flatnonzero(total >= least)
+        named = sorted(zip(names.dictionary.take(pa.array(frequent)).to_pylist(), frequent.tolist(), strict=True))
+        ids = np.zeros(len(total), np.int64)
+        ids[[k for _, k in named]] = np.arange(1, len(named) + 1) * blocks + rows["block"][0].as_py()
+        out, at = [], 0
+        for shard, first, size in zip(rows["shard"].to_pylist(), rows["at"].to_pylist(), sizes.tolist(), strict=True):
+            own = ids[place[at : at + size]]
+            at += size
+            if own.any():
+                out.append({"shard": shard, "at": first, "size": size, "frequent": np.packbits(own > 0).tobytes(),
+                            "ids": squeezed(own[own > 0])})
+        for name, k in named:
+            word, lang = name.split(" ", 1)
+            out.append({"lang": lang, "word": word, "id": int(ids[k]), "f": int(total[k])})
+        return pa.Table.from_pylist(out, _arrow(WORDS))
+
+    return run
+
+
+def _marked(found: pa.Table, size: int) -> np.ndarray:
+    """Which of a shard's words or phrases are frequent, from the rows that came back for it."""
+    kept = np.zeros(size, bool)
+    for row in found.select(["at", "size", "frequent"]).to_pylist():
+        kept[row["at"] : row["at"] + row["size"]] = np.unpackbits(np.frombuffer(row["frequent"], np.uint8), count=row["size"])
+    return kept
+
 
-    A phrase counts if the phrases of n words that begin at its place and one later are both frequent.
-    Phrases come in the order of their filters; places without one are kept as single breaks.
+def _numbered(kept: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Places by the number of what is kept, -1 for all others; a run of those is one."""
+    number = np.append(np.where(kept, np.cumsum(kept) - 1, -1), -1)[places]
+    return number[(number >= 0) | np.concatenate([[False], number[:-1] >= 0])] if len(number) else number
+
+
+def _phrases(base: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Phrases of one word more than those of ``base``, of which a pair has the first and the second."""
+    first, second = np.divmod(pairs, max(1, len(base)))
+    return np.hstack([base[first], base[second][:, -1:]])
+
+
+def _counted(shard: int, lang: str, places: np.ndarray, base: np.ndarray, packing: Packing, last: bool) -> pa.Table:
+    """A shard's phrases of one word more than those of ``base``: its state, unless it is the last level, and its filters.
+
+    ``places`` has the frequent phrase at each place. A longer one counts if the phrases that begin at its
+    place and one later are both frequent.
     """
     at = np.flatnonzero((places[:-1] >= 0) & (places[1:] >= 0))
-    both = places[at].astype(np.int64) * len(grams) + places[at + 1]
-    distinct, back, counts = np.unique(both, return_inverse=True, return_counts=True)
-    first, second = np.divmod(distinct, max(1, len(grams)))
-    grams = np.hstack([grams[first], grams[second][:, -1:]])
-    lanes = phrase_filter.pack(grams)
+    if not len(at):
+        return _arrow(COUNTED).empty_table()
+    pairs, back, counts = np.unique(places[at] * len(base) + places[at + 1], return_inverse=True, return_counts=True)
+    lanes = phrase_filter.pack(_phrases(base, pairs), packing.width)
     order = phrase_filter.in_order(lanes)
-    rank = np.empty(len(order), np.int32)
-    rank[order] = np.arange(len(order), dtype=np.int32)
-    out = np.full(len(places), -1, np.int32)
-    out[at] = rank[back]
-    if len(out):
-        out = out[(out >= 0) | np.concatenate([[False], out[:-1] >= 0])]
-    return out, grams[order], counts[order].astype(np.int64), lanes[order]
-
-
-def _counted(shard: int, lang: str, places: np.ndarray, grams: np.ndarray, bits: int, last: bool) -> pa.Table:
-    """A shard's next level: its state, unless it is the last one, and its filters."""
-    places, grams, counts, lanes = _longer(places, grams)
-    rows = []
-    if len(grams):
-        if not last:
-            rows.append({"shard": shard, "lang": lang, "places": places.tobytes(), "grams": grams.astype("<u4").tobytes()})
-        blocks = phrase_filter.block_of(lanes, bits)
-        cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
-        rows += [{"shard": shard, "lang": lang, "block": int(blocks[a]), "size": b - a,
-                  **phrase_filter.encode(lanes[a:b], counts[a:b], bits)} for a, b in zip(cuts, cuts[1:], strict=False)]
-    rows = [r | {"n": grams.shape[1]} for r in rows]
-    return pa.Table.from_pylist(rows, _arrow(COUNTED))
-
-
-def _pairs_of_words(bits: int):
+    lanes, counts = lanes[order], counts[order].astype(np.int64)
+    bits, first = packing.of(base.shape[1] + 1)
+    blocks = phrase_filter.block_of(lanes, bits, first)
+    cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+    rows = [{"block": int(blocks[a]), "at": a, "size": b - a, **phrase_filter.encode(lanes[a:b], counts[a:b], bits, first)}
+            for a, b in zip(cuts, cuts[1:], strict=False)]
+    if not last:
+        following = np.full(len(places), -1, np.int64)
+        following[at] = back
+        rows.append({"places": squeezed(_numbered(np.ones(len(pairs), bool), following) + 1),
+                     "pairs": squeezed(np.diff(pairs, prepend=0)), "base": squeezed(base.ravel()), "size": len(pairs)})
+    return pa.Table.from_pylist([{"shard": shard, "lang": lang, "n": base.shape[1] + 1, **r} for r in rows], _arrow(COUNTED))
+
+
+def _pairs_of_words(packing: Packing, last: bool):
     """A shard and the ids of its frequent words to its filters of two words."""
-    def run(shard: pa.Table, words: pa.Table) -> pa.Table:
-        if not shard.num_rows or not words.num_rows:
+    def run(shard: pa.Table, found: pa.Table) -> pa.Table:
+        if not shard.num_rows or not found.num_rows:
             return _arrow(COUNTED).empty_table()
         row = shard.to_pylist()[0]
-        codes, held, ids = np.frombuffer(row["codes"], "<i4"), words["code"].to_numpy(), words["id"].to_numpy()
-        # a break, -1, finds the last entry, which no word has
-        local = np.full(int(codes.max()) + 2, -1, np.int32)
-        local[held] = np.arange(len(held), dtype=np.int32)
-        return _counted(row["shard"], row["lang"], local[codes], ids[:, None], bits, False)
+        found = found.sort_by("at")
+        ids = np.concatenate([spread(r) for r in found["ids"].to_pylist()])
+        kept, ranks = _marked(found, row["size"]), spread(row["ranks"])
+        # ids come in the order of the blocks, codes are ranks
+        by_rank = np.zeros(row["size"], np.int64)
+        by_rank[ranks[kept]] = ids
+        places = _numbered(by_rank > 0, spread(row["codes"]) - 1)
+        return _counted(row["shard"], row["lang"], places, by_rank[by_rank > 0][:, None], packing, last)
 
     return run
 
 
-def _next_level(bits: int, last: bool):
+def _next_level(packing: Packing, last: bool):
     """A shard's state and the bits of its frequent phrases to its filters of one word more."""
     def run(state: pa.Table, found: pa.Table) -> pa.Table:
         if not state.num_rows or not found.num_rows:
             return _arrow(COUNTED).empty_table()
         row = state.to_pylist()[0]
-        places = np.frombuffer(row["places"], "<i4")
-        grams = np.frombuffer(row["grams"], "<u4").reshape(-1, row["n"])
-        blocks = phrase_filter.block_of(phrase_filter.pack(grams), bits)
+        base = spread(row["base"]).reshape(-1, row["n"] - 1)
+        grams = _phrases(base, np.cumsum(spread(row["pairs"])))
         kept = np.zeros(len(grams), bool)
-        for block, frequent in zip(found["block"].to_pylist(), found["frequent"].to_pylist(), strict=True):
-            a, b = np.searchsorted(blocks, [block, block + 1])
-            kept[a:b] = np.unpackbits(np.frombuffer(frequent, np.uint8), count=b - a)
-        local = np.append(np.where(kept, np.cumsum(kept) - 1, -1), -1).astype(np.int32)
-        return _counted(row["shard"], row["lang"], local[places], grams[kept], bits, last)
+        kept[phrase_filter.in_order(phrase_filter.pack(grams, packing.width))] = _marked(found, len(grams))
+        places = _numbered(kept, spread(row["places"]) - 1)
+        return _counted(row["shard"], row["lang"], places, grams[kept], packing, last)
 
     return run
 
 
-def merge_blocks(filters: DataFrame, n: int, bits: int, least: int) -> DataFrame:
-    """The frequent phrases (lang, ids, f), and for each filter that holds some which of its phrases they are."""
+def _merge_phrases(n: int, packing: Packing, least: int):
+    """Filters of one block from all shards: the frequent phrases, and for each filter that holds some which they are."""
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.to_pylist()
-        parts = [phrase_filter.decode(r["block"], r["occupied"], r["run_ends"], r["remainders"], r["counts"], bits, n, r["size"])
-                 for r in rows]
+        rows, (bits, first) = rows.to_pylist(), packing.of(n)
+        parts = [phrase_filter.decode(r["block"], r["occupied"], r["run_ends"], r["remainders"], r["counts"], bits, first,
+                                      phrase_filter.lanes_of(n, packing.width), r["size"]) for r in rows]
         lanes, total, place = phrase_filter.merged([p[0] for p in parts], [p[1] for p in parts])
         frequent = total >= least
         holder = np.empty(len(lanes), np.int64)
@@ -183,13 +286,13 @@ def merge_blocks(filters: DataFrame, n: int, bits: int, least: int) -> DataFrame
             own = frequent[place[at : at + r["size"]]]
             at += r["size"]
             if own.any():
-                out.append({"shard": r["shard"], "block": r["block"], "frequent": np.packbits(own).tobytes()})
-        ids = phrase_filter.unpack(lanes[frequent], n).astype(np.int64).tolist()
+                out.append({"shard": r["shard"], "at": r["at"], "size": r["size"], "frequent": np.packbits(own).tobytes()})
+        ids = phrase_filter.unpack(lanes[frequent], n, packing.width).astype(np.int64).tolist()
         out += [{"lang": rows[h]["lang"], "ids": i, "f": f}
                 for h, i, f in zip(holder[frequent].tolist(), ids, total[frequent].tolist(), strict=True)]
         return pa.Table.from_pylist(out, _arrow(MERGED))
 
-    return filters.groupBy("block").applyInArrow(run, MERGED)
+    return run
 
 
 def frequent_phrases(docs: DataFrame, least: int, longest: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -197,30 +300,29 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int = 5) -> tuple[Dat
 
     Gives (lang, ids, f), the words (lang, id, word), and the number of words (lang, n).
     """
-    parts = stored(shards(docs), "shards")
-    totals = parts.groupBy("lang").agg(F.sum("n").alias("n"))
-    words = parts.select("lang", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("count"))))
-    words = stored(words.groupBy("lang", "word").agg(F.sum("count").alias("f")).filter(F.col("f") >= least), "words")
-    # a word holds no blank
-    name = F.concat_ws(" ", "word", "lang").alias("name")
-    ids = surrogate_ids(words.select(name), "name", "id")
-    words = stored(words.withColumn("name", name).join(ids, "name").select("lang", "word", "id", "f"), "vocabulary")
-    every = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits = max(0, (every // BLOCK_WORDS).bit_length())
-    held = parts.select("shard", "lang", F.posexplode("words").alias("code", "word")).join(
-        words, ["lang", "word"]).select(F.col("shard").alias("owner"), "code", F.col("id").cast("long").alias("id"))
-    counted = parts.select("shard", "lang", "codes").groupBy("shard").cogroup(held.groupBy("owner")).applyInArrow(
-        _pairs_of_words(bits), COUNTED)
-    phrases = [words.select("lang", F.array(F.col("id").cast("long")).alias("ids"), "f")]
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = 1 + size // WORD_BLOCK_BYTES
+    counted = stored(shards(docs, blocks), "shards")
+    totals = counted.filter("block IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
+    every = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    held = counted.filter("block IS NOT NULL").select("shard", "lang", "block", "at", "size", "words", "counts")
+    found = stored(held.groupBy("block").applyInArrow(_merge_words(least, blocks), WORDS), "words")
+    words = found.filter("f IS NOT NULL").select("lang", "word", "id", "f")
+    largest = words.agg(F.coalesce(F.max("id"), F.lit(1))).first()[0]
+    packing = Packing(largest.bit_length(), (every // PHRASE_BLOCK_WORDS).bit_length())
+    phrases = [words.select("lang", F.array("id").alias("ids"), "f")]
+    states = counted.filter("block IS NULL").select("shard", "lang", "codes", "ranks", "size")
+    back = found.filter("frequent IS NOT NULL").select("shard", "at", "size", "frequent", "ids")
+    advance = _pairs_of_words(packing, longest == 2)
     for n in range(2, longest + 1):
-        counted = stored(counted, f"counted-{n}")
+        counted = stored(states.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(advance, COUNTED), f"counted-{n}")
         filters = counted.filter("block IS NOT NULL").select(
-            "shard", "lang", "block", "occupied", "run_ends", "remainders", "counts", "size")
-        found = stored(merge_blocks(filters, n, bits, least), f"merged-{n}")
+            "shard", "lang", "block", "at", "size", "occupied", "run_ends", "remainders", "counts")
+        found = stored(filters.groupBy("block").applyInArrow(_merge_phrases(n, packing, least), MERGED), f"merged-{n}")
         phrases.append(found.filter("f IS NOT NULL").select("lang", "ids", "f"))
-        states = counted.filter("block IS NULL").select("shard", "lang", "places", "grams", "n")
-        masks = found.filter("frequent IS NOT NULL").select("shard", "block", "frequent")
-        counted = states.groupBy("shard").cogroup(masks.groupBy("shard")).applyInArrow(_next_level(bits, n + 1 == longest), COUNTED)
+        states = counted.filter("block IS NULL").select("shard", "lang", "places", "pairs", "base", "n", "size")
+        back = found.filter("frequent IS NOT NULL").select("shard", "at", "size", "frequent")
+        advance = _next_level(packing, n + 1 == longest)
     return stored(reduce(DataFrame.unionByName, phrases), "phrases"), words.select("lang", "id", "word"), totals
 
 
