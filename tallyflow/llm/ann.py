@@ -6,7 +6,7 @@ graph has levels drawn from the usual geometric distribution; at each level a no
 taken before) and gets links back, thinned by the same rule. The graph is kept as flat arrays: one
 array of neighbour numbers per level, rows of fixed width.
 
-Every query block visits every shard, walks down the levels and keeps a beam at the lowest one; the
+Every query block visits every shard and walks down the levels with a beam, wider at the lowest one; the
 shards' results are merged by distance. Queries go in blocks and shards are of a set size, so a task
 holds one shard and one block.
 """
@@ -29,6 +29,8 @@ BLOCK_ROWS = 1024
 LINKS = 16
 CANDIDATES = 64
 BEAM = 128
+#: Beam of the upper levels, all of which enters the next one.
+ENTRIES = 32
 
 EMPTY = -1
 
@@ -85,18 +87,21 @@ def _level(vectors: np.ndarray, members: np.ndarray, width: int, candidates: int
     out = np.full((n, width), EMPTY, np.int64)
     for at in range(0, n, 1024):
         out[at : at + 1024] = _diverse(own, np.arange(at, min(n, at + 1024)), near[at : at + 1024], far[at : at + 1024], width)
-    # links back, then thinned to twice the width, nearest first
+    # links back, of the nearest ones, thinned to twice the width by the same rule
     a, b = np.repeat(np.arange(n), width), out.ravel()
     a, b = a[b != EMPTY], b[b != EMPTY]
     pairs = np.unique(np.concatenate([a * n + b, b * n + a]))
     a, b = np.divmod(pairs, n)
     gap = ((own[a] - own[b]) ** 2).sum(1)
     order = np.lexsort((b, gap, a))
-    a, b = a[order], b[order]
+    a, b, gap = a[order], b[order], gap[order]
     place = np.arange(len(a)) - np.searchsorted(a, a)
-    keep = place < 2 * width
+    keep = place < 4 * width
+    near, far = np.full((n, 4 * width), EMPTY, np.int64), np.full((n, 4 * width), np.inf, np.float32)
+    near[a[keep], place[keep]], far[a[keep], place[keep]] = b[keep], gap[keep]
     links = np.full((n, 2 * width), EMPTY, np.int64)
-    links[a[keep], place[keep]] = b[keep]
+    for at in range(0, n, 1024):
+        links[at : at + 1024] = _diverse(own, np.arange(at, min(n, at + 1024)), near[at : at + 1024], far[at : at + 1024], 2 * width)
     return links
 
 
@@ -113,41 +118,22 @@ def build(vectors: np.ndarray, width: int = LINKS, candidates: int = CANDIDATES,
     return {"levels": levels}
 
 
-def search(graph: dict, vectors: np.ndarray, queries: np.ndarray, found: int, beam: int = BEAM) -> np.ndarray:
-    """Up to ``found`` positions near each query, all queries walking together; EMPTY where there are fewer."""
+def _beam(
+    vectors: np.ndarray, queries: np.ndarray, links: np.ndarray, entries: np.ndarray, beam: int,
+) -> tuple[np.ndarray, np.ndarray]:
+    """The ``beam`` nearest nodes each query meets on one level, nearest first, and their squared distances.
+
+    All queries walk together from their ``entries``: each expands its nearest open node until none is open.
+    """
     n, q = len(vectors), len(queries)
-    vectors, queries = vectors.astype(np.float32), queries.astype(np.float32)
-    if n == 0 or q == 0:
-        return np.full((q, found), EMPTY, np.int64)
     rows = np.arange(q)
-
-    def gaps(items: np.ndarray) -> np.ndarray:
-        return ((vectors[items] - queries[:, None, :]) ** 2).sum(-1)
-
-    members, _ = graph["levels"][-1]
-    at = np.full(q, members[0], np.int64)
-    best = gaps(at[:, None])[:, 0]
-    for members, links in reversed(graph["levels"][1:]):
-        place = np.full(n, EMPTY, np.int64)
-        place[members] = np.arange(len(members))
-        while True:
-            near = links[place[at]]
-            items = members[np.maximum(near, 0)].astype(np.int64)
-            gap = np.where(near == EMPTY, np.inf, gaps(items))
-            pick = gap.argmin(1)
-            better = gap[rows, pick] < best
-            if not better.any():
-                break
-            at = np.where(better, items[rows, pick], at)
-            best = np.where(better, gap[rows, pick], best)
-    links = graph["levels"][0][1]
-    beam = max(beam, found)
+    items, scores = np.full((q, beam), EMPTY, np.int64), np.full((q, beam), np.inf, np.float32)
+    first = np.where(entries == EMPTY, n, entries)[:, :beam]
     seen = np.zeros((q, n + 1), bool)
-    seen[rows, at] = True
-    items = np.full((q, beam), EMPTY, np.int64)
-    scores = np.full((q, beam), np.inf, np.float32)
-    done = np.ones((q, beam), bool)
-    items[:, 0], scores[:, 0], done[:, 0] = at, best, False
+    seen[rows[:, None], first] = True
+    gap = ((vectors[np.minimum(first, n - 1)] - queries[:, None, :]) ** 2).sum(-1)
+    items[:, : first.shape[1]], scores[:, : first.shape[1]] = first, np.where(first < n, gap, np.inf)
+    done = ~np.isfinite(scores)
     while True:
         ahead = np.where(done, np.inf, scores)
         pick = ahead.argmin(1)
@@ -164,10 +150,32 @@ def search(graph: dict, vectors: np.ndarray, queries: np.ndarray, found: int, be
         every = np.concatenate([scores[live], gap], 1)
         order = np.argsort(every, axis=1, kind="stable")[:, :beam]
         scores[live] = np.take_along_axis(every, order, 1)
-        items[live] = np.take_along_axis(np.concatenate([items[live], np.where(np.isfinite(gap), near, EMPTY)], 1), order, 1)
+        items[live] = np.take_along_axis(np.concatenate([items[live], near], 1), order, 1)
         done[live] = np.take_along_axis(
             np.concatenate([done[live], ~np.isfinite(gap)], 1), order, 1) | ~np.isfinite(scores[live])
-    return np.where(np.isfinite(scores), items, EMPTY)[:, :found]
+    order = np.argsort(scores, axis=1, kind="stable")
+    scores = np.take_along_axis(scores, order, 1)
+    return np.where(np.isfinite(scores), np.take_along_axis(items, order, 1), EMPTY), scores
+
+
+def search(graph: dict, vectors: np.ndarray, queries: np.ndarray, found: int, beam: int = BEAM, entries: int = ENTRIES) -> np.ndarray:
+    """Up to ``found`` positions near each query, all queries walking together; EMPTY where there are fewer.
+
+    The upper levels keep a small beam as well, and the lowest level is entered at all its nodes, so that
+    a query between clusters is not lost in one of them.
+    """
+    n, q = len(vectors), len(queries)
+    vectors, queries = vectors.astype(np.float32), queries.astype(np.float32)
+    if n == 0 or q == 0:
+        return np.full((q, found), EMPTY, np.int64)
+    nodes = np.full((q, 1), graph["levels"][-1][0][0], np.int64)
+    for members, links in reversed(graph["levels"][1:]):
+        place = np.full(n + 1, EMPTY, np.int64)
+        place[members] = np.arange(len(members))
+        at, _ = _beam(vectors[members], queries, links, place[nodes], min(entries, len(members)))
+        nodes = np.where(at == EMPTY, EMPTY, members[np.maximum(at, 0)])
+    at, _ = _beam(vectors, queries, graph["levels"][0][1], nodes, max(beam, found, nodes.shape[1]))
+    return at[:, :found]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
