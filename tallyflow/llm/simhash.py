@@ -24,13 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.llm.common import lower_ascii, needed, ready, stored
+from tallyflow.llm.common import needed, ready, slices, stored
 
 BITS = 64
 SEED = 42
 #: A bucket with more distinct fingerprints than this is linked through neighbours instead of comparisons.
 COMPARED = 4096
 LINKS = "low long, high long"
+#: Shingles hashed at a time.
+HASHED = 8192
 
 
 def fingerprint(norm: bytes, ends: np.ndarray, shingle: int) -> int:
@@ -38,23 +40,35 @@ def fingerprint(norm: bytes, ends: np.ndarray, shingle: int) -> int:
     n = len(ends)
     if n == 0:
         return 0
-    if n <= shingle:
-        pieces = [norm]
-    else:
-        starts = np.concatenate([[0], ends[: n - shingle] + 1]).tolist()
-        pieces = [norm[a:b] for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(p, SEED) for p in pieces], "<u8")
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 8192):
-        bits = np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    count = max(1, n - shingle + 1)
+    starts = np.concatenate([[0], ends[: count - 1] + 1])
+    stops = ends[min(n, shingle) - 1 :]
+    digest, ones = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
+    for at in range(0, count, HASHED):
+        pieces = zip(starts[at : at + HASHED].tolist(), stops[at : at + HASHED].tolist(), strict=True)
+        hashes = np.array([digest(norm[a:b], SEED) for a, b in pieces], "<u8")
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
     value = 0
-    for bit in np.flatnonzero(2 * ones > len(hashes)).tolist():
+    for bit in np.flatnonzero(2 * ones > count).tolist():
         value |= 1 << bit
     return value
 
 
+def words_end_to_end(text: str) -> tuple[bytes, np.ndarray]:
+    """The words of a text in lower case (A-Z) with one space between, and where each ends."""
+    signs = np.frombuffer(text.encode().lower(), np.uint8)
+    blank = (signs == 32) | ((signs >= 9) & (signs <= 13))
+    last = np.flatnonzero(~blank)[-1:] + 1
+    signs, blank = signs[: last.sum()], blank[: last.sum()]
+    # of blanks the first after a word stays
+    kept = ~blank
+    kept[1:] |= ~blank[:-1]
+    norm = np.where(blank, np.uint8(32), signs)[kept]
+    ends = np.flatnonzero(norm == 32)
+    return norm.tobytes(), np.append(ends, len(norm)) if len(norm) else ends
+
+
 def fingerprints(texts: pa.Array, shingle: int) -> np.ndarray:
     """Fingerprints of whole texts as signed 64-bit numbers."""
     if isinstance(texts, pa.ChunkedArray):
@@ -64,9 +78,7 @@ def fingerprints(texts: pa.Array, shingle: int) -> np.ndarray:
         value = text.as_py()
         if not value:
             continue
-        words = lower_ascii(value).encode().split()
-        ends = np.cumsum([len(w) + 1 for w in words]) - 1 if words else np.zeros(0, np.int64)
-        out[i] = np.uint64(fingerprint(b" ".join(words), ends, shingle)).view(np.int64)
+        out[i] = np.uint64(fingerprint(*words_end_to_end(value), shingle)).view(np.int64)
     return out
 
 
@@ -214,10 +226,11 @@ def fingerprinted(docs: DataFrame, shingle: int) -> DataFrame:
     ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(fingerprints(batch.column(1), shingle)), batch.column(2)],
-                ["doc_id", "value", "text_sha256"])
+        for whole in batches:
+            for batch in slices(whole):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(fingerprints(batch.column(1), shingle)), batch.column(2)],
+                    ["doc_id", "value", "text_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = needed(docs, ["doc_id", "text"]).withColumn("text_sha256", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
