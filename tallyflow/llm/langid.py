@@ -110,7 +110,8 @@ def slots_for(grams: int, languages: int) -> int:
 class LanguageFilter:
     """The bit-sliced Bloom filter and the languages of its bits; ``slots`` has a row of numbers for each slot.
 
-    ``coverage`` is the share of each language's own learning trigrams that are typical of it.
+    ``coverage`` is the share of each language's own learning trigrams that are typical of it without
+    counting themselves, which is what other texts of the language can be expected to reach.
     """
 
     languages: list[str]
@@ -231,8 +232,10 @@ def learn(
     largest = F.max("share").over(Window.partitionBy("gram"))
     typical = shares.withColumn("largest", largest).filter(
         (F.col("n") >= least_seen) & (F.col("share") >= least_of_largest * F.col("largest")))
-    typical = stored(typical.select("gram", "language", "share"), "typical")
-    found = typical.groupBy("language").agg(F.count("*").alias("grams"), F.sum("share").alias("share")).collect()
+    # an occurrence that would be known without itself, as those of other texts must be
+    again = F.when(F.col("n") > least_seen, F.col("share")).otherwise(0.0)
+    typical = stored(typical.select("gram", "language", again.alias("again")), "typical")
+    found = typical.groupBy("language").agg(F.count("*").alias("grams"), F.sum("again").alias("share")).collect()
     coverage = np.zeros(len(languages))
     for r in found:
         coverage[r["language"]] = r["share"]

@@ -1,8 +1,9 @@
 """Scoring, search and classifiers: brute force, held-out accuracy, and odd rows."""
 
 import math
+import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -213,6 +214,33 @@ def test_graph_search_equals_brute_force_on_small_shards(n, seed):
     assert np.mean([len(set(a) & set(b)) / len(b) for a, b in zip(found, expected, strict=True)]) >= 0.95
 
 
+@pytest.mark.parametrize(("clusters", "spread"), [(1, 1.0), (60, 0.05), (100, 0.05), (800, 0.05), (100, 0.3)])
+def test_recall_on_a_full_shard(clusters, spread):
+    """A shard of the production size, even and clustered: queries beside the stored vectors."""
+    draw = np.random.default_rng(clusters)
+    centres = draw.standard_normal((clusters, 64))
+    vectors = centres[draw.integers(0, clusters, ann.SHARD_ROWS)] + spread * draw.standard_normal((ann.SHARD_ROWS, 64))
+    queries = centres[draw.integers(0, clusters, 100)] + spread * draw.standard_normal((100, 64))
+    found = ann.search(ann.build(vectors), vectors, queries, 10)
+    expected = np.argsort(ann.squared(queries, vectors), axis=1, kind="stable")[:, :10]
+    recall = np.mean([len(set(a) & set(b)) / 10 for a, b in zip(found.tolist(), expected.tolist(), strict=True)])
+    assert recall >= (0.9 if clusters == 1 else 0.95), recall
+
+
+def test_recall_over_several_shards(spark):
+    """Clustered vectors dealt to four shards, through the whole operator."""
+    draw = np.random.default_rng(3)
+    centres = draw.standard_normal((40, 32))
+    vectors = centres[draw.integers(0, 40, 4000)] + 0.05 * draw.standard_normal((4000, 32))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
+    found = {(r.query_id, r.vec_id) for r in ann.nearest(df, 100, 10, shard_rows=1000).collect()}
+    queries = np.arange(0, 4000, 100)
+    gaps = ann.squared(vectors[queries], vectors)
+    gaps[np.arange(len(queries)), queries] = np.inf
+    expected = {(int(q), int(i)) for q, near in zip(queries, np.argsort(gaps, axis=1)[:, :10], strict=True) for i in near}
+    assert len(found & expected) >= 0.95 * len(expected)
+
+
 def brute_nearest(rows, every, k):
     points = {}
     for i, v in rows:
@@ -328,7 +356,7 @@ def test_flat_scripts_are_kept_at_every_size(spark, words):
     """A script of many signs without frequent trigrams: its clean texts stay, whatever the size of the corpus."""
     pick = np.random.default_rng(6)
     signs = np.arange(0x4e00, 0x4e00 + 1500)
-    phrases = ["".join(map(chr, pick.choice(signs, 12))) for _ in range(2000)]
+    phrases = ["".join(map(chr, pick.choice(signs, 12))) for _ in range(2 * words)]
     rows = [(i, " ".join(pick.choice(phrases, words // 10)), "zh") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert langid.keep_identified(docs).count() >= 0.95 * len(rows)
