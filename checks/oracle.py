@@ -350,6 +350,13 @@ ORACLE: dict[str, str] = {
         FROM impressions""",
     "load_star_second_clicks": LOADED + f"""SELECT impression_id AS click_id, impression_id,
         {iso('click_timestamp')} AS click_timestamp, {dbl('revenue_generated')} AS revenue_generated FROM clicks""",
+    **dict.fromkeys(["load_star_after_crash", "load_star_late_clicks", "load_star_late_clicks_compacted"], LOADED + f"""
+        SELECT source, campaign_id, impressions, clicks, clicks / impressions AS ctr, ad_spend FROM (
+            SELECT i.campaign_id, count(*) AS impressions, count(c.impression_id) AS clicks, {dbl('sum(i.cost_paid)')} AS ad_spend
+            FROM impressions i LEFT JOIN clicks c ON i.impression_id = c.impression_id GROUP BY i.campaign_id),
+        (VALUES ('tables'), ('shown'), ('by_user'), ('totals')) t(source)"""),
+    "late_clicks_by_device": LOADED + """SELECT i.device, count(c.impression_id) / count(*) * 100 AS ctr_percentage
+        FROM impressions i LEFT JOIN clicks c ON i.impression_id = c.impression_id GROUP BY i.device""",
     "user_sessions": sessions(1800) + SUMMARY,
     "user_sessions_6h": sessions(SIX_HOURS) + SUMMARY,
     "user_documents_flat": sessions(SIX_HOURS) + f"SELECT CAST(0 AS BIGINT) AS part, {VISIT} FROM visits",
@@ -468,3 +475,11 @@ ORACLE["device_ctr_json"] = ORACLE["device_ctr"]
 ORACLE["load_star_from_files"] = ORACLE["load_star_schema_impressions"]
 ORACLE["product_review_summary_from_files"] = ORACLE["product_review_summary"]
 ORACLE["documents_dropped_load"] = sessions(1800) + f"SELECT {VISIT} FROM visits WHERE user_id % 3 = 0"
+for _name in ("top_products", "top_customers", "top_haters", "top_backers"):
+    ORACLE[f"{_name}_rollup"] = ORACLE[_name]
+ORACLE["documents_by_load"] = ORACLE["user_documents_split"]
+ORACLE["stream_tweets_once"] = ORACLE["stream_tweets"]
+ORACLE["product_review_summary_checked"] = f"""
+    SELECT s.*, d.*, (SELECT count(*) FROM ({REVIEWS} SELECT * FROM raw) WHERE product_id IS NULL OR trim(product_id) = '') AS empty_product_id,
+           (SELECT count(*) FROM ({REVIEWS} SELECT * FROM raw) WHERE star_rating IS NULL OR trim(star_rating) = '') AS empty_star_rating
+    FROM ({ORACLE["product_review_summary"]}) s, ({ORACLE["dropped_reviews_basic"]}) d"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql.types import StructType
 from tallyflow.bindings import driver_tables as data
 from tallyflow.operators.keyed import duplicate_keys, upsert
 from tallyflow.operators.profile import dropped_rows, null_blank_counts
-from tallyflow.plans import documents, engagement, page_events, reports, reviews, tweets
+from tallyflow.plans import documents, engagement, page_events, reports, reviews, rollups, tweets
 from tallyflow.plans.bundles import campaign_reports
 from tallyflow.plans.star import (
     Star,
@@ -25,7 +26,7 @@ from tallyflow.plans.star import (
 )
 from tallyflow.schemas import EVENTS_RAW
 from tallyflow.session import scratch_folder
-from tallyflow.sinks import minutes, tables, topics
+from tallyflow.sinks import levels, minutes, star_tables, tables, topics, user_documents
 from tallyflow.sinks.reports import write_reports
 from tallyflow.sources import files
 from tallyflow.sources.relational import star_from_folder
@@ -74,10 +75,68 @@ def _loaded_twice(name: str) -> Query:
         root = scratch_folder(spark, "star")
         users, campaigns, events = (f(spark, sf_dir) for f in (data.raw_users, data.raw_campaigns, data.raw_events))
         even = events.filter("conv(substr(EventID, -2, 1), 16, 10) % 2 = 0")
-        tables.write_star(users.filter("user_id % 2 = 0"), campaigns, even.filter("UserID % 2 = 0"), root)
-        tables.write_star(users, campaigns, even, root)
-        tables.write_star(users, campaigns, events.withColumn("Device", F.upper("Device")), root)
-        return spark.read.parquet(f"{root}/{name}")
+        star_tables.write_star(users.filter("user_id % 2 = 0"), campaigns, even.filter("UserID % 2 = 0"), root)
+        star_tables.write_star(users, campaigns, even, root)
+        star_tables.write_star(users, campaigns, events.withColumn("Device", F.upper("Device")), root)
+        return star_tables.read_star_table(spark, root, name)
+
+    return run
+
+
+class _Crash(Exception):
+    """A job that ends between two writes."""
+
+
+def _facts_of(spark: SparkSession, root: str) -> DataFrame:
+    """Impressions, clicks and cost by campaign as each of the stored tables has them."""
+    star = star_from_folder(spark, root)
+    plain = [star_tables.read_star_table(spark, root, name) for name in ("impressions", "clicks")]
+    found = {
+        "tables": reports.campaign_totals(*plain),
+        "shown": reports.campaign_totals(star.impressions, star.clicks),
+        "by_user": reports.campaign_totals(star_from_folder(spark, root, by_user=True).impressions, star.clicks),
+        "totals": star_tables.read_star_table(spark, root, "campaign_totals"),
+    }
+    rows = [reports.performance_of_totals(t).withColumn("source", F.lit(name)) for name, t in found.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _after_crash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load that ends after each of its writes in turn and is run again, then a second load that does."""
+    root = scratch_folder(spark, "star")
+    users, campaigns, events = (f(spark, sf_dir) for f in (data.raw_users, data.raw_campaigns, data.raw_events))
+
+    def load(rows: DataFrame, last: str | None) -> None:
+        def stop(name: str) -> None:
+            if name == last:
+                raise _Crash(name)
+
+        try:
+            star_tables.write_star(users, campaigns, rows, root, written=stop)
+        except _Crash:
+            pass
+
+    for part, stops in ((events.filter("hash(UserID) % 2 = 0"), ("shown", "impressions")), (events, ("late",))):
+        for name in (*stops, None):
+            load(part, name)
+    return _facts_of(spark, root)
+
+
+def _devices(s: Star) -> DataFrame:
+    return reports.device_ctr(s.impressions, s.clicks)
+
+
+def _late_clicks(build: Callable[[SparkSession, str], DataFrame], fold: bool = False) -> Query:
+    """A star of events that nobody clicked yet, loaded again with every click; ``fold`` compacts it."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root = scratch_folder(spark, "star")
+        users, campaigns, events = (f(spark, sf_dir) for f in (data.raw_users, data.raw_campaigns, data.raw_events))
+        star_tables.write_star(users, campaigns, events.withColumn("WasClicked", F.lit(False)), root)
+        star_tables.write_star(users, campaigns, events, root)
+        if fold:
+            star_tables.compact_star(spark, root)
+            star_tables.forget_older(spark, root)
+        return build(spark, root)
 
     return run
 
@@ -122,9 +181,9 @@ def _from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
               "events": events.withColumns({c: F.lit(None).cast("string") for c in others})}
     for name, frame in frames.items():
         frame.write.options(header="true", escape='"').csv(f"{root}/{name}")
-    tables.write_star(files.read_users(spark, f"{root}/users"), files.read_campaigns(spark, f"{root}/campaigns"),
-                      files.read_events(spark, f"{root}/events"), f"{root}/star")
-    return spark.read.parquet(f"{root}/star/impressions")
+    star_tables.write_star(files.read_users(spark, f"{root}/users"), files.read_campaigns(spark, f"{root}/campaigns"),
+                           files.read_events(spark, f"{root}/events"), f"{root}/star")
+    return star_tables.read_star_table(spark, f"{root}/star", "impressions")
 
 
 def _reviews_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,6 +196,40 @@ def _reviews_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/results/product_reviews_summary")
 
 
+def _reviews_with_line_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review results out of one CSV file whose quoted bodies span lines, with the checks of the same pass."""
+    root = scratch_folder(spark, "files")
+    raw = data.raw_reviews(spark, sf_dir)
+    body = F.concat("review_body", F.lit(',\n"'), "review_headline", F.lit('"\r\n'))
+    # one file is what the job is about
+    raw.withColumn("review_body", body).coalesce(1).write.options(header="true", escape='"', emptyValue="").csv(f"{root}/reviews")
+    found = tables.checked_review_results(files.read_reviews(spark, f"{root}/reviews"), f"{root}/results")
+    checks = [F.lit(found[c]).alias(c) for c in ("raw_rows", "kept_rows", "dropped_rows", "empty_product_id", "empty_star_rating")]
+    return spark.read.parquet(f"{root}/results/product_reviews_summary").select("*", *checks)
+
+
+def _top_of_rollups(name: str, months: Callable[[DataFrame], DataFrame]) -> Query:
+    """A top list from stored roll-ups of a month table."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = scratch_folder(spark, "rollups")
+        rollups.write_rollup(months(reviews.clean_strict(data.raw_reviews(spark, sf_dir))), name, path)
+        return rollups.top_of_rollup(spark, path, FIRST_MONTH, LAST_MONTH)
+
+    return run
+
+
+def _documents_by_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents brought up to date after each of two loads, the second with later impressions and earlier clicks."""
+    root = scratch_folder(spark, "documents")
+    users, campaigns, events = data.star(spark, sf_dir).users, data.star_campaigns(spark, sf_dir), data.star_events(spark, sf_dir)
+    first = events.filter(F.col("Timestamp") < F.lit(ASOF).cast("timestamp")).withColumn(
+        "WasClicked", F.col("WasClicked") & (F.col("UserID") % 3 > 0))
+    for rows in (first, events):
+        star_tables.write_star(users, campaigns, rows, f"{root}/star")
+        user_documents.update_documents(spark, f"{root}/star", f"{root}/table", timeout=SIX_HOURS)
+    return documents.flatten(user_documents.read_documents(spark, f"{root}/table")).drop("part")
+
+
 def _json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_folder(spark, "reports")
     write_reports({"device_performance": campaign_reports(data.star(spark, sf_dir), START, END)["device_performance"]}, root)
@@ -233,6 +326,17 @@ def _stream_tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_topic(spark, f"{root}/topic")
 
 
+def _stream_tweets_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tweet messages that a producer sends twice, streamed into a topic that holds each once."""
+    root = scratch_folder(spark, "tweets")
+    messages = tweets.as_messages(tweets.build_tweets(data.document_reviews(spark, sf_dir), NOW))
+    for _ in range(2):
+        topics.store(messages, f"{root}/sent")
+    kept = jobs.once(folder_topic(spark, f"{root}/sent"), "1 day")
+    _finish(jobs.to_topic(kept, f"{root}/topic", f"{root}/checkpoint"))
+    return stored_topic(spark, f"{root}/topic")
+
+
 def _stream_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages in a folder topic, streamed to minute files, counted per minute."""
     root = scratch_folder(spark, "minutes")
@@ -249,7 +353,7 @@ def _stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     _finish(jobs.to_topic(jobs.page_messages(raw), f"{root}/processed", f"{root}/checkpoint-1"))
     processed = folder_topic(spark, f"{root}/processed")
     _finish(jobs.page_table(processed, f"{root}/table", f"{root}/checkpoint-2"))
-    return tables.read_newest(spark, f"{root}/table", page_events.PAGE_KEY).select(*page_events.PAGE_KEY)
+    return levels.read_table(spark, f"{root}/table", page_events.PAGE_KEY).select(*page_events.PAGE_KEY)
 
 
 def _stream_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,7 +374,7 @@ def _page_table_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
         topics.store(jobs.page_messages(chosen), f"{root}/processed-{part}")
         processed = folder_topic(spark, f"{root}/processed-{part}")
         _finish(jobs.page_table(processed, f"{root}/table", f"{root}/checkpoint-{part}"))
-    return tables.read_newest(spark, f"{root}/table", page_events.PAGE_KEY).select(*page_events.PAGE_KEY)
+    return levels.read_table(spark, f"{root}/table", page_events.PAGE_KEY).select(*page_events.PAGE_KEY)
 
 
 def _finish(writer) -> None:
@@ -320,6 +424,10 @@ REGISTRY: dict[str, Query] = {
     "load_star_from_files": _from_files,
     "load_star_second": _loaded_twice("impressions"),
     "load_star_second_clicks": _loaded_twice("clicks"),
+    "load_star_after_crash": _after_crash,
+    "load_star_late_clicks": _late_clicks(_facts_of),
+    "load_star_late_clicks_compacted": _late_clicks(_facts_of, fold=True),
+    "late_clicks_by_device": _late_clicks(lambda spark, root: _devices(star_from_folder(spark, root))),
     # sessions, documents and engagement
     "user_sessions": _star(lambda s: engagement.user_sessions(s.impressions, s.clicks)),
     "user_sessions_6h": _star(lambda s: engagement.user_sessions(s.impressions, s.clicks, SIX_HOURS)),
@@ -353,6 +461,7 @@ REGISTRY: dict[str, Query] = {
         lambda d: documents.flatten(documents.last_sessions_of_documents(d)).drop("part")),
     "engaged_split_documents": _split(lambda d: documents.engaged(d).select("user_id").distinct()),
     "documents_second_load": _documents_twice,
+    "documents_by_load": _documents_by_load,
     "documents_dropped_load": _documents_dropped,
     "validation_summary": _star(engagement.validation_summary),
     # reviews
@@ -365,6 +474,7 @@ REGISTRY: dict[str, Query] = {
     "monthly_product_reviews": _basic(reviews.monthly_product_reviews),
     "monthly_product_reviews_duplicates": _months_twice,
     "product_review_summary_from_files": _reviews_from_files,
+    "product_review_summary_checked": _reviews_with_line_ends,
     "top_reviewed_products_all": _basic(
         lambda c: reviews.top_reviewed_products_all(reviews.product_review_summary(c))),
     "top_verified_customers_all": _basic(
@@ -394,6 +504,10 @@ REGISTRY: dict[str, Query] = {
     "top_customers": _strict(lambda c: reviews.top_customers(c, FIRST_MONTH, LAST_MONTH)),
     "top_haters": _strict(lambda c: reviews.top_haters(c, FIRST_MONTH, LAST_MONTH)),
     "top_backers": _strict(lambda c: reviews.top_backers(c, FIRST_MONTH, LAST_MONTH)),
+    "top_products_rollup": _top_of_rollups("product_id", reviews.product_reviews_by_month),
+    "top_customers_rollup": _top_of_rollups("customer_id", reviews.customer_verified_by_month),
+    "top_haters_rollup": _top_of_rollups("customer_id", reviews.customer_haters_by_month),
+    "top_backers_rollup": _top_of_rollups("customer_id", reviews.customer_backers_by_month),
     "top_products_of_month_table": _strict(lambda c: reviews.top_of_months(
         reviews.product_reviews_by_month(c), "product_id", FIRST_MONTH, LAST_MONTH)),
     # events
@@ -406,6 +520,7 @@ REGISTRY: dict[str, Query] = {
     "page_creations": _page_table,
     # the same through Structured Streaming
     "stream_tweets": _stream_tweets,
+    "stream_tweets_once": _stream_tweets_once,
     "stream_minute_files": _stream_minutes,
     "stream_page_creations": _stream_pages,
     "page_table_new_checkpoint": _page_table_twice,

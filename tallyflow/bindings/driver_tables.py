@@ -8,6 +8,7 @@ and loading have something to do.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyflow.plans.star import Star
 
@@ -128,6 +129,25 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def star_campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Campaign file rows of the campaigns of ``star``."""
+    found = star(spark, sf_dir)
+    names = found.advertisers.withColumnRenamed("name", "AdvertiserName")
+    return found.campaigns.withColumnRenamed("campaign_id", "id").join(names, "advertiser_id").drop("advertiser_id")
+
+
+def star_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event file rows of the impressions and clicks of ``star``."""
+    found = star(spark, sf_dir)
+    clicks = found.clicks.select("impression_id", "click_id", "click_timestamp", "revenue_generated")
+    names = found.campaigns.select("campaign_id", F.col("name").alias("CampaignName"))
+    return found.impressions.join(clicks, "impression_id", "left").join(names, "campaign_id").select(
+        F.col("impression_id").alias("EventID"), "CampaignName", F.col("user_id").alias("UserID"), F.col("device").alias("Device"),
+        F.col("location").alias("Location"), F.col("timestamp").alias("Timestamp"), F.col("bid_amount").cast("float").alias("BidAmount"),
+        F.col("cost_paid").cast("float").alias("AdCost"), F.col("click_id").isNotNull().alias("WasClicked"),
+        F.col("click_timestamp").cast("string").alias("ClickTimestamp"), F.col("revenue_generated").cast("float").alias("AdRevenue"))
+
+
 # --- reviews -----------------------------------------------------------------------------------
 
 

@@ -110,6 +110,10 @@ def load_facts(
     with one id the first valid one is the impression and the first clicked one,
     valid or not, its click (NULL if none was). Copies of an event are combined
     before the one exchange by id.
+
+    ``existing`` holds the stored impressions with their ``click_id``. Of those
+    there is a row only if a click comes for one that has none; its ``impression``
+    is NULL.
     """
     staged = _staged_events(events_raw).withColumn("_name", _name_key("CampaignName", ci))
     ids = _first_by_name(campaigns, "campaign_id", ci)
@@ -123,15 +127,19 @@ def load_facts(
     click = F.struct(lenient(F.col("ClickTimestamp")).alias("click_timestamp"), _money("AdRevenue").alias("revenue_generated"))
     facts = rows.groupBy("impression_id").agg(
         F.min(F.when(valid, impression)).alias("impression"), F.min(F.when(F.col("WasClicked"), click)).alias("click"))
-    facts = facts.filter(F.col("impression").isNotNull())
-    if existing is not None:
-        facts = facts.join(existing.select("impression_id"), "impression_id", "left_anti")
-    return facts
+    if existing is None:
+        return facts.filter(F.col("impression").isNotNull())
+    known = existing.select("impression_id", F.col("click_id").isNotNull().alias("_clicked"))
+    facts = facts.join(known, "impression_id", "left")
+    new = F.col("_clicked").isNull() & F.col("impression").isNotNull()
+    late = ~F.coalesce(F.col("_clicked"), F.lit(True)) & F.col("click").isNotNull()
+    return facts.filter(new | late).select(
+        "impression_id", F.when(F.col("_clicked").isNull(), F.col("impression")).alias("impression"), "click")
 
 
 def fact_impressions(facts: DataFrame) -> DataFrame:
     """The impressions of ``load_facts``."""
-    return facts.select("impression_id", "impression.*")
+    return facts.filter(F.col("impression").isNotNull()).select("impression_id", "impression.*")
 
 
 def fact_clicks(facts: DataFrame) -> DataFrame:
@@ -142,7 +150,12 @@ def fact_clicks(facts: DataFrame) -> DataFrame:
 def fact_rows(facts: DataFrame) -> DataFrame:
     """The impressions of ``load_facts`` with the columns of their click."""
     click_id = F.when(F.col("click").isNotNull(), F.col("impression_id")).alias("click_id")
-    return facts.select("impression_id", "impression.*", click_id, "click.*")
+    return facts.filter(F.col("impression").isNotNull()).select("impression_id", "impression.*", click_id, "click.*")
+
+
+def late_rows(facts: DataFrame) -> DataFrame:
+    """The clicks of ``load_facts`` whose impression was stored by an earlier load."""
+    return facts.filter(F.col("impression").isNull()).select("impression_id", F.col("impression_id").alias("click_id"), "click.*")
 
 
 def load_star(
@@ -155,18 +168,19 @@ def load_star(
 ) -> Star:
     """All five tables, parents first; ``existing`` holds the tables of an earlier load, whose keys are skipped.
 
+    Its ``shown`` are the stored impressions with their ``click_id``. A click that
+    comes in a later load than its impression is added to the clicks.
     ``store(rows, name)`` may add the new rows of a table to what is there and
     return the whole table as read back, and is asked to keep ``facts``, from
     which both fact tables are written. Children then look up stored parents,
     whose known size lets Spark choose between a broadcast and a shuffle before
-    it moves any event. A click that comes in a later load than its impression
-    is skipped with it.
+    it moves any event.
     """
     there = existing or {}
     users = store(load_users(users_raw, there.get("users")), "users")
     advertisers = store(load_advertisers(campaigns_raw, there.get("advertisers"), ci), "advertisers")
     campaigns = store(load_campaigns(campaigns_raw, advertisers, ci, there.get("campaigns")), "campaigns")
-    facts = store(load_facts(events_raw, campaigns, users, ci, there.get("impressions")), "facts")
+    facts = store(load_facts(events_raw, campaigns, users, ci, there.get("shown")), "facts")
     return Star(advertisers, users, campaigns, store(fact_impressions(facts), "impressions"),
                 store(fact_clicks(facts), "clicks"))
 

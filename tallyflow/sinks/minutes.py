@@ -1,38 +1,69 @@
-"""Minute folders of CSV files: every row goes to the minute of its own time."""
+"""Minute files: one CSV file with one header for each minute, ``tweets_dd_MM_yyyy_HH_MM.csv``.
+
+A micro-batch first stores its rows as parts by minute, in a folder named by the query and the batch, and
+marks the folder as complete. Then it writes each minute it touched anew, from all complete parts, aside,
+and renames it over the older file. Late rows so join their minute's file; a batch that is repeated finds
+its parts and gives the same files; a reader sees the older or the newer file.
+
+A minute's rows pass through one task, as they become one file.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from tallyflow.plans.tweets import minute_rows
+from tallyflow.plans.tweets import MINUTE_FILE, minute_rows
+from tallyflow.sinks import commits
+from tallyflow.sinks.levels import query_name
 
-ROW_SCHEMA = "author_id string, created_at string, text string, minute string"
+COLUMNS = ["author_id", "created_at", "text"]
+ROW_SCHEMA = "author_id string, created_at string, text string"
+CSV = {"header": "true", "escape": '"', "emptyValue": ""}
 
 
-def stream_minutes(rows: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
-    """Append rows to ``minute=dd_MM_yyyy_HH_mm`` folders; late rows join their minute's folder."""
-    return (
-        minute_rows(rows).writeStream.outputMode("append").format("csv")
-        .partitionBy("minute")
-        .option("header", "true").option("escape", '"').option("emptyValue", "")
-        .option("path", folder)
-        .option("checkpointLocation", checkpoint)
-    )
+def add_rows(rows: DataFrame, folder: str, batch: str) -> None:
+    """Add rows (of ``minute_rows``) to the minute files; a batch that was added before changes nothing."""
+    spark, parts = rows.sparkSession, f"{folder}/_parts"
+    if not commits.exists(spark, f"{parts}/{batch}/_SUCCESS"):
+        number = len(commits.names(spark, f"{parts}/*/_SUCCESS"))
+        stamped = rows.withColumns({"batch": F.lit(number), "of": F.col("minute")})
+        stamped.repartition("minute").write.mode("overwrite").partitionBy("of").parquet(f"{parts}/{batch}")
+    minutes = [n.removeprefix("of=") for n in commits.names(spark, f"{parts}/{batch}/of=*")]
+    if not minutes:
+        return
+    every = [f"{parts}/{n}" for n in _complete(spark, parts)]
+    touched = [f"{p}/of={m}" for p in every for m in minutes if commits.exists(spark, f"{p}/of={m}")]
+    # a minute's older rows come first
+    whole = spark.read.option("recursiveFileLookup", "true").parquet(*touched).select("minute", "batch", *COLUMNS)
+    aside = f"{folder}/_aside/{uuid.uuid4().hex}"
+    whole.repartition("minute").sortWithinPartitions("minute", "batch", *COLUMNS).drop("batch").write.partitionBy("minute").options(
+        **CSV).csv(aside)
+    prefix, suffix = MINUTE_FILE.split("{minute}")
+    for minute in minutes:
+        for name in commits.names(spark, f"{aside}/minute={minute}/part-*"):
+            commits.replace(spark, f"{aside}/minute={minute}/{name}", f"{folder}/{prefix}{minute}{suffix}")
+    commits.remove(spark, aside)
 
 
-def read_minutes(spark: SparkSession, folder: str) -> DataFrame:
-    """All rows of the minute folders, with their minute; empty cells are empty texts."""
-    rows = spark.read.schema(ROW_SCHEMA).options(header="true", escape='"').csv(folder)
-    return rows.fillna("", subset=["author_id", "text"])
+def _complete(spark: SparkSession, parts: str) -> list[str]:
+    return [n for n in commits.names(spark, f"{parts}/*") if commits.exists(spark, f"{parts}/{n}/_SUCCESS")]
 
 
-def compact_minutes(spark: SparkSession, folder: str, target: str) -> None:
-    """Rewrite the many small files of a minute stream into few, to a new folder.
+def stream_minutes(rows: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
+    """Each micro-batch of rows to the minute files."""
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        add_rows(batch, folder, f"{query_name(batch.sparkSession, checkpoint)}-{batch_id}")
+
+    return minute_rows(rows).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write_batch)
 
-    The rebalance hint gathers a minute's rows and splits a minute too large
-    for one file.
-    """
-    rows = read_minutes(spark, folder).hint("rebalance", F.col("minute"))
-    rows.write.mode("overwrite").partitionBy("minute").options(header="true", escape='"', emptyValue="").csv(target)
+
+def read_minutes(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows of the minute files, with their minute; empty cells are empty texts."""
+    prefix, suffix = MINUTE_FILE.split("{minute}")
+    rows = spark.read.schema(ROW_SCHEMA).options(header="true", escape='"').csv(f"{folder}/{prefix}*{suffix}")
+    name = F.regexp_extract(F.col("_metadata.file_name"), f"{prefix}(.*){suffix.replace('.', '[.]')}", 1)
+    return rows.withColumn("minute", name).fillna("", subset=["author_id", "text"])

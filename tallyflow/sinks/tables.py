@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyflow.operators.keyed import newest_version
+from tallyflow.operators.profile import Watched
 from tallyflow.plans import reviews as rv
 from tallyflow.plans.documents import user_documents
-from tallyflow.plans.reports import campaign_totals
-from tallyflow.plans.star import Star, fact_rows, load_star
-from tallyflow.session import scratch_folder
+from tallyflow.plans.rollups import write_rollup
+from tallyflow.plans.star import Star
 
 
 def overwrite(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), **options: str) -> None:
@@ -79,8 +79,9 @@ def newest(rows: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def read_newest(spark: SparkSession, path: str, key: Sequence[str]) -> DataFrame:
-    """The current rows of a keyed table: of each key those of the newest load."""
-    return newest(spark.read.parquet(path), key)
+    """The current rows of a keyed table: of each key those of the newest load; a single load is read as it is."""
+    rows = spark.read.parquet(path)
+    return rows.drop("version", "load") if len(_loads(spark, path)) == 1 else newest(rows, key)
 
 
 def compact(
@@ -110,44 +111,6 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return read_newest(spark, path, ["user_id"])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
-
-
-def write_star(users_raw: DataFrame, campaigns_raw: DataFrame, events_raw: DataFrame, root: str, ci: bool = False) -> Star:
-    """Load the five star tables, parents first, into what is there: rows whose key is stored already are skipped.
-
-    Children check their keys against the written parents. Impressions are laid
-    out by time, so that reports over a range skip the rest; the table ``shown``
-    holds them with their clicks, so that no report joins the facts again, and
-    ``shown_by_user`` the same by user, so that one user's questions read few
-    files. ``campaign_totals`` answers lookups by campaign and advertiser.
-    """
-    spark = users_raw.sparkSession
-    names = ("advertisers", "users", "campaigns", "impressions", "clicks")
-    there = {name: spark.read.parquet(f"{root}/{name}") for name in names if _exists(spark, f"{root}/{name}")}
-    facts = scratch_folder(spark, "facts")
-
-    def store(df: DataFrame, name: str) -> DataFrame:
-        if name == "facts":
-            kept = stored(df, facts)
-            rows = fact_rows(kept)
-            add(by_range(rows, ["timestamp", "impression_id"]), "shown")
-            add(by_range(rows, ["user_id", "timestamp", "impression_id"]), "shown_by_user")
-            add(by_range(campaign_totals(rows, rows), ["campaign_id"]), "campaign_totals")
-            return kept
-        if name == "impressions":
-            df = by_range(df, ["timestamp", "impression_id"])
-        return add(df, name)
-
-    def add(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("append").parquet(f"{root}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
-
-    return load_star(users_raw, campaigns_raw, events_raw, ci, store, there)
-
-
 def save_star(star: Star, database: str, root: str, buckets: int) -> None:
     """Save the star as catalog tables with both fact tables bucketed by impression.
 
@@ -164,6 +127,28 @@ def save_star(star: Star, database: str, root: str, buckets: int) -> None:
         writer.mode("overwrite").option("path", f"{root}/{name}").saveAsTable(f"{database}.{name}")
 
 
+#: Names and columns of the month tables, and what they are rolled up by.
+MONTH_TABLES = {
+    "product_reviews_by_month": "product_id",
+    "customer_verified_by_month": "customer_id",
+    "customer_haters_by_month": "customer_id",
+    "customer_backers_by_month": "customer_id",
+}
+
+
+def write_month_rollups(spark: SparkSession, root: str, target: str) -> None:
+    """Roll-ups of the stored month tables, from which top lists over any range of months are answered."""
+    for name, id_name in MONTH_TABLES.items():
+        write_rollup(read_review_table(spark, root, name), id_name, f"{target}/{name}")
+
+
+def checked_review_results(raw: DataFrame, root: str, fmt: str = "parquet", **options: str) -> dict[str, int]:
+    """``write_review_results`` over basic cleaning; counts of empty cells and dropped rows come from the same pass."""
+    watched = Watched(rv.CRITICAL_BASIC)
+    write_review_results(rv.clean_basic(watched.rows(raw)), root, fmt, **options)
+    return watched.counts()
+
+
 def write_review_results(clean: DataFrame, root: str, fmt: str = "parquet", **options: str) -> None:
     """The three results over basic cleaning, one collection each; ``options`` address the connector ``fmt``."""
     kept = clean.persist(StorageLevel.MEMORY_AND_DISK)
@@ -211,7 +196,11 @@ def write_review_tables(clean: DataFrame, root: str, load: str | None = None) ->
 
 def read_review_table(spark: SparkSession, root: str, name: str, **key: object) -> DataFrame:
     """The current rows of a review table; values for columns of its key prune what is read."""
-    rows = spark.read.parquet(f"{root}/{name}")
+    reader = spark.read
+    if name in MONTH_TABLES:
+        # a class without reviews has folders without files
+        reader = reader.schema(f"{MONTH_TABLES[name]} string, review_count int, version int, load string, year_month string")
+    rows = reader.parquet(f"{root}/{name}")
     for column, value in key.items():
         rows = rows.filter(F.col(column) == F.lit(value))
-    return newest(rows, REVIEW_TABLES[name])
+    return rows.drop("version", "load") if len(_loads(spark, f"{root}/{name}")) == 1 else newest(rows, REVIEW_TABLES[name])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallyflow.schemas import CAMPAIGNS_RAW, EVENTS_RAW, MESSAGE, REVIEWS_RAW, USERS
+from tallyflow.sources.quoted_csv import read_quoted_csv
 
 # fixed values: texts that mean a missing value in the raw advertising files
 MISSING = [
@@ -66,12 +67,12 @@ def read_events(spark: SparkSession, path: str, limit: int | None = None) -> Dat
 def read_reviews(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = True) -> DataFrame:
     """Review CSV or TSV, every column text.
 
-    A quoted field may span lines; such a file is read by one task, so a large
-    set should come as many files, or with ``multi_line=False`` where no field
-    spans lines.
+    A quoted field may span lines; a file is read by many tasks all the same (see ``quoted_csv``). Where no
+    field spans lines, ``multi_line=False`` reads it once instead of twice.
     """
-    options = {**QUOTING, "sep": sep, "multiLine": str(multi_line).lower()}
-    return spark.read.options(**options).schema(REVIEWS_RAW).csv(path)
+    if multi_line:
+        return read_quoted_csv(spark, path, REVIEWS_RAW, sep)
+    return spark.read.options(**QUOTING, sep=sep).schema(REVIEWS_RAW).csv(path)
 
 
 def stream_reviews(spark: SparkSession, folder: str, sep: str = ",", max_files: int | None = None,

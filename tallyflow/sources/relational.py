@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyflow.plans.star import Star
+from tallyflow.sinks.star_tables import read_star_table
 
 
 def jdbc_table(
@@ -33,12 +34,12 @@ def jdbc_table(
 
 
 def star_from_folder(spark: SparkSession, root: str, by_user: bool = False) -> Star:
-    """The star tables as written by ``sinks.tables.write_star``; impressions come with their clicks, joined by the load.
+    """The star tables as written by ``write_star``, finished loads only; impressions come with their clicks, joined by the load.
 
     ``by_user`` takes the layout for questions about one user.
     """
     names = ("advertisers", "users", "campaigns", "shown_by_user" if by_user else "shown", "clicks")
-    return Star(*[spark.read.parquet(f"{root}/{name}") for name in names])
+    return Star(*[read_star_table(spark, root, name) for name in names])
 
 
 def star_from_catalog(spark: SparkSession, database: str) -> Star:

@@ -13,7 +13,8 @@ from tallyflow.plans import reports
 from tallyflow.plans.reports import with_clicks
 from tallyflow.plans.star import (
     fact_clicks, fact_impressions, load_advertisers, load_campaigns, load_clicks, load_facts, load_impressions, load_star)
-from tallyflow.sinks.tables import compact, read_newest, save_star, write_star, write_version
+from tallyflow.sinks.star_tables import read_star_table, write_star
+from tallyflow.sinks.tables import compact, read_newest, save_star, write_version
 from tallyflow.sources.relational import star_from_catalog, star_from_folder
 
 UUID = "8A32D1F9-0000-4000-8000-00000000000"
@@ -131,12 +132,12 @@ def test_load_star(spark, rows, folder):
     assert rows(sums) == rows(reports.campaign_performance(star.impressions, star.clicks))
     assert rows(reports.regional_revenue(joined.impressions, joined.clicks)) == rows(
         reports.regional_revenue(star.impressions, star.clicks))
-    totals = spark.read.parquet(f"{folder}/star/campaign_totals")
+    totals = read_star_table(spark, f"{folder}/star", "campaign_totals")
     assert rows(reports.performance_of_totals(totals)) == rows(sums)
     one = star_from_folder(spark, f"{folder}/star", by_user=True).impressions.filter("user_id = 7")
     assert "EqualTo(user_id,7)" in plan_of(one)
     again = write_star(*raw_frames(spark), f"{folder}/star")
-    assert rows(reports.performance_of_totals(spark.read.parquet(f"{folder}/star/campaign_totals"))) == rows(sums)
+    assert rows(reports.performance_of_totals(read_star_table(spark, f"{folder}/star", "campaign_totals"))) == rows(sums)
     for name in ("users", "advertisers", "campaigns", "impressions", "clicks"):
         assert rows(getattr(again, name)) == rows(getattr(star, name))
 
