@@ -45,8 +45,8 @@ from tallyflow.llm.common import chunks, fold, needed, ready, slices, stored
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text in a block, about; a longer text is a block of its own.
 BLOCK_BYTES = 8 << 20
-#: Buckets of words; each is held by one task, so a larger corpus takes more.
-BUCKETS = 128
+#: Bytes of text for each bucket of words, as a bucket is held by one task; and the least number of buckets.
+BUCKET_BYTES, BUCKETS = 64 << 20, 128
 #: Ids that are classes of their own as context, and bands of the others.
 OWN_CONTEXT, BANDS = 496, 16
 #: The same as prediction: ids that begin a word (and the end id), and those that go on with it.
@@ -437,18 +437,21 @@ def gradient(p: dict[str, np.ndarray], prior: np.ndarray, before: np.ndarray, co
     d_x = d_g @ p["skip"].T + d_q @ p["query"].T + d_k @ p["key"].T + d_v @ p["value"].T
     g["place"] = d_x.sum(0)
     g["embed"] = np.zeros_like(p["embed"])
-    np.add.at(g["embed"], context.ravel(), flat(d_x))
+    order = np.argsort(context.ravel(), kind="stable")
+    own = context.ravel()[order]
+    first = np.flatnonzero(np.diff(own, prepend=-1))
+    g["embed"][own[first]] = np.add.reduceat(flat(d_x)[order], first, axis=0)
     return np.concatenate([g[name].ravel() for name in shapes()]).astype(np.float32), loss
 
 
-def cut(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cut(starts: np.ndarray, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows over texts: (first place, end of the text's places, text) of each.
 
     A text of n ids has n + 1 places to predict from. The first window scores all its places, each
-    further one those after its first OVERLAP.
+    further one those after its first ``overlap``.
     """
     places = np.diff(starts) - 1
-    step = WINDOW - OVERLAP
+    step = WINDOW - overlap
     many = 1 + np.maximum(0, -(-(places - WINDOW) // step))
     text = np.repeat(np.arange(len(places)), many)
     order = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
@@ -474,7 +477,8 @@ def train(end_id: int, classes: Classes, prior: np.ndarray, start: np.ndarray, t
                 stream = Streams.of(row, end_id, True)
                 if len(stream.starts) < 2:
                     continue
-                first, end, _ = cut(stream.starts)
+                # end to end, so that each place is learned from once
+                first, end, _ = cut(stream.starts, 0)
                 chosen = np.random.default_rng(row["block"] * AVERAGES + turn).permutation(
                     np.arange(turn, len(first), AVERAGES))
                 for at in range(0, len(chosen), TRAIN_STEP):
@@ -649,7 +653,9 @@ def scores(docs: DataFrame, folds: int = 5, held_fold: int = 1, path: str | None
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = fold("doc_id", folds) == held_fold
     rows = needed(docs, ["doc_id", "text"]).select("doc_id", "text", (~held).alias("learning"))
-    blocks = stored(rows.mapInArrow(make_blocks(path), BLOCK_SCHEMA.format(kind=kind)), "blocks")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(BUCKETS, size // BUCKET_BYTES)
+    blocks = stored(rows.mapInArrow(make_blocks(path, buckets), BLOCK_SCHEMA.format(kind=kind)), "blocks")
     texts = blocks.filter("bucket IS NULL").select(*TEXTS)
     classes = learn_classes(texts, path)
     words = blocks.filter("bucket IS NOT NULL").select("block", "bucket", "words", "places", "learned", "firsts")
