@@ -483,3 +483,13 @@ ORACLE["product_review_summary_checked"] = f"""
     SELECT s.*, d.*, (SELECT count(*) FROM ({REVIEWS} SELECT * FROM raw) WHERE product_id IS NULL OR trim(product_id) = '') AS empty_product_id,
            (SELECT count(*) FROM ({REVIEWS} SELECT * FROM raw) WHERE star_rating IS NULL OR trim(star_rating) = '') AS empty_star_rating
     FROM ({ORACLE["product_review_summary"]}) s, ({ORACLE["dropped_reviews_basic"]}) d"""
+ORACLE["stream_raw_events_by_range"] = ORACLE["stream_raw_events"]
+for _name in ("campaign_performance", "advertiser_total_spend", "user_engagements", "reviews_by_product", "reviews_by_customer"):
+    ORACLE[f"{_name}_lookup"] = ORACLE[_name]
+ORACLE["review_by_id_lookup"] = collapsed(PRODUCT_KEY) + f"SELECT {SHOWN_REVIEW} FROM kept WHERE review_id = '100-1'"
+ORACLE["stream_tweets_from_csv"] = ORACLE["stream_tweets"]
+ORACLE["stream_minute_files_restarted"] = ORACLE["stream_minute_files"]
+ORACLE["page_table_replayed"] = ORACLE["page_table_new_checkpoint"]
+ORACLE["user_engagements_with_defaults"] = ORACLE["user_engagements_each"].replace(
+    "LEFT JOIN campaigns p ON", "LEFT JOIN (SELECT * FROM campaigns WHERE campaign_id % 2 = 0) p ON").replace(
+    "LEFT JOIN advertisers a ON", "LEFT JOIN (SELECT * FROM advertisers WHERE advertiser_id % 3 > 0) a ON")

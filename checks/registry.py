@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import replace
 from functools import reduce
 
@@ -24,11 +24,11 @@ from tallyflow.plans.star import (
     load_facts,
     load_users,
 )
-from tallyflow.schemas import EVENTS_RAW
+from tallyflow.schemas import EVENTS_RAW, REVIEWS_RAW
 from tallyflow.session import scratch_folder
 from tallyflow.sinks import levels, minutes, star_tables, tables, topics, user_documents
 from tallyflow.sinks.reports import write_reports
-from tallyflow.sources import files
+from tallyflow.sources import captures, files
 from tallyflow.sources.relational import star_from_folder
 from tallyflow.sources.topics import folder_topic, stored_topic
 from tallyflow.streaming import jobs
@@ -41,7 +41,7 @@ NOW = "2024-06-01 12:00:00"
 SIX_HOURS = 6 * 3600
 ADVERTISER = "NATION_3"
 CAMPAIGN_ID, ADVERTISER_ID, USER_ID = 3, 3, 8
-PRODUCT_ID, CUSTOMER_ID = "17", "41"
+PRODUCT_ID, CUSTOMER_ID, REVIEW_ID = "17", "41", "100-1"
 FIRST_MONTH, LAST_MONTH = "1996-03", "1999-10"
 
 
@@ -326,6 +326,43 @@ def _stream_tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_topic(spark, f"{root}/topic")
 
 
+def _stream_tweets_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review files in CSV, streamed file by file to tweet messages, read back."""
+    root = scratch_folder(spark, "tweets")
+    source = data.document_reviews(spark, sf_dir)
+    names = StructType.fromDDL(REVIEWS_RAW).names
+    frame = source.select(*[F.col(c) if c in source.columns else F.lit(None).cast("string").alias(c) for c in names])
+    frame.write.options(header="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(f"{root}/reviews")
+    stream = files.stream_reviews(spark, f"{root}/reviews", max_files=1)
+    _finish(jobs.to_topic(jobs.tweet_messages(stream, NOW), f"{root}/topic", f"{root}/checkpoint"))
+    return stored_topic(spark, f"{root}/topic")
+
+
+def _stream_minutes_restarted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that arrive in two parts, any minute in both, to minute files; the stream starts again for the second."""
+    root = scratch_folder(spark, "minutes")
+    messages = data.tweet_messages(spark, sf_dir)
+    for part in (0, 1):
+        topics.store(messages.filter(F.pmod(F.xxhash64("value"), F.lit(2)) == part), f"{root}/topic")
+        _finish(jobs.minute_files(folder_topic(spark, f"{root}/topic"), f"{root}/files", f"{root}/checkpoint", NOW))
+    return minutes.read_minutes(spark, f"{root}/files")
+
+
+def _page_table_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages into one page table twice, the second time by a stream that lost its checkpoint."""
+    root = scratch_folder(spark, "pages")
+    topics.store(jobs.page_messages(data.page_messages(spark, sf_dir)), f"{root}/processed")
+    for part in (0, 1):
+        processed = folder_topic(spark, f"{root}/processed")
+        _finish(jobs.page_table(processed, f"{root}/table", f"{root}/checkpoint-{part}"))
+    return levels.read_table(spark, f"{root}/table", page_events.PAGE_KEY).select(*page_events.PAGE_KEY)
+
+
+def _half_described(s: Star) -> Star:
+    """The star without every second campaign and every third advertiser, whose impressions get defaults."""
+    return replace(s, campaigns=s.campaigns.filter("campaign_id % 2 = 0"), advertisers=s.advertisers.filter("advertiser_id % 3 > 0"))
+
+
 def _stream_tweets_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tweet messages that a producer sends twice, streamed into a topic that holds each once."""
     root = scratch_folder(spark, "tweets")
@@ -365,6 +402,19 @@ def _stream_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_topic(spark, f"{root}/topic")
 
 
+def _stream_raw_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures with all kinds of line ends, streamed by byte ranges to a topic of raw events, read back."""
+    root = scratch_folder(spark, "raw")
+    kind = F.pmod(F.xxhash64("value"), F.lit(3))
+    text = F.when(kind == 0, F.regexp_replace("value", "\r\n|\n", "\r")).when(
+        kind == 1, F.regexp_replace("value", "\r\n|\n", "\r\n")).otherwise(F.col("value"))
+    data.sse_chunks(spark, sf_dir).select(text.alias("value")).write.option("lineSep", "\n\n\n").text(f"{root}/captured")
+    # ranges smaller than the files, so that events lie across their borders
+    chunks = captures.stream_captures(spark, f"{root}/captured", range_bytes=4096)
+    _finish(jobs.to_topic(jobs.raw_messages(chunks), f"{root}/topic", f"{root}/checkpoint"))
+    return stored_topic(spark, f"{root}/topic")
+
+
 def _page_table_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two streams into one page table, the second with a checkpoint of its own and only new messages."""
     root = scratch_folder(spark, "pages")
@@ -454,6 +504,7 @@ REGISTRY: dict[str, Query] = {
     "active_subject": _star(engagement.active_subject),
     "user_engagements": _star(lambda s: engagement.user_engagements(s, USER_ID)),
     "user_engagements_each": _star(engagement.user_engagements),
+    "user_engagements_with_defaults": _star(lambda s: engagement.user_engagements(_half_described(s))),
     "engaged_documents": _star(_engaged),
     # documents of five impressions each, so that users span several
     "user_documents_split": _split(lambda d: documents.flatten(d).drop("part")),
@@ -520,9 +571,68 @@ REGISTRY: dict[str, Query] = {
     "page_creations": _page_table,
     # the same through Structured Streaming
     "stream_tweets": _stream_tweets,
+    "stream_tweets_from_csv": _stream_tweets_from_csv,
     "stream_tweets_once": _stream_tweets_once,
+    "stream_minute_files_restarted": _stream_minutes_restarted,
+    "page_table_replayed": _page_table_replayed,
     "stream_minute_files": _stream_minutes,
     "stream_page_creations": _stream_pages,
     "page_table_new_checkpoint": _page_table_twice,
     "stream_raw_events": _stream_raw,
+    "stream_raw_events_by_range": _stream_raw_ranges,
 }
+
+
+def write_lookups(spark: SparkSession, sf_dir: str, parts: Sequence[str] = ("ads", "reviews", "rollups")) -> str:
+    """The stored tables that lookups read: the layouts of the star, the review tables and their roll-ups."""
+    root, star = scratch_folder(spark, "lookups"), data.star(spark, sf_dir)
+    if "ads" in parts:
+        facts = reports.joined_facts(star.impressions, star.clicks)
+        tables.write_sorted(facts, f"{root}/shown_by_user", ["user_id", "timestamp", "impression_id"])
+        tables.write_sorted(reports.campaign_totals(star.impressions, star.clicks), f"{root}/campaign_totals", ["campaign_id"])
+        for name in ("campaigns", "advertisers"):
+            tables.overwrite(getattr(star, name), f"{root}/{name}")
+    if "reviews" in parts:
+        tables.write_review_tables(reviews.clean_strict(data.raw_reviews(spark, sf_dir)), f"{root}/reviews", "first")
+    if "rollups" in parts:
+        tables.write_month_rollups(spark, f"{root}/reviews", f"{root}/rollups")
+    return root
+
+
+def _stored_user(spark: SparkSession, root: str) -> DataFrame:
+    names = {name: spark.read.parquet(f"{root}/{name}") for name in ("advertisers", "campaigns", "shown_by_user")}
+    return engagement.user_engagements(
+        Star(names["advertisers"], names["shown_by_user"], names["campaigns"], names["shown_by_user"], names["shown_by_user"]), USER_ID)
+
+
+def _stored_top(name: str) -> Query:
+    return lambda spark, root: rollups.top_of_rollup(spark, f"{root}/rollups/{name}", FIRST_MONTH, LAST_MONTH)
+
+
+#: Lookups over tables that ``write_lookups`` wrote before; the bench times these alone.
+LOOKUPS: dict[str, Query] = {
+    "campaign_performance": lambda spark, root: reports.performance_of_totals(
+        spark.read.parquet(f"{root}/campaign_totals"), CAMPAIGN_ID),
+    "advertiser_total_spend": lambda spark, root: reports.advertiser_total_spend(
+        spark.read.parquet(f"{root}/campaign_totals"), spark.read.parquet(f"{root}/campaigns"), ADVERTISER_ID),
+    "user_engagements": _stored_user,
+    "reviews_by_product": lambda spark, root: reviews.reviews_by_product(
+        tables.read_review_table(spark, f"{root}/reviews", "reviews_by_product", product_id=PRODUCT_ID), PRODUCT_ID),
+    "reviews_by_customer": lambda spark, root: reviews.reviews_by_customer(
+        tables.read_review_table(spark, f"{root}/reviews", "reviews_by_customer", customer_id=CUSTOMER_ID), CUSTOMER_ID),
+    "review_by_id": lambda spark, root: tables.read_review_table(
+        spark, f"{root}/reviews", "reviews_by_product", review_id=REVIEW_ID),
+    "top_products": _stored_top("product_reviews_by_month"),
+    "top_customers": _stored_top("customer_verified_by_month"),
+    "top_haters": _stored_top("customer_haters_by_month"),
+    "top_backers": _stored_top("customer_backers_by_month"),
+}
+
+
+def _looked_up(name: str) -> Query:
+    part = "reviews" if name.startswith("review") else "ads"
+    return lambda spark, sf_dir: LOOKUPS[name](spark, write_lookups(spark, sf_dir, [part]))
+
+
+# the top lists over roll-ups are registered above
+REGISTRY |= {f"{name}_lookup": _looked_up(name) for name in LOOKUPS if not name.startswith("top")}

@@ -11,7 +11,7 @@ from tallyflow.operators.sessions import DEFAULT_TIMEOUT
 from tallyflow.plans import bundles, reviews, rollups
 from tallyflow.session import build_session
 from tallyflow.sinks import reports, star_tables, tables, user_documents
-from tallyflow.sources import files, topics
+from tallyflow.sources import captures, files, topics
 from tallyflow.sources.relational import star_from_folder
 from tallyflow.streaming import jobs
 
@@ -50,7 +50,7 @@ def top_list(spark: SparkSession, o: argparse.Namespace) -> None:
 
 def compact_table(spark: SparkSession, o: argparse.Namespace) -> None:
     """The current rows of a keyed table (pages, documents, review tables) as a new table of one load."""
-    tables.compact(spark, o.table, o.key.split(","), o.out)
+    tables.compact(spark, o.table, o.key.split(","), o.out, o.descending.split(","))
 
 
 def campaign_reports(spark: SparkSession, o: argparse.Namespace) -> None:
@@ -101,7 +101,7 @@ def stream_minutes(spark: SparkSession, o: argparse.Namespace) -> None:
 
 def stream_raw(spark: SparkSession, o: argparse.Namespace) -> None:
     """Captured event text in a folder to a topic of raw events."""
-    chunks = files.stream_sse(spark, o.source, max_files=o.max_per_trigger)
+    chunks = (captures.stream_captures if o.any_line_end else files.stream_sse)(spark, o.source, max_files=o.max_per_trigger)
     _send(jobs.raw_messages(chunks), o)
 
 
@@ -132,7 +132,7 @@ def parser() -> argparse.ArgumentParser:
 
     job(load_star, "users", "campaigns", "events", ci=False).add_argument("--limit", type=int)
     job(compact_star, forget=False)
-    job(compact_table, "table", "key")
+    job(compact_table, "table", "key", descending="review_date")
     job(load_documents, "star", load=None, drop_existing=False, timeout=DEFAULT_TIMEOUT)
     job(update_documents, "star", timeout=DEFAULT_TIMEOUT)
     job(month_rollups, "tables")
@@ -147,6 +147,8 @@ def parser() -> argparse.ArgumentParser:
         command = job(run, "source", "checkpoint", servers=None, starting=starting, sep=",", once=False, single_line=False,
                       once_within=None)
         command.add_argument("--max-per-trigger", type=int)
+        if run is stream_raw:
+            command.add_argument("--any-line-end", action="store_true", help="captures with carriage returns, read by byte ranges")
     return root
 
 

@@ -21,7 +21,8 @@ EVENT_FIELDS = ["user_id", "domain", "created_at", "page_title"]
 Fields = dict[str, Callable[[Column], Column]]
 
 LINE_END = r"\r\n|\r|\n"
-BLANK_LINE = rf"(?U)(?:{LINE_END})[\s&&[^\r\n]]*(?:{LINE_END})"
+# a line end is taken as a whole: the two signs of one are no blank line
+BLANK_LINE = rf"(?U)(?>{LINE_END})[\s&&[^\r\n]]*(?>{LINE_END})"
 
 
 def sse_payloads(chunks: DataFrame) -> DataFrame:

@@ -59,7 +59,12 @@ def _loads(spark: SparkSession, path: str) -> dict[str, int]:
     return {load.removeprefix("load="): int(version.removeprefix("version=")) for version, load in folders}
 
 
-def write_version(df: DataFrame, path: str, load: str | None = None, partition_by: Sequence[str] = ()) -> int:
+def blooms(*columns: str) -> dict[str, str]:
+    """Write options for Bloom filters, by which lookups on columns out of order skip row groups."""
+    return {f"parquet.bloom.filter.enabled#{c}": "true" for c in columns}
+
+
+def write_version(df: DataFrame, path: str, load: str | None = None, partition_by: Sequence[str] = (), **options: str) -> int:
     """Write one load of a keyed table and return its version.
 
     A load without a name is a new one; a named one that was written before
@@ -68,7 +73,7 @@ def write_version(df: DataFrame, path: str, load: str | None = None, partition_b
     load = f"l-{load or uuid.uuid4().hex}"
     loads = _loads(df.sparkSession, path)
     version = loads.get(load, max(loads.values(), default=-1) + 1)
-    overwrite(df, f"{path}/version={version}/load={load}", partition_by=partition_by)
+    overwrite(df, f"{path}/version={version}/load={load}", partition_by=partition_by, **options)
     return version
 
 
@@ -85,10 +90,16 @@ def read_newest(spark: SparkSession, path: str, key: Sequence[str]) -> DataFrame
 
 
 def compact(
-    spark: SparkSession, path: str, key: Sequence[str], target: str, descending: Sequence[str] = ()
+    spark: SparkSession, path: str, key: Sequence[str], target: str, descending: Sequence[str] = ("review_date",)
 ) -> None:
-    """Write the current rows to a new table as its first load, laid out by key; later loads come after it."""
-    write_version(by_range(read_newest(spark, path, key), key, descending), target, "compacted")
+    """Write the current rows to a new table as its first load, laid out by key; later loads come after it.
+
+    The layout is that of the loads: a folder for each ``year_month`` where the key has one, and
+    ``descending`` columns of the key from the newest on.
+    """
+    order, months = [c for c in descending if c in key], [c for c in key if c == "year_month"]
+    write_version(by_range(read_newest(spark, path, key), key, order), target, "compacted", months, **(
+        blooms("review_id") if "review_id" in key else {}))
 
 
 def write_documents(star: Star, path: str, load: str | None = None, drop_existing: bool = False, **options: int) -> None:
@@ -188,7 +199,9 @@ def write_review_tables(clean: DataFrame, root: str, load: str | None = None) ->
         for name, frame in frames.items():
             key = REVIEW_TABLES[name]
             months = [c for c in key if c == "year_month"]
-            write_version(by_range(frame, key, ["review_date"]), f"{root}/{name}", load, months)
+            # a review is also looked up by its own id
+            options = blooms("review_id") if "review_id" in key else {}
+            write_version(by_range(frame, key, ["review_date"]), f"{root}/{name}", load, months, **options)
     finally:
         classes.unpersist()
         kept.unpersist()

@@ -150,3 +150,11 @@ def test_page_rows_and_table(spark, rows):
     assert rows(page_events.page_creations(typed)) == [("d", datetime(2024, 1, 1), "T", "5")]
     assert page_events.page_creations(typed).columns == ["domain", "created_at", "page_title", "user_id"]
     assert schemas.PROCESSED_EVENT.startswith("user_id")
+
+
+def test_line_ends_of_two_signs_are_no_blank_lines(spark):
+    """Events over several data lines, with each kind of line end."""
+    for end in ("\n", "\r", "\r\n"):
+        text = end.join(["event: m", 'data: {"a": 1,', 'data: "b": 2}', "", 'data: {"a": 3}', "", ""])
+        found = page_events.sse_payloads(spark.createDataFrame([(text,)], "value string"))
+        assert sorted(r.value for r in found.collect()) == ['{"a": 1,\n"b": 2}', '{"a": 3}']

@@ -89,6 +89,19 @@ def test_hex_id(spark, text, expected):
         assert raw.select(hex_bytes(F.col("b"))).first()[0] == expected
 
 
+def test_compacted_review_tables_keep_their_layout(spark, rows, folder):
+    """Month folders, and the newest review of a product first."""
+    months = spark.createDataFrame([("2015-01", "a", 1), ("2015-02", "b", 2)], "year_month string, customer_id string, review_count int")
+    write_version(months, f"{folder}/m", "one", ["year_month"])
+    compact(spark, f"{folder}/m", ["year_month", "customer_id"], f"{folder}/n")
+    found = spark.read.parquet(f"{folder}/n").filter("year_month = '2015-02'")
+    assert found.first().customer_id == "b" and "PartitionFilters: [isnotnull(year_month" in plan_of(found)
+    reviews = spark.createDataFrame([("p", date(2015, 1, d), str(d)) for d in (1, 3, 2)], "product_id string, review_date date, review_id string")
+    write_version(reviews.coalesce(1), f"{folder}/r", "one")
+    compact(spark, f"{folder}/r", ["product_id", "review_date", "review_id"], f"{folder}/s")
+    assert [r.review_id for r in spark.read.parquet(f"{folder}/s").coalesce(1).collect()] == ["3", "2", "1"]
+
+
 def raw_frames(spark):
     users = spark.createDataFrame(
         [(1, 30, "F", "PL", "a, b", date(2024, 1, 1)), (1, 20, "M", "PL", None, None), (2, 5, "F", "UA", "", None)],
