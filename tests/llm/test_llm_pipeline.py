@@ -59,7 +59,7 @@ def test_pipeline_of_odd_rows(spark, odd_docs, folder):
     found = corpus_pipeline.run(spark, written(folder, odd_docs, labels))
     texts = {(r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in odd_docs.collect() if any(map(str.isalpha, r.text or ""))}
     assert {r.doc_id for r in found.collect()} <= {i for i, _ in texts}
-    parts = found.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("whole"), F.count_if("start = 0").alias("texts"))
+    parts = found.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("whole"), F.count_if(F.col("start") == 0).alias("texts"))
     assert all(r.n == r.whole * r.texts for r in parts.collect())
 
 
