@@ -145,8 +145,12 @@ def test_training_uses_each_window_once(monkeypatch):
         for turn in range(lm_score.AVERAGES):
             for batch in lm_score.train(end_id, classes, prior, lm_score.initial(), turn)(iter([pa.RecordBatch.from_pylist([row])])):
                 seen += batch.column(2)[0].as_py()
-        every = lm_score.cut(lm_score.Streams.of(row, end_id, True).starts)[0]
+        starts = lm_score.Streams.of(row, end_id, True).starts
+        every, end, _ = lm_score.cut(starts, 0)
         assert sorted(used) == every.tolist() and seen == len(every)
+        # end to end: each place to predict from lies in one window
+        places = [p for a, b in zip(every.tolist(), end.tolist(), strict=True) for p in range(a, min(a + lm_score.WINDOW, b))]
+        assert places == [p for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) for p in range(a, b - 1)]
 
 
 def test_rare_pairs_of_a_large_corpus_are_found(spark):
