@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import os
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -234,3 +235,64 @@ def test_parser_reads_members_and_refuses_fragments():
         list(warc.parse(gzip.compress(record[:70])))
     with pytest.raises(ValueError):
         list(warc.parse(gzip.compress(b"x" + record)))
+
+
+def test_archives_are_read_by_ranges(spark, folder):
+    """A file splits at any byte: every record is read once, also where a payload holds the end mark itself."""
+    rows = [(i, f"http://s/{i}", f"<p>{i}</p>" * (i * 37 % 61)) for i in range(200)]
+    warc.write_archive(warc.resolve(warc.page_records(pages(spark, rows)).coalesce(1)), f"{folder}/split")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        for size in ("211", "997", "4096"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            back = warc.read_archive(spark, f"{folder}/split", payloads=True)
+            assert back.rdd.getNumPartitions() > 3
+            found = Counter((r.page_id, r.payload) for r in back.filter("record_type = 'response'").collect())
+            assert found == Counter((i, h) for i, _, h in rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_a_member_never_holds_the_end_mark():
+    noise = bytes(zlib.crc32(struct.pack("<I", i)) & 255 for i in range(70_000))
+    for body in (warc.END, noise + warc.END + noise, warc.END * 1000, b""):
+        packed = warc.member(b"head", body)
+        assert warc.END not in packed and gzip.decompress(packed + warc.END) == b"head" + body
+
+
+def foreign(kind, ident, block, *lines, http=True):
+    head = [b"WARC/1.0", b"WARC-Type: " + kind, b"WARC-Record-ID: " + ident, *lines,
+            *[b"Content-Type: application/http; msgtype=response"] * http, b"Content-Length: %d" % len(block)]
+    return gzip.compress(b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_foreign_archives_keep_what_they_hold(spark, folder):
+    """Other types, encodings, statuses, dates and unresolved revisits stay; repeats become revisits."""
+    body = b"<p>\xe4\xf6\xfc\xff</p>" * 200
+    found, moved = b"HTTP/1.1 404 Not Found\r\nX-A: \xe9\r\n\r\n", b"HTTP/1.1 200 Fine\r\nServer: s\r\n\r\n"
+    records = [
+        foreign(b"warcinfo", b"<i>", b"software: x\r\n", http=False),
+        foreign(b"request", b"<q>", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", b"WARC-Target-URI: http://a"),
+        foreign(b"response", b"<1>", found + body, b"WARC-Target-URI: http://a", b"WARC-Date: 2020-01-01T00:00:00Z"),
+        foreign(b"response", b"<2>", moved + body, b"WARC-Target-URI: http://b", b"WARC-Date: 2021-02-03T04:05:06Z",
+                b"WARC-IP-Address: 10.0.0.1"),
+        foreign(b"revisit", b"<3>", moved, b"WARC-Target-URI: http://c", b"WARC-Refers-To: <1>"),
+        foreign(b"revisit", b"<4>", moved, b"WARC-Target-URI: http://d", b"WARC-Refers-To: <gone>"),
+        foreign(b"resource", b"<5>", body, b"WARC-Target-URI: file:///x", http=False),
+    ]
+    os.makedirs(f"{folder}/foreign")
+    with open(f"{folder}/foreign/a.warc.gz", "wb") as file:
+        file.write(b"".join(records))
+    warc.rewrite_archive(spark, f"{folder}/foreign", f"{folder}/ours")
+    rows = {r.record_id: r for r in warc.read_records(spark, f"{folder}/ours").collect()}
+    assert set(rows) == {"<i>", "<q>", "<1>", "<2>", "<3>", "<4>", "<5>"}
+    assert {k: r.record_type for k, r in rows.items()} == {
+        "<i>": "warcinfo", "<q>": "request", "<1>": "revisit", "<2>": "response", "<3>": "revisit", "<4>": "revisit",
+        "<5>": "resource"}
+    assert bytes(rows["<2>"].payload) == body and bytes(rows["<5>"].payload) == body and not rows["<1>"].payload
+    assert bytes(rows["<1>"].http) == found and bytes(rows["<2>"].http) == moved
+    assert rows["<1>"].date == "2020-01-01T00:00:00Z" and rows["<2>"].rest == "WARC-IP-Address: 10.0.0.1\r\n"
+    assert rows["<1>"].refers_to_record == "<2>" and rows["<3>"].refers_to_record == "<2>"
+    assert rows["<4>"].refers_to_record == "<gone>" and bytes(rows["<i>"].payload) == b"software: x\r\n"
