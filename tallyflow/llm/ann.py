@@ -6,18 +6,20 @@ graph has levels drawn from the usual geometric distribution; at each level a no
 taken before) and gets links back, thinned by the same rule. The graph is kept as flat arrays: one
 array of neighbour numbers per level, rows of fixed width.
 
-Every query block visits every shard and walks down the levels with a beam, wider at the lowest one; the
-shards' results are merged by distance. Queries go in blocks and shards are of a set size, so a task
-holds one shard and one block.
+Every query visits every shard and walks down the levels with a beam, wider at the lowest one; the
+shards' results are merged by distance. Shards are of a set size and stay where they are: the queries, which
+are fewer, are sent to them and stream past in blocks, so a task holds one shard and one block.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -215,6 +217,38 @@ def index_shards(distinct: DataFrame, shards: int, links: int = LINKS, candidate
     return dealt.groupBy("shard").applyInPandas(run, "shard int, graph binary, vectors binary, keys binary, size int")
 
 
+HITS = pa.schema([("query_id", pa.int64()), ("vector_key", pa.int64()), ("score", pa.float64())])
+
+
+def visit(found: int, beam: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of a shard followed by its queries to the ``found`` nodes near each query, in blocks of queries."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, graph, vectors, keys = None, None, None, None
+        for batch in batches:
+            shards = batch.column("shard").to_numpy()
+            heads = np.flatnonzero(~np.asarray(batch.column("graph").is_null().to_numpy(zero_copy_only=False)))
+            for start, end in zip([0, *heads], [*heads, batch.num_rows], strict=True):
+                if start < end and batch.column("graph")[int(start)].is_valid:
+                    row = batch.slice(int(start), 1).to_pylist()[0]
+                    number, graph = row["shard"], pickle.loads(row["graph"])
+                    vectors = np.frombuffer(row["vectors"], np.float64).reshape(row["size"], -1)
+                    keys = np.frombuffer(row["keys"], np.int64)
+                    start += 1
+                # the queries of a shard without vectors meet nothing
+                mine = start + np.flatnonzero(shards[start:end] == number)
+                for at in range(0, len(mine), BLOCK_ROWS):
+                    asked = batch.take(pa.array(mine[at : at + BLOCK_ROWS]))
+                    points = asked.column("vector").flatten().to_numpy().reshape(asked.num_rows, -1)
+                    near = search(graph, vectors, points, min(found, len(keys)), beam)
+                    q, place = np.nonzero(near != EMPTY)
+                    hit = near[q, place]
+                    score = np.sqrt(((vectors[hit] - points[q]) ** 2).sum(1))
+                    yield pa.RecordBatch.from_arrays(
+                        [asked.column("query_id").take(pa.array(q)), pa.array(keys[hit]), pa.array(score)], schema=HITS)
+
+    return run
+
+
 def nearest(
     vectors: DataFrame, every: int = 100, k: int = 10, shard_rows: int = SHARD_ROWS, beam: int = BEAM,
 ) -> DataFrame:
@@ -236,28 +270,17 @@ def nearest(
     shards = max(1, -(-count // shard_rows))
     index = stored(index_shards(groups.select("vector_key", "vector"), shards), "graphs")
     queries = rows.filter(F.pmod(F.col("vec_id"), F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "vector")
-    blocks = max(1, -(-queries.count() // BLOCK_ROWS))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    # a task: one shard, one block of queries
-    asked = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    there = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def run(key: tuple, asked: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(index):
-            return pd.DataFrame({"query_id": [], "vector_key": [], "score": []})
-        shard = index.iloc[0]
-        vectors = np.frombuffer(shard["vectors"], np.float64).reshape(shard["size"], -1)
-        keys = np.frombuffer(shard["keys"], np.int64)
-        points = np.stack(asked["vector"].to_list())
-        # k + 1: one of the nodes may hold the query alone
-        found = search(pickle.loads(shard["graph"]), vectors, points, min(k + 1, len(keys)), beam)
-        q, place = np.nonzero(found != EMPTY)
-        hit = found[q, place]
-        score = np.sqrt(((vectors[hit] - points[q]) ** 2).sum(1))
-        return pd.DataFrame({"query_id": asked["query_id"].to_numpy()[q], "vector_key": keys[hit], "score": score})
-
-    hits = asked.groupBy("shard", "block").cogroup(there.groupBy("shard", "block")).applyInPandas(
-        run, "query_id long, vector_key long, score double")
+    # where shards are fewer than the cores, several copies of each share its queries
+    lanes = max(1, -(-spark.sparkContext.defaultParallelism // shards))
+    lane = F.pmod(F.xxhash64("query_id"), F.lit(lanes)).cast("int")
+    asked = queries.select(
+        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), lane.alias("lane"),
+        F.col("query_id").cast("long").alias("query_id"), "vector")
+    there = index.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    rows_by_shard = there.unionByName(asked, allowMissingColumns=True).repartition("shard", "lane")
+    # k + 1: one of the nodes may hold the query alone
+    hits = rows_by_shard.sortWithinPartitions("shard", "lane", F.col("graph").isNull()).mapInArrow(
+        visit(k + 1, beam), "query_id long, vector_key long, score double")
     hits = stored(hits, "hits").join(groups.select("vector_key", F.explode("ids").alias("vec_id")), "vector_key")
     hits = hits.filter(F.col("vec_id") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
