@@ -1,11 +1,12 @@
 """Sharding, packing, encoding and archives."""
 
+import bisect
 import gzip
 import hashlib
 import os
 import struct
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
 
 import numpy as np
 import public_tokenizers
@@ -61,6 +62,44 @@ def test_shards_of_odd_rows(odd_docs, no_docs):
     assert sharding.shard_rows(no_docs).count() == 0
 
 
+def simulated_ring(positions, shards, nodes):
+    """Counter of (home shard, shard) when single rows walk the ring: home while there is room, then clockwise, oldest first."""
+    points = sharding.ring_points(shards, nodes)
+    starts, owners = [p for p, _ in points], [s for _, s in points]
+    room = [len(positions) // shards + (s < len(positions) % shards) for s in range(shards)]
+    found, over = Counter(), defaultdict(int)
+    for arc in sorted(bisect.bisect_left(starts, p) % len(points) for p in positions):
+        home = owners[arc]
+        if room[home]:
+            room[home] -= 1
+            found[home, home] += 1
+        else:
+            over[arc] += 1
+    waiting = deque()
+    for lap in range(2):
+        for arc, shard in enumerate(owners):
+            waiting.extend([owners[arc]] * (over[arc] if lap == 0 else 0))
+            while waiting and room[shard]:
+                room[shard] -= 1
+                found[waiting.popleft(), shard] += 1
+    assert not waiting
+    return found
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_shards_equal_a_simulated_ring(spark, sample, hot):
+    """Every row, shard by shard; with ``hot`` a third of the rows are copies of one."""
+    docs = sample("documents").select("doc_id", "text")
+    if hot:
+        docs = docs.unionByName(docs.limit(1).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(100)))).drop("n"))
+    found = sharding.shard_rows(docs, 7, 16).collect()
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    positions = [r.p for r in docs.select(F.xxhash64("doc_id", crc).alias("p")).collect()]
+    assert Counter((r.home_shard, r.shard) for r in found) == simulated_ring(positions, 7, 16)
+    for shard, n in Counter(r.shard for r in found).items():
+        assert sorted(r.slot for r in found if r.shard == shard) == list(range(n))
+
+
 def test_shards_use_no_python(sample):
     plan = sharding.shard_rows(sample("documents"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
