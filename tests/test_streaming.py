@@ -98,6 +98,22 @@ def test_minute_files_take_each_batch_once(spark, rows, folder):
     assert open(f"{folder}/tweets_{one}.csv").read().count("author_id") == 1
 
 
+def test_minute_files_cost_little_each(spark, rows, folder, monkeypatch):
+    """Parts by hour, not by minute, and no file context (a process for each file on a local disk) to rename a file."""
+    def refuse(*names):
+        raise AssertionError(names)
+
+    monkeypatch.setattr(commits, "_rename", refuse)
+    minutes_ = [f"05_01_2024_{10 + h}_{m:02d}" for h in range(2) for m in range(15)]
+    frame = spark.createDataFrame([(m, "2024-01-05T10:00:00", "t", m) for m in minutes_],
+                                  "author_id string, created_at string, text string, minute string")
+    minutes.add_rows(frame, folder, "q-0")
+    minutes.add_rows(frame.filter("minute < '05_01_2024_10_03'"), folder, "q-1")
+    assert len(commits.names(spark, f"{folder}/_parts/q-0/of=*")) == 2
+    found = {r.minute: r["count"] for r in minutes.read_minutes(spark, folder).groupBy("minute").count().collect()}
+    assert found == {m: 1 + (m < "05_01_2024_10_03") for m in minutes_}
+
+
 def test_repeated_messages_arrive_once(spark, rows, folder):
     """Repeats within a batch, in a later batch and after a restart go; old content does not matter."""
     topic, out, checkpoint = (f"{folder}/{n}" for n in ("in", "out", "c"))
