@@ -5,8 +5,10 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from checks import registry
 from tallyflow.plans.star import load_star
 from tallyflow.session import scratch_folder
+from tallyflow.sinks import commits
 from tallyflow.sinks.reports import plain, write_reports
 from tallyflow.sources import files
 
@@ -94,3 +96,9 @@ def test_scratch_folder_is_below_the_shared_one(spark):
     first, second = scratch_folder(spark, "a"), scratch_folder(spark, "a")
     assert first != second
     assert first.startswith(root or "/tmp/run-")
+
+
+def test_one_file_is_written_out_of_many_tasks(spark, folder):
+    registry.one_file(spark.range(0, 40, 1, 4).select(F.spark_partition_id().alias("task")), folder + "/one")
+    assert len(commits.names(spark, f"{folder}/one/part-*")) == 1
+    assert spark.read.option("header", "true").csv(f"{folder}/one").distinct().count() == 4
