@@ -11,6 +11,8 @@ from tallyflow.operators.keyed import (
     duplicate_keys, first_per_key, insert_ignore, last_per_key, newest_version, surrogate_ids, upsert)
 from tallyflow.plans import reports
 from tallyflow.plans.reports import with_clicks
+from tallyflow.operators import keyed
+from tallyflow.plans import reviews
 from tallyflow.plans.star import (
     fact_clicks, fact_impressions, load_advertisers, load_campaigns, load_clicks, load_facts, load_impressions, load_star)
 from tallyflow.sinks.star_tables import read_star_table, write_star
@@ -226,3 +228,20 @@ def test_hot_keys_are_split_at_run_time(spark, rows, folder):
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert "skew=true" in plan
+
+
+def test_newest_row_moves_rows_once(spark, rows):
+    frame = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c"), (None, 1, "d")], "k int, version int, v string")
+    newest = keyed.newest_row(frame, ["k"])
+    assert rows(newest) == rows(keyed.newest_version(frame, ["k"])) == [(1, 1, "b"), (2, 0, "c")]
+
+
+def test_review_rows_without_repeats_are_not_grouped(spark, rows):
+    columns = sorted({c for c in reviews.REVIEW_COLUMNS})
+    frame = spark.createDataFrame([[f"{c}{i}" if c != "review_id" else r for c in columns]
+                                   for i, r in enumerate(("x", "y", "y", "y"))], columns)
+    frame = frame.unionByName(frame)
+    whole = frame.unionByName(frame.filter("review_id = 'x'").withColumn("review_id", F.lit("z")).limit(1))
+    repeated = reviews.repeated_reviews(whole)
+    assert rows(repeated) == [("x",), ("y",)]
+    assert rows(reviews.reviews_by_product_table(whole, repeated)) == rows(reviews.reviews_by_product_table(whole))
