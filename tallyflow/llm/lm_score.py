@@ -363,34 +363,57 @@ def initial(seed: int = 4) -> np.ndarray:
     return np.concatenate(parts).astype(np.float32)
 
 
+@functools.cache
+def _layout() -> list[tuple[str, tuple[int, ...], slice]]:
+    """(name, shape, place among all) of the parameters."""
+    ends = np.cumsum([np.prod(shape) for shape in shapes().values()]).tolist()
+    return [(name, shape, slice(at, end)) for (name, shape), at, end in zip(shapes().items(), [0, *ends], ends, strict=False)]
+
+
 def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for name, shape in shapes().items():
-        size = int(np.prod(shape))
-        out[name] = flat[at : at + size].reshape(shape)
-        at += size
-    return out
+    return {name: flat[at].reshape(shape) for name, shape, at in _layout()}
 
 
 #: Which places a place sees: itself and those before it.
 SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+#: A projection's columns: query, key, value, a one beside the value, skip.
+QUERY, KEY, VALUE = (slice(i * DEPTH, (i + 1) * DEPTH) for i in range(3))
+VALUE_ONE, SKIP = slice(2 * DEPTH, 3 * DEPTH + 1), slice(3 * DEPTH + 1, 4 * DEPTH + 1)
+
+
+def _joint(p: dict[str, np.ndarray]) -> np.ndarray:
+    kind = p["embed"].dtype
+    return np.concatenate([p["query"] * kind.type(DEPTH**-0.5), p["key"], p["value"], np.zeros((DEPTH, 1), kind), p["skip"]], axis=1)
 
 
-def attend(p: dict[str, np.ndarray], context: np.ndarray) -> tuple:
-    """Hidden state at every place of windows of context classes, and what the way back needs."""
-    x = p["embed"][context] + p["place"]
-    joint = np.concatenate([p["query"] * DEPTH**-0.5, p["key"], p["value"], p["skip"]], axis=1).astype(x.dtype)
-    q, k, v, skip = np.split((x.reshape(-1, DEPTH) @ joint).reshape(*context.shape, -1), 4, axis=-1)
-    a = q @ k.transpose(0, 2, 1)
+def projections(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """What each context class and each place of a window give to the projection, which is their sum."""
+    joint = _joint(p)
+    place = p["place"] @ joint
+    place[:, 3 * DEPTH] = 1
+    return p["embed"] @ joint, place
+
+
+def attend(p: dict[str, np.ndarray], context: np.ndarray, skip: int = 0, made: tuple[np.ndarray, np.ndarray] | None = None) -> tuple:
+    """Hidden state at the places of windows of context classes after the first ``skip``, and what the way back needs."""
+    embed, place = made or projections(p)
+    z = embed.take(context.ravel(), axis=0).reshape(*context.shape, -1)
+    z += place
+    a = z[:, skip:, QUERY] @ z[:, :, KEY].transpose(0, 2, 1)
     # far beyond any trained value; keeps the plain exponential finite
-    np.minimum(a, 60, out=a)
+    if a.size and a.max() > 60:
+        np.minimum(a, 60, out=a)
     np.exp(a, out=a)
-    a *= SEEN
-    ones = np.ones((*context.shape, 1), x.dtype)
-    mixed = a @ np.concatenate([v, ones], axis=-1)
-    total = mixed[..., -1:]
-    h = np.tanh(mixed[..., :-1] / total + skip)
-    return x, q, k, v, a, total, h
+    a *= SEEN[skip:]
+    mixed = a @ z[:, :, VALUE_ONE]
+    total = mixed[..., DEPTH:]
+    mean = mixed[..., :DEPTH] / total
+    return z, a, total, mean, np.tanh(mean + z[:, skip:, SKIP])
+
+
+def _high(out: np.ndarray) -> bool:
+    """Whether logits could be too large for a plain exponential: states are bounded and the prior is at most 0."""
+    return np.abs(out).sum(0).max(initial=0) > 60
 
 
 def log_chances(p: dict[str, np.ndarray], prior: np.ndarray, before: np.ndarray, hidden: np.ndarray, target: np.ndarray) -> tuple:
@@ -399,8 +422,9 @@ def log_chances(p: dict[str, np.ndarray], prior: np.ndarray, before: np.ndarray,
     logits = np.ascontiguousarray(hidden).reshape(-1, DEPTH) @ p["out"]
     logits += prior.take(before.ravel(), axis=0)
     at = logits[np.arange(len(logits)), target.ravel()]
-    # states are bounded and the prior is at most 0: the plain exponential is finite
-    np.exp(np.minimum(logits, 60, out=logits), out=logits)
+    if _high(p["out"]):
+        np.minimum(logits, 60, out=logits)
+    np.exp(logits, out=logits)
     starting = np.zeros((NEXT, 2), logits.dtype)
     starting[:, 0], starting[:STARTS, 1] = 1, 1
     total, start = np.log(logits @ starting + 1e-30).T
@@ -409,38 +433,51 @@ def log_chances(p: dict[str, np.ndarray], prior: np.ndarray, before: np.ndarray,
 
 def gradient(p: dict[str, np.ndarray], prior: np.ndarray, before: np.ndarray, context: np.ndarray, target: np.ndarray, scored: np.ndarray) -> tuple[np.ndarray, float]:
     """Gradient of the mean loss over scored places, end to end, and that loss."""
-    x, q, k, v, a, total, h = attend(p, context)
-    a = a / total
+    z, a, total, mean, h = attend(p, context)
     flat = lambda m: m.reshape(-1, m.shape[-1])
     at = np.flatnonzero(scored)
-    hidden = flat(h)[at]
-    chances = hidden @ p["out"]
-    chances += prior.take(before.ravel()[at], axis=0)
-    chances -= chances.max(-1, keepdims=True)
+    hidden, out, places = flat(h).take(at, axis=0), p["out"], max(1, len(at))
+    chances = hidden @ out
+    chances += prior.take(before.ravel().take(at), axis=0)
+    if _high(out):
+        chances -= chances.max(-1, keepdims=True)
+    own = (np.arange(len(at)), target.ravel().take(at))
+    taken = chances[own]
     np.exp(chances, out=chances)
-    chances /= chances.sum(-1, keepdims=True)
-    own = (np.arange(len(at)), target.ravel()[at])
-    loss = -float(np.log(np.maximum(chances[own], 1e-20)).mean()) if len(at) else 0.0
-    chances[own] -= 1
-    chances /= max(1, len(at))
-    g = {"out": hidden.T @ chances}
-    d_g = np.zeros_like(h)
-    flat(d_g)[at] = chances @ p["out"].T
-    d_g *= 1 - h * h
-    g["skip"] = flat(x).T @ flat(d_g)
-    d_a = d_g @ v.transpose(0, 2, 1)
-    d_v = a.transpose(0, 2, 1) @ d_g
-    d_s = a * (d_a - (d_a * a).sum(-1, keepdims=True))
-    # q came scaled
-    d_q, d_k = d_s @ k * np.float32(DEPTH**-0.5), d_s.transpose(0, 2, 1) @ q
-    g["query"], g["key"], g["value"] = flat(x).T @ flat(d_q), flat(x).T @ flat(d_k), flat(x).T @ flat(d_v)
-    d_x = d_g @ p["skip"].T + d_q @ p["query"].T + d_k @ p["key"].T + d_v @ p["value"].T
-    g["place"] = d_x.sum(0)
+    mass = chances @ np.ones(chances.shape[1], chances.dtype)
+    loss = float((np.log(mass) - taken).mean()) if len(at) else 0.0
+    # rows are divided by their mass on the narrow side
+    chances[own] -= mass
+    share = (1 / (mass * places))[:, None]
+    g = {"out": (hidden * share).T @ chances}
+    d_hidden = np.zeros((h.size // DEPTH, DEPTH), h.dtype)
+    d_hidden[at] = (chances @ out.T) * share
+    # gradients of query, key, value (and a column beside it) and skip
+    d_z = np.empty_like(z)
+    d_h = d_z[..., SKIP]
+    np.multiply(d_hidden.reshape(h.shape), 1 - h * h, out=d_h)
+    # a weight's gradient is that of its share less the mean of these, which rides along against the column of ones
+    d_v = np.empty((*h.shape[:2], DEPTH + 1), h.dtype)
+    np.divide(d_h, total, out=d_v[..., :DEPTH])
+    np.negative(np.einsum("wid,wid->wi", d_v[..., :DEPTH], mean), out=d_v[..., DEPTH])
+    d_a = d_v @ z[..., VALUE_ONE].transpose(0, 2, 1)
+    d_a *= a
+    np.matmul(d_a, z[..., KEY], out=d_z[..., QUERY])
+    np.matmul(d_a.transpose(0, 2, 1), z[..., QUERY], out=d_z[..., KEY])
+    np.matmul(a.transpose(0, 2, 1), d_v, out=d_z[..., VALUE_ONE])
+    d_z[..., 3 * DEPTH] = 0
+    x = p["embed"].take(context.ravel(), axis=0).reshape(h.shape)
+    x += p["place"]
+    joined = flat(x).T @ flat(d_z)
+    # query came scaled
+    g["query"], g["key"], g["value"], g["skip"] = joined[:, QUERY] * h.dtype.type(DEPTH**-0.5), joined[:, KEY], joined[:, VALUE], joined[:, SKIP]
+    d_x = flat(d_z) @ _joint(p).T
+    g["place"] = d_x.reshape(h.shape).sum(0)
     g["embed"] = np.zeros_like(p["embed"])
-    order = np.argsort(context.ravel(), kind="stable")
-    own = context.ravel()[order]
+    order = np.argsort(context.ravel().astype(np.uint16), kind="stable")
+    own = context.ravel().take(order)
     first = np.flatnonzero(np.diff(own, prepend=-1))
-    g["embed"][own[first]] = np.add.reduceat(flat(d_x)[order], first, axis=0)
+    g["embed"][own.take(first)] = np.add.reduceat(d_x.take(order, axis=0), first, axis=0)
     return np.concatenate([g[name].ravel() for name in shapes()]).astype(np.float32), loss
 
 
@@ -460,10 +497,8 @@ def cut(starts: np.ndarray, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndar
 
 def _windows(ids: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
     """(id, id to predict, whether there is one) at the places of windows."""
-    at = first[:, None] + np.arange(WINDOW)
-    real = at < end[:, None]
-    at = np.minimum(at, len(ids) - 2)
-    return ids[at], ids[at + 1], real
+    found = ids.take(first[:, None] + np.arange(WINDOW + 1), mode="clip")
+    return found[:, :-1], found[:, 1:], np.arange(WINDOW) < (end - first)[:, None]
 
 
 def train(end_id: int, classes: Classes, prior: np.ndarray, start: np.ndarray, turn: int):
@@ -484,14 +519,16 @@ def train(end_id: int, classes: Classes, prior: np.ndarray, start: np.ndarray, t
                 for at in range(0, len(chosen), TRAIN_STEP):
                     some = chosen[at : at + TRAIN_STEP]
                     before, target, real = _windows(stream.ids, first[some], end[some])
-                    change, _ = gradient(unpack(flat), prior, before, classes.context[before], classes.next[target], real)
+                    change, _ = gradient(unpack(flat), prior, before, classes.context.take(before), classes.next.take(target), real)
                     steps += 1
                     seen += len(some)
-                    mean = 0.9 * mean + 0.1 * change
-                    square = 0.99 * square + 0.01 * change * change
+                    mean += 0.1 * (change - mean)
+                    change *= change
+                    square += 0.01 * (change - square)
                     rate = 0.02 / (1 + steps / 100)
-                    flat = flat - rate * (mean / (1 - 0.9**steps)) / (np.sqrt(square / (1 - 0.99**steps)) + 1e-8)
-                    flat = flat.astype(np.float32)
+                    root = np.sqrt(square / (1 - 0.99**steps))
+                    root += 1e-8
+                    flat -= rate / (1 - 0.9**steps) * mean / root
         if seen:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(len(flat))), pa.array(flat.astype(np.float64) * seen), pa.array(np.full(len(flat), seen))],
@@ -515,6 +552,7 @@ class Model:
     def class_logs(self, stream: Streams) -> tuple[np.ndarray, np.ndarray]:
         """Log chances, by the attention model, of the class at every place but the first of a text, and of a word's start."""
         p = unpack(self.parameters)
+        made = projections(p)
         first, end, text = cut(stream.starts)
         new = np.concatenate([[True], text[1:] != text[:-1]]) if len(text) else np.zeros(0, bool)
         out, starting = np.zeros(len(stream.ids), np.float32), np.zeros(len(stream.ids), np.float32)
@@ -522,9 +560,9 @@ class Model:
             for at in range(0, len(group), STEP):
                 some = group[at : at + STEP]
                 before, target, real = _windows(stream.ids, first[some], end[some])
-                hidden = attend(p, self.classes.context[before])[-1][:, skip:]
+                hidden = attend(p, self.classes.context.take(before), skip, made)[-1]
                 real = real[:, skip:]
-                found, start = log_chances(p, self.prior, before[:, skip:], hidden, self.classes.next[target[:, skip:]])
+                found, start = log_chances(p, self.prior, before[:, skip:], hidden, self.classes.next.take(target[:, skip:]))
                 places = (first[some][:, None] + np.arange(skip + 1, WINDOW + 1))[real]
                 out[places], starting[places] = found[real], start[real]
         return out, starting

@@ -104,6 +104,17 @@ def test_attention_sees_no_future_and_chances_add_up():
     assert np.allclose(np.exp(every[: lm_score.STARTS]).sum(0), np.exp(starting), atol=1e-4)
 
 
+def test_places_that_are_context_only_change_no_state():
+    """States after the first places of a window, asked alone, are those of the whole window, whose projections may be made before."""
+    draw = np.random.default_rng(6)
+    flat = lm_score.initial() + draw.standard_normal(len(lm_score.initial())).astype(np.float32) * 0.1
+    p = lm_score.unpack(flat)
+    context = draw.integers(0, 20, (3, lm_score.WINDOW))
+    whole = lm_score.attend(p, context)[-1]
+    for skip in (0, lm_score.OVERLAP):
+        assert np.allclose(lm_score.attend(p, context, skip, lm_score.projections(p))[-1], whole[:, skip:], atol=1e-6)
+
+
 def test_gradient_equals_differences():
     draw = np.random.default_rng(2)
     flat = (lm_score.initial() + draw.standard_normal(len(lm_score.initial())) * 0.2).astype(np.float64)
