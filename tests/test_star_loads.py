@@ -105,3 +105,36 @@ def test_two_loads_at_once(spark, folder):
     assert read_star_table(spark, folder, "shown").count() == 4
     write_star(*frames, folder)
     assert read_star_table(spark, folder, "shown").count() == 4
+
+
+def test_documents_by_load_put_their_events_together_once(spark, folder, monkeypatch):
+    """Both loads read stored events, not the tables these are made from; a repeated event stays repeated."""
+    from checks import registry
+
+    frames = {
+        "nation": ("n_nationkey int, n_name string, n_regionkey int", [(0, "NATION_0", 0)]),
+        "supplier": ("s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double", [(1, "Supplier#1", 0, 5.0), (2, "Supplier#2", 0, None)]),
+        "customer": ("c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+                     [(i, f"c{i}", 0, 1.0, "AUTO") for i in (1, 2, 3)]),
+        "events": ("event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string", [
+            (i, datetime(2024, 1, day, 10, 0, i), user, kind, 1.5, '{"k": 1}') for i, day, user, kind in
+            ((1, 5, 1, "click"), (2, 5, 2, "view"), (3, 31, 3, "click"), (3, 31, 3, "click"), (4, 31, 2, "click"))]
+            + [(5, None, 1, "view", None, '{"k": 2}'), (None, datetime(2024, 1, 6), 1, "click", 1.0, '{"k": 2}')]),
+    }
+    for name, (schema, values) in frames.items():
+        spark.createDataFrame(values, schema).write.parquet(f"{folder}/{name}.parquet")
+    read, counts = [], []
+    write = registry.star_tables.write_star
+
+    def watched(users, campaigns, events, root):
+        read.append(events.inputFiles())
+        counts.append(events.count())
+        return write(users, campaigns, events, root)
+
+    monkeypatch.setattr(registry.star_tables, "write_star", watched)
+    found = registry.REGISTRY["documents_by_load"](spark, folder)
+    assert sorted(r.impression_id[-1] for r in found.collect()) == ["1", "2", "3", "4", "5"]
+    assert len(read) == 2 and not any(folder in name for names in read for name in names)
+    # the repeated click meets itself twice; the first load takes the events before its time
+    made = registry.data.star_events(spark, folder)
+    assert counts == [made.filter(made.Timestamp < registry.ASOF).count(), made.count()]
