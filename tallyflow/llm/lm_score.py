@@ -55,8 +55,8 @@ STARTS = OWN_START + START_BANDS
 NEXT = STARTS + OWN_INNER + INNER_BANDS
 DEPTH = 16
 WINDOW, OVERLAP = 32, 8
-#: Windows scored together.
-STEP = 128
+#: Windows scored together (their arrays fit a core's cache), and windows looked up together.
+STEP, LOOKUP = 64, 2048
 #: Training: windows of a step, averages. Each average is over the windows with one remainder by their number.
 TRAIN_STEP, AVERAGES = 32, 2
 #: Weight, in counts, of the classes' shares in the prior.
@@ -253,13 +253,16 @@ def _cells(name: str, cells: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
 
 
 def count_ids(end_id: int):
-    """(id, n) over the learning texts of blocks; the end id counts once for each text."""
+    """(id, n) over the learning texts of blocks, by the times of their words; the end id counts once for each text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                stream = Streams.of(row, end_id, True)
-                counts = np.bincount(stream.ids, minlength=end_id + 1)
-                counts[end_id] = len(stream.starts) - 1
+                learning, words = np.frombuffer(row["learning"], bool), unpack_numbers(row["sizes"], "<i4")
+                pieces, lengths = unpack_numbers(row["pieces"], "<u2"), unpack_numbers(row["lengths"], "<i4")
+                codes = unpack_numbers(row["codes"], "<i4")[np.repeat(learning, words)]
+                times = np.repeat(np.bincount(codes, minlength=len(lengths)), lengths)
+                counts = np.bincount(pieces, weights=times, minlength=end_id + 1).astype(np.int64)
+                counts[end_id] = np.count_nonzero(learning)
                 yield _cells("id", np.flatnonzero(counts), counts[counts > 0])
 
     return run
@@ -331,10 +334,12 @@ class Following:
             at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
             return [np.where(keys[at] == wanted, v[at], 0.0) for v in values]
 
-        before = before.astype(np.int64)
-        [known] = find(self.pairs, before * len(self.classes.next) + after, self.counts)
+        # each pair once and in order, so that neighbours are found near each other
+        pairs, back = np.unique(before.astype(np.int64) * len(self.classes.next) + after, return_inverse=True)
+        before, after = np.divmod(pairs, len(self.classes.next))
+        [known] = find(self.pairs, pairs, self.counts)
         mass, kinds = find(self.groups, before * NEXT + self.classes.next[after], self.mass, self.kinds)
-        return np.log((known + (kinds + 1) * self.classes.share[after]) / (mass + kinds + 1))
+        return np.log((known + (kinds + 1) * self.classes.share[after]) / (mass + kinds + 1))[back]
 
 
 def smoothed(table: np.ndarray, classes: Classes, mass: np.ndarray) -> np.ndarray:
@@ -376,109 +381,126 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
 
 #: Which places a place sees: itself and those before it.
 SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
-#: A projection's columns: query, key, value, a one beside the value, skip.
-QUERY, KEY, VALUE = (slice(i * DEPTH, (i + 1) * DEPTH) for i in range(3))
-VALUE_ONE, SKIP = slice(2 * DEPTH, 3 * DEPTH + 1), slice(3 * DEPTH + 1, 4 * DEPTH + 1)
+#: Exponentials are taken as powers of two, which numpy makes in half the time.
+LOG2E, LN2 = float(np.log2(np.e)), float(np.log(2))
+#: Products with these sum up rows: once for each column; all classes, and those that begin a word.
+ONES = np.ones((max(WINDOW, NEXT), DEPTH), np.float32)
+STARTING = np.ascontiguousarray(np.stack([np.ones(NEXT), np.arange(NEXT) < STARTS], 1), np.float32)
+#: Where the gradient of each context class stands.
+EMBED_CELLS = np.arange((OWN_CONTEXT + BANDS) * DEPTH).reshape(-1, DEPTH)
+
+
+def projections(p: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Weights of query, key, value and skip, the query's scaled for attention in powers of two."""
+    return p["query"] * p["query"].dtype.type(DEPTH**-0.5 * LOG2E), p["key"], p["value"], p["skip"]
 
 
-def _joint(p: dict[str, np.ndarray]) -> np.ndarray:
-    kind = p["embed"].dtype
-    return np.concatenate([p["query"] * kind.type(DEPTH**-0.5), p["key"], p["value"], np.zeros((DEPTH, 1), kind), p["skip"]], axis=1)
+def _through(m: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """States of windows times weights, as one product."""
+    return (m.reshape(-1, m.shape[-1]) @ weights).reshape(*m.shape[:-1], weights.shape[-1])
 
 
-def projections(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """What each context class and each place of a window give to the projection, which is their sum."""
-    joint = _joint(p)
-    place = p["place"] @ joint
-    place[:, 3 * DEPTH] = 1
-    return p["embed"] @ joint, place
+def _turned(m: np.ndarray) -> np.ndarray:
+    """Transposed matrices end to end, as products of small matrices are quicker so."""
+    return np.ascontiguousarray(np.swapaxes(m, -1, -2))
 
 
-def attend(p: dict[str, np.ndarray], context: np.ndarray, skip: int = 0, made: tuple[np.ndarray, np.ndarray] | None = None) -> tuple:
-    """Hidden state at the places of windows of context classes after the first ``skip``, and what the way back needs."""
-    embed, place = made or projections(p)
-    z = embed.take(context.ravel(), axis=0).reshape(*context.shape, -1)
-    z += place
-    a = z[:, skip:, QUERY] @ z[:, :, KEY].transpose(0, 2, 1)
+def attend(p: dict[str, np.ndarray], context: np.ndarray, skip: int = 0, made: tuple[np.ndarray, ...] | None = None) -> tuple:
+    """What the way back needs, and last the hidden state at the places of windows of context classes after the first ``skip``."""
+    query, key, value, direct = made or projections(p)
+    x = p["embed"].take(context, axis=0)
+    x += p["place"]
+    later = np.ascontiguousarray(x[:, skip:])
+    q, k, v = _through(later, query), _through(x, key), _through(x, value)
+    a = q @ _turned(k)
     # far beyond any trained value; keeps the plain exponential finite
-    if a.size and a.max() > 60:
-        np.minimum(a, 60, out=a)
-    np.exp(a, out=a)
+    if a.size and a.max() > 60 * LOG2E:
+        np.minimum(a, 60 * LOG2E, out=a)
+    np.exp2(a, out=a)
     a *= SEEN[skip:]
-    mixed = a @ z[:, :, VALUE_ONE]
-    total = mixed[..., DEPTH:]
-    mean = mixed[..., :DEPTH] / total
-    return z, a, total, mean, np.tanh(mean + z[:, skip:, SKIP])
+    total = _through(a, ONES[:WINDOW])
+    mean = a @ v
+    mean /= total
+    h = _through(later, direct)
+    h += mean
+    return x, q, k, v, a, total, mean, np.tanh(h, out=h)
 
 
 def _high(out: np.ndarray) -> bool:
     """Whether logits could be too large for a plain exponential: states are bounded and the prior is at most 0."""
-    return np.abs(out).sum(0).max(initial=0) > 60
+    return DEPTH * max(out.max(), -out.min()) > 60 and np.abs(out).sum(0).max() > 60
+
 
+def _logits(out: np.ndarray, prior: np.ndarray, before: np.ndarray, hidden: np.ndarray, twos: bool) -> np.ndarray:
+    """Logits of the next class at every place, in powers of two; ``twos`` says whether the prior is in these."""
+    logits = hidden @ (out * out.dtype.type(LOG2E))
+    own = prior.take(before, axis=0)
+    if not twos:
+        own *= own.dtype.type(LOG2E)
+    logits += own
+    return logits
 
-def log_chances(p: dict[str, np.ndarray], prior: np.ndarray, before: np.ndarray, hidden: np.ndarray, target: np.ndarray) -> tuple:
+
+def log_chances(p: dict[str, np.ndarray], prior: np.ndarray, before: np.ndarray, hidden: np.ndarray, target: np.ndarray, twos: bool = False) -> tuple:
     """Log probability at every place of the target class, and of any class that begins a word."""
-    shape = before.shape
-    logits = np.ascontiguousarray(hidden).reshape(-1, DEPTH) @ p["out"]
-    logits += prior.take(before.ravel(), axis=0)
-    at = logits[np.arange(len(logits)), target.ravel()]
+    logits = _logits(p["out"], prior, before, hidden, twos)
+    at = logits.ravel().take(np.arange(0, logits.size, NEXT) + target.ravel()).reshape(before.shape)
+    at *= at.dtype.type(LN2)
     if _high(p["out"]):
-        np.minimum(logits, 60, out=logits)
-    np.exp(logits, out=logits)
-    starting = np.zeros((NEXT, 2), logits.dtype)
-    starting[:, 0], starting[:STARTS, 1] = 1, 1
-    total, start = np.log(logits @ starting + 1e-30).T
-    return (at - total).reshape(shape), (start - total).reshape(shape)
+        np.minimum(logits, 60 * LOG2E, out=logits)
+    np.exp2(logits, out=logits)
+    total, start = np.log(logits.reshape(-1, NEXT) @ STARTING + 1e-30).T
+    return at - total.reshape(at.shape), (start - total).reshape(at.shape)
 
 
-def gradient(p: dict[str, np.ndarray], prior: np.ndarray, before: np.ndarray, context: np.ndarray, target: np.ndarray, scored: np.ndarray) -> tuple[np.ndarray, float]:
+def gradient(
+    p: dict[str, np.ndarray], prior: np.ndarray, before: np.ndarray, context: np.ndarray, target: np.ndarray, scored: np.ndarray,
+    twos: bool = False,
+) -> tuple[np.ndarray, float]:
     """Gradient of the mean loss over scored places, end to end, and that loss."""
-    z, a, total, mean, h = attend(p, context)
+    x, q, k, v, a, total, mean, h = attend(p, context)
     flat = lambda m: m.reshape(-1, m.shape[-1])
-    at = np.flatnonzero(scored)
-    hidden, out, places = flat(h).take(at, axis=0), p["out"], max(1, len(at))
-    chances = hidden @ out
-    chances += prior.take(before.ravel().take(at), axis=0)
+    kind, out = h.dtype.type, p["out"]
+    chances = _logits(out, prior, before, h, twos)
     if _high(out):
         chances -= chances.max(-1, keepdims=True)
-    own = (np.arange(len(at)), target.ravel().take(at))
-    taken = chances[own]
-    np.exp(chances, out=chances)
-    mass = chances @ np.ones(chances.shape[1], chances.dtype)
-    loss = float((np.log(mass) - taken).mean()) if len(at) else 0.0
+    every, own = chances.ravel(), np.arange(0, chances.size, NEXT) + target.ravel()
+    taken = every.take(own)
+    np.exp2(chances, out=chances)
+    mass = flat(chances) @ ONES[:NEXT, 0]
+    # places that are not scored weigh nothing
+    weights = scored.ravel() / kind(max(1, np.count_nonzero(scored)))
+    loss = float((np.log(mass) - taken * kind(LN2)) @ weights)
     # rows are divided by their mass on the narrow side
-    chances[own] -= mass
-    share = (1 / (mass * places))[:, None]
-    g = {"out": (hidden * share).T @ chances}
-    d_hidden = np.zeros((h.size // DEPTH, DEPTH), h.dtype)
-    d_hidden[at] = (chances @ out.T) * share
-    # gradients of query, key, value (and a column beside it) and skip
-    d_z = np.empty_like(z)
-    d_h = d_z[..., SKIP]
-    np.multiply(d_hidden.reshape(h.shape), 1 - h * h, out=d_h)
-    # a weight's gradient is that of its share less the mean of these, which rides along against the column of ones
-    d_v = np.empty((*h.shape[:2], DEPTH + 1), h.dtype)
-    np.divide(d_h, total, out=d_v[..., :DEPTH])
-    np.negative(np.einsum("wid,wid->wi", d_v[..., :DEPTH], mean), out=d_v[..., DEPTH])
-    d_a = d_v @ z[..., VALUE_ONE].transpose(0, 2, 1)
+    every[own] -= mass
+    weights /= mass
+    share = np.repeat(weights, DEPTH).reshape(h.shape)
+    d_hidden = chances @ _turned(out)
+    d_hidden *= share
+    share *= h
+    g = {"out": (share.transpose(0, 2, 1) @ chances).sum(0)}
+    d_h = h * h
+    np.subtract(1, d_h, out=d_h)
+    d_h *= d_hidden
+    # a weight's gradient is that of its share less the mean of these
+    d_v = d_h / total
+    d_a = d_v @ _turned(v)
+    mean *= d_v
+    d_a -= _through(mean, ONES[:WINDOW].T)
     d_a *= a
-    np.matmul(d_a, z[..., KEY], out=d_z[..., QUERY])
-    np.matmul(d_a.transpose(0, 2, 1), z[..., QUERY], out=d_z[..., KEY])
-    np.matmul(a.transpose(0, 2, 1), d_v, out=d_z[..., VALUE_ONE])
-    d_z[..., 3 * DEPTH] = 0
-    x = p["embed"].take(context.ravel(), axis=0).reshape(h.shape)
-    x += p["place"]
-    joined = flat(x).T @ flat(d_z)
-    # query came scaled
-    g["query"], g["key"], g["value"], g["skip"] = joined[:, QUERY] * h.dtype.type(DEPTH**-0.5), joined[:, KEY], joined[:, VALUE], joined[:, SKIP]
-    d_x = flat(d_z) @ _joint(p).T
-    g["place"] = d_x.reshape(h.shape).sum(0)
-    g["embed"] = np.zeros_like(p["embed"])
-    order = np.argsort(context.ravel().astype(np.uint16), kind="stable")
-    own = context.ravel().take(order)
-    first = np.flatnonzero(np.diff(own, prepend=-1))
-    g["embed"][own.take(first)] = np.add.reduceat(d_x.take(order, axis=0), first, axis=0)
-    return np.concatenate([g[name].ravel() for name in shapes()]).astype(np.float32), loss
+    d_q, d_k, d_v = d_a @ k, d_a.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ d_v
+    inputs = flat(x).T
+    # query came scaled, and key met it so
+    query, key = p["query"] * kind(DEPTH**-0.5), p["key"] * kind(LN2)
+    g["query"], g["key"] = inputs @ flat(d_q) * kind(DEPTH**-0.5), inputs @ flat(d_k) * kind(LN2)
+    g["value"], g["skip"] = inputs @ flat(d_v), inputs @ flat(d_h)
+    d_x = _through(d_q, _turned(query))
+    d_x += _through(d_k, _turned(key))
+    d_x += _through(d_v, _turned(p["value"]))
+    d_x += _through(d_h, _turned(p["skip"]))
+    g["place"] = d_x.sum(0)
+    g["embed"] = np.bincount(EMBED_CELLS.take(context, axis=0).ravel(), weights=d_x.ravel(), minlength=EMBED_CELLS.size)
+    return np.concatenate([g[name].ravel() for name in shapes()], dtype=np.float32, casting="same_kind"), loss
 
 
 def cut(starts: np.ndarray, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -501,12 +523,26 @@ def _windows(ids: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return found[:, :-1], found[:, 1:], np.arange(WINDOW) < (end - first)[:, None]
 
 
+def _gradients(
+    classes: Classes, prior: np.ndarray, ids: np.ndarray, first: np.ndarray, end: np.ndarray, flat: np.ndarray
+) -> Iterator[np.ndarray]:
+    """The gradient of each step's windows by the parameters as they then are; the prior is in powers of two."""
+    for at in range(0, len(first), LOOKUP):
+        before, target, real = _windows(ids, first[at : at + LOOKUP], end[at : at + LOOKUP])
+        context, target = classes.context.take(before).astype(np.intp), classes.next.take(target).astype(np.intp)
+        before = before.astype(np.intp)
+        for k in range(0, len(before), TRAIN_STEP):
+            some = slice(k, k + TRAIN_STEP)
+            yield gradient(unpack(flat), prior, before[some], context[some], target[some], real[some], twos=True)[0]
+
+
 def train(end_id: int, classes: Classes, prior: np.ndarray, start: np.ndarray, turn: int):
     """Rows (place, value, windows): a task's trained parameters times its number of windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = start.copy()
         mean, square = np.zeros_like(flat), np.zeros_like(flat)
         steps = seen = 0
+        twos = prior * np.float32(LOG2E)
         for batch in batches:
             for row in batch.to_pylist():
                 stream = Streams.of(row, end_id, True)
@@ -516,19 +552,18 @@ def train(end_id: int, classes: Classes, prior: np.ndarray, start: np.ndarray, t
                 first, end, _ = cut(stream.starts, 0)
                 chosen = np.random.default_rng(row["block"] * AVERAGES + turn).permutation(
                     np.arange(turn, len(first), AVERAGES))
-                for at in range(0, len(chosen), TRAIN_STEP):
-                    some = chosen[at : at + TRAIN_STEP]
-                    before, target, real = _windows(stream.ids, first[some], end[some])
-                    change, _ = gradient(unpack(flat), prior, before, classes.context.take(before), classes.next.take(target), real)
+                for change in _gradients(classes, twos, stream.ids, first[chosen], end[chosen], flat):
                     steps += 1
-                    seen += len(some)
                     mean += 0.1 * (change - mean)
                     change *= change
                     square += 0.01 * (change - square)
                     rate = 0.02 / (1 + steps / 100)
                     root = np.sqrt(square / (1 - 0.99**steps))
                     root += 1e-8
-                    flat -= rate / (1 - 0.9**steps) * mean / root
+                    root *= (1 - 0.9**steps) / rate
+                    np.divide(mean, root, out=root)
+                    flat -= root
+                seen += len(chosen)
         if seen:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(len(flat))), pa.array(flat.astype(np.float64) * seen), pa.array(np.full(len(flat), seen))],
@@ -556,13 +591,18 @@ class Model:
         first, end, text = cut(stream.starts)
         new = np.concatenate([[True], text[1:] != text[:-1]]) if len(text) else np.zeros(0, bool)
         out, starting = np.zeros(len(stream.ids), np.float32), np.zeros(len(stream.ids), np.float32)
+        prior = self.prior * np.float32(LOG2E)
         for group, skip in ((np.flatnonzero(new), 0), (np.flatnonzero(~new), OVERLAP)):
-            for at in range(0, len(group), STEP):
-                some = group[at : at + STEP]
+            for at in range(0, len(group), LOOKUP):
+                some = group[at : at + LOOKUP]
                 before, target, real = _windows(stream.ids, first[some], end[some])
-                hidden = attend(p, self.classes.context.take(before), skip, made)[-1]
-                real = real[:, skip:]
-                found, start = log_chances(p, self.prior, before[:, skip:], hidden, self.classes.next.take(target[:, skip:]))
+                context, before = self.classes.context.take(before).astype(np.intp), before[:, skip:].astype(np.intp)
+                target, real = self.classes.next.take(target[:, skip:]).astype(np.intp), real[:, skip:]
+                found, start = np.empty((2, *before.shape), np.float32)
+                for k in range(0, len(some), STEP):
+                    step = slice(k, k + STEP)
+                    hidden = attend(p, context[step], skip, made)[-1]
+                    found[step], start[step] = log_chances(p, prior, before[step], hidden, target[step], twos=True)
                 places = (first[some][:, None] + np.arange(skip + 1, WINDOW + 1))[real]
                 out[places], starting[places] = found[real], start[real]
         return out, starting
@@ -577,8 +617,11 @@ class Model:
         total = (logs - starting)[closing] + np.log(self.classes.share[self.end_id])
         if len(codes):
             # within a word, what follows what does not depend on the text
-            spelled = self.following.logs(np.concatenate([[0], pieces[:-1]]), pieces)
-            spelled[begins] = np.log(self.classes.share[pieces[begins]])
+            spelled = np.log(self.classes.share[pieces])
+            later = np.ones(len(pieces), bool)
+            later[begins] = False
+            at = np.flatnonzero(later)
+            spelled[at] = self.following.logs(pieces[at - 1], pieces[at])
             lengths = stream.lengths[codes]
             at = np.cumsum(lengths) - lengths
             places = np.flatnonzero(stream.inside)

@@ -472,3 +472,28 @@ def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
         assert len(found) == odd_docs.count() and all(0 <= r.score <= 1 for r in found)
         assert toxicity.toxicity(no_docs, own).count() == 0
     assert toxicity.keep_civil(odd_docs, labels.filter("1 = 0")).columns == odd_docs.columns
+
+
+def test_language_model_in_powers_of_two_and_by_words():
+    """A prior in powers of two gives the chances and gradients of the same prior in natural logs; ids counted by words are those in texts."""
+    draw = np.random.default_rng(8)
+    p = lm_score.unpack(lm_score.initial() + draw.standard_normal(len(lm_score.initial())).astype(np.float32) * 0.1)
+    prior = np.log(draw.dirichlet(np.ones(lm_score.NEXT), 20)).astype(np.float32)
+    before = draw.integers(0, 20, (3, lm_score.WINDOW))
+    target, scored = draw.integers(0, lm_score.NEXT, before.shape), draw.random(before.shape) < 0.8
+    twos = prior * np.float32(lm_score.LOG2E)
+    hidden = lm_score.attend(p, before)[-1]
+    for a, b in zip(lm_score.log_chances(p, prior, before, hidden, target),
+                    lm_score.log_chances(p, twos, before, hidden, target, twos=True), strict=True):
+        assert np.allclose(a, b, atol=1e-5)
+    (a, loss), (b, same) = (lm_score.gradient(p, table, before, before, target, scored, twos=t) for table, t in ((prior, False), (twos, True)))
+    assert np.allclose(a, b, atol=1e-6) and math.isclose(loss, same, rel_tol=1e-5)
+    # what is not scored weighs nothing
+    other = np.where(scored, target, (target + 1) % lm_score.NEXT)
+    assert np.allclose(lm_score.gradient(p, prior, before, before, other, scored)[0], a, atol=1e-6)
+    row = {"learning": np.array([True, False, True, True]).tobytes()} | {
+        name: lm_score.pack_numbers(np.array(values), kind) for name, values, kind in (
+            ("sizes", [2, 1, 0, 3], "<i4"), ("codes", [0, 1, 2, 1, 1, 0], "<i4"), ("pieces", [4, 0, 4, 2], "<u2"), ("lengths", [1, 2, 1], "<i4"))}
+    [found] = lm_score.count_ids(6)(iter([pa.RecordBatch.from_pylist([row])]))
+    stream = lm_score.Streams.of(row, 6, True)
+    assert dict(zip(*(c.to_pylist() for c in found.columns), strict=True)) == Counter(stream.ids[stream.inside].tolist()) | {6: 3}
