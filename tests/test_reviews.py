@@ -1,3 +1,4 @@
+import re
 from datetime import date
 
 import pytest
@@ -150,3 +151,46 @@ def test_written_tables(spark, rows, folder):
     titles = read_review_table(spark, folder, "reviews_by_product")
     assert titles.count() == len(rows(table)) and titles.filter("product_title = 'new'").count() == 1
     assert spark.read.parquet(f"{folder}/product_reviews_summary").count() == 2
+
+
+def copied_reviews(spark):
+    """Copies of a review that differ in columns of some keys only, and many of one that differ in none or in the title."""
+    clean = some_reviews(spark)
+    more = [review(review_id="hot", product_title=f"t{i % 3}", review_body=None if i % 2 else "b") for i in range(40)]
+    more += [review(review_id="hot", star_rating=str(1 + i % 2), customer_id=f"c{i % 2}", product_id="p3") for i in range(6)]
+    more += [review(review_id="r1", star_rating="4", verified_purchase=None), review(review_id="r1", customer_id="c0")]
+    return clean.unionByName(rv.clean_strict(frame(spark, *more)))
+
+
+def test_laid_tables_hold_the_rows_of_the_grouped_ones(spark, rows):
+    """Both tables by product come out of one exchange by ranges, which nothing follows."""
+    clean = copied_reviews(spark)
+    laid = rv.laid_by(clean, rv.PRODUCT_KEY).persist()
+    try:
+        for key, table in ((rv.PRODUCT_KEY, rv.reviews_by_product_table), (rv.RATING_KEY, rv.reviews_by_product_rating_table)):
+            found = rv.laid_table(laid, key)
+            assert found.columns == table(clean).columns and rows(found) == rows(table(clean))
+            plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            assert re.findall(r"Exchange (\w+)", plan) == ["rangepartitioning"]
+    finally:
+        laid.unpersist()
+    found = rv.laid_table(rv.laid_by(clean, rv.CUSTOMER_KEY), rv.CUSTOMER_KEY)
+    assert rows(found) == rows(rv.reviews_by_customer_table(clean))
+    listed = [(r.product_id, -r.review_date.toordinal(), r.review_id) for r in rv.laid_table(laid, rv.PRODUCT_KEY).collect()]
+    assert listed == sorted(listed)
+
+
+@pytest.mark.parametrize("crowd", [20, 50_000])
+def test_crowded_reviews_are_written_like_others(spark, rows, folder, monkeypatch, crowd):
+    monkeypatch.setattr(rv, "CROWD", crowd)
+    clean = copied_reviews(spark)
+    assert rv.crowded_reviews(clean) == (["hot"] if crowd == 20 else [])
+    assert rv.crowded_reviews(clean.limit(0)) == []
+    write_review_tables(clean, folder)
+    for name, table in (("reviews_by_product", rv.reviews_by_product_table), ("reviews_by_product_rating", rv.reviews_by_product_rating_table),
+                        ("reviews_by_customer", rv.reviews_by_customer_table), ("product_reviews_by_month", rv.product_reviews_by_month),
+                        ("customer_haters_by_month", rv.customer_haters_by_month), ("customer_verified_by_month", rv.customer_verified_by_month)):
+        expected = table(clean)
+        assert rows(read_review_table(spark, folder, name).select(*expected.columns)) == rows(expected)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
