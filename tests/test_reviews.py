@@ -194,3 +194,20 @@ def test_crowded_reviews_are_written_like_others(spark, rows, folder, monkeypatc
         assert rows(read_review_table(spark, folder, name).select(*expected.columns)) == rows(expected)
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
     assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_the_newest_load_is_told_by_its_number(spark, rows, folder):
+    """Rows move with the number of their load; its name goes along only where loads that began together share one."""
+    clean = some_reviews(spark)
+    for title in ("one", "two"):
+        write_review_tables(clean.withColumn("product_title", F.lit(title)), folder)
+
+    def titles():
+        table = read_review_table(spark, folder, "reviews_by_product")
+        return table, {r.product_title for r in table.collect()}
+
+    table, found = titles()
+    assert found == {"two"} and "named_struct(version" not in table._jdf.queryExecution().optimizedPlan().toString()
+    rv.reviews_by_product_table(clean).withColumn("product_title", F.lit("three")).write.parquet(
+        f"{folder}/reviews_by_product/version=1/load=l-{'g' * 32}")
+    assert titles()[1] == {"three"}
