@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyflow.plans import reports
-from tallyflow.plans.star import load_star
-from tallyflow.sinks import commits
+from tallyflow.plans.star import fact_clicks, fact_impressions, load_clicks, load_facts, load_impressions, load_star
+from tallyflow.sinks import commits, star_tables
 from tallyflow.sinks.star_tables import compact_star, forget_older, read_star_table, write_star
 from tallyflow.sources.relational import star_from_folder
 from test_keyed import plan_of, raw_frames
@@ -138,3 +138,71 @@ def test_documents_by_load_put_their_events_together_once(spark, folder, monkeyp
     # the repeated click meets itself twice; the first load takes the events before its time
     made = registry.data.star_events(spark, folder)
     assert counts == [made.filter(made.Timestamp < registry.ASOF).count(), made.count()]
+
+
+def order_tables(spark, folder):
+    """Tables of a few order lines: repeated ones, one without a key, and orders of unknown customers."""
+    frames = {
+        "nation": ("n_nationkey int, n_name string, n_regionkey int", [(0, "NATION_0", 0)]),
+        "supplier": ("s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+                     [(1, "Supplier#000000001", 0, 5.0), (2, "Supplier#000000002", 0, None)]),
+        "customer": ("c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+                     [(i, f"c{i}", 0, 1.0, "AUTO") for i in range(1, 5)]),
+        "orders": ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp, "
+                   "o_orderpriority string", [(i, i, "O", 1.0, datetime(2024, 1, 1), "1-URGENT") for i in range(1, 7)]),
+        "lineitem": ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                     "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp",
+                     [(order, 1, 1 + line % 3, line, 3.0, 1.0, 0.1, 0.2, flag, "O", datetime(2024, 1, 5, 10, 0, line))
+                      for order, line, flag in [(o, n, "R" if n % 2 else "N") for o in range(1, 7) for n in (1, 2, 7)] + [(1, 1, "N"), (2, 2, "R")]]
+                     + [(1, 1, 1, None, 3.0, 1.0, 0.1, 0.2, "R", "O", None)]),
+        "events": ("event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string", []),
+    }
+    for name, (schema, values) in frames.items():
+        spark.createDataFrame(values, schema).write.parquet(f"{folder}/{name}.parquet")
+
+
+def test_load_from_files_reads_compressed_files(spark, rows, folder, monkeypatch):
+    from checks import registry
+
+    order_tables(spark, folder)
+    monkeypatch.setattr(registry, "scratch_folder", lambda spark, name: f"{folder}/{name}")
+    found = rows(registry.REGISTRY["load_star_from_files"](spark, folder))
+    written = commits.names(spark, f"{folder}/files/events/part-*")
+    assert written and all(name.endswith(".csv.snappy") for name in written)
+    whole = load_star(*[f(spark, folder) for f in (registry.data.raw_users, registry.data.raw_campaigns, registry.data.raw_events)])
+    assert found == rows(whole.impressions)
+
+
+@pytest.mark.parametrize("last", ["shown", None])
+def test_a_load_leaves_no_scratch_tables(spark, folder, monkeypatch, last):
+    monkeypatch.setattr(star_tables, "scratch_folder", lambda spark, name: f"{folder}/{name}")
+    seen = []
+
+    def written(name):
+        seen.append(commits.exists(spark, f"{folder}/facts"))
+        stop_after(last)(name)
+
+    try:
+        write_star(*raw_frames(spark), f"{folder}/star", written=written)
+    except Crash:
+        assert last
+    assert any(seen) and not commits.exists(spark, f"{folder}/facts")
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_ids_of_events_are_worked_out_once(spark, rows, folder):
+    users, campaigns, events = raw_frames(spark)
+    odd = events.limit(1)
+    for text in (None, "no id", "urn:uuid:8a32d1f9-0000-4000-8000-000000000001", "{8A32D1F9-0000-4000-8000-000000000009}"):
+        events = events.unionByName(odd.withColumn("EventID", F.lit(text).cast("string")))
+    events.write.parquet(f"{folder}/events")
+    stored = spark.read.parquet(f"{folder}/events")
+    parents = load_star(users, campaigns, events)
+    facts = load_facts(stored, parents.campaigns, parents.users)
+    plan = plan_of(facts)
+    assert plan[:plan.index("FileScan")].count("unhex(") == 1
+    assert rows(fact_impressions(facts)) == rows(load_impressions(events, parents.campaigns, parents.users))
+    assert rows(fact_clicks(facts)) == rows(load_clicks(events, parents.impressions))
+    known = parents.impressions.withColumn("click_id", F.lit(None).cast("string"))
+    late = load_facts(stored, parents.campaigns, parents.users, existing=known)
+    assert rows(late.select("impression_id")) == rows(parents.clicks.select("impression_id"))
