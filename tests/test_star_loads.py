@@ -161,6 +161,29 @@ def order_tables(spark, folder):
         spark.createDataFrame(values, schema).write.parquet(f"{folder}/{name}.parquet")
 
 
+def test_loads_after_a_crash_put_their_events_together_once(spark, rows, folder, monkeypatch):
+    """Each of the loads reads stored events; all tables agree with one load of everything."""
+    from checks import registry
+
+    order_tables(spark, folder)
+    read = []
+    write = registry.star_tables.write_star
+
+    def watched(users, campaigns, events, root, written):
+        read.append((events.inputFiles(), events.count()))
+        return write(users, campaigns, events, root, written=written)
+
+    monkeypatch.setattr(registry.star_tables, "write_star", watched)
+    found = rows(registry.REGISTRY["load_star_after_crash"](spark, folder))
+    assert len(read) == 5 and not any(folder in name for names, _ in read for name in names)
+    raw = [f(spark, folder) for f in (registry.data.raw_users, registry.data.raw_campaigns, registry.data.raw_events)]
+    assert [n for _, n in read][3:] == [raw[2].count()] * 2
+    whole = load_star(*raw)
+    expected = reports.performance_of_totals(reports.campaign_totals(whole.impressions, whole.clicks))
+    for source in ("tables", "shown", "by_user", "totals"):
+        assert [r[:-1] for r in found if r[-1] == source] == rows(expected)
+
+
 def test_load_from_files_reads_compressed_files(spark, rows, folder, monkeypatch):
     from checks import registry
 
