@@ -177,3 +177,41 @@ def test_empty_batches_write_nothing(spark, folder):
     finish(jobs.page_table(folder_topic(spark, f"{folder}/in"), f"{folder}/table", f"{folder}/c"))
     with pytest.raises(FileNotFoundError):
         levels.read_table(spark, f"{folder}/table", page_events.PAGE_KEY)
+
+
+@pytest.mark.parametrize("here", [0, 1_000])
+def test_plain_minute_files_are_those_of_sparks_writer(spark, folder, monkeypatch, here):
+    """Byte for byte, with odd texts, and a hot minute over many batches; only plain files are made here."""
+    monkeypatch.setattr(minutes, "RENAMES_HERE", here)
+    odd = ["a", "", None, 'say "hi"', "x,y", " lead", "trail ", "two\nlines", "\\", "'", "é漢", '"', ","]
+    values = [(a, "2024-01-05T10:00:00+00:00", t, f"05_01_2024_10_{(i + j) % 4:02d}") for i, a in enumerate(odd) for j, t in enumerate(odd)]
+    values += [("hot", str(i), "t", "05_01_2024_11_00") for i in range(300)]
+    frame = spark.createDataFrame(values, "author_id string, created_at string, text string, minute string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = {}
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        for name in ("plain", "spark"):
+            with monkeypatch.context() as m:
+                m.setattr(minutes, "_put_local" if name == "spark" else "_put", minutes._put if name == "spark" else None)
+                minutes.add_rows(frame, f"{folder}/{name}", "q-0")
+                minutes.add_rows(frame.filter("author_id = 'hot'"), f"{folder}/{name}", "q-1")
+            files = [f for f in os.listdir(f"{folder}/{name}") if f.startswith("tweets_")]
+            found[name] = {f: open(f"{folder}/{name}/{f}", "rb").read() for f in files}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found["plain"] == found["spark"] and len(found["plain"]) == 5
+    assert found["plain"]["tweets_05_01_2024_11_00.csv"].count(b"\n") == 601
+
+
+def test_many_minute_files_are_read_by_few_tasks(spark, folder):
+    names = [f"05_01_2024_{10 + h}_{m:02d}" for h in range(4) for m in range(60)]
+    frame = spark.createDataFrame([(m, "c", "t", m) for m in names], "author_id string, created_at string, text string, minute string")
+    minutes.add_rows(frame, folder, "q-0")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+        found = minutes.read_minutes(spark, folder)
+        assert found.rdd.getNumPartitions() <= 15 and {r.minute for r in found.collect()} == set(names)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
